@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import exact_dedup, language_id, secret_scan, sentencepiece_codec, sharding, url_filter
+from hirelake.llm import decontamination, exact_dedup, language_id, secret_scan, sentencepiece_codec, sharding, url_filter, warc
+from hirelake.llm.shared import new_path
 
 #: The rules of op6 as host, path, verdict.
 URL_RULES = [
@@ -22,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(texts, _table(spark, sf_dir, "benchmark"))
+    hits = found.select("doc_id", F.explode("hits").alias("hit"))
+    return hits.select("doc_id", F.col("hit.item_id").cast("long").alias("item_id"), "hit.distance", "hit.start", "hit.end")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,6 +54,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archive(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))))
+    told = warc.resolve_revisits(captures)
+    return told.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").cast("long").alias("refers_to"),
+        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
+    ).drop("copy")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -67,7 +87,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op5_secret_scan, op6_url_filter, op8_language_id, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op8_language_id, op9_sharding)}
 
 OP2_SQL = r"""
 WITH t AS (
@@ -79,6 +99,20 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM t JOIN g USING (sha)
 """
 
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, {1 + 5 * i}, 5) AS BIGINT) >> {shift}) & 31)::INTEGER, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+OP4_SQL = f"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM p
+)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP6_SQL = r"""
 WITH rules(rule_host, rule_path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -114,4 +148,4 @@ SELECT doc_id, substr(bits, 1, CAST(leaf.depth AS INTEGER)) AS shard, CAST(leaf.
 FROM d JOIN leaf USING (doc_id) JOIN s ON s.depth = leaf.depth AND s.shard = substr(d.bits, 1, CAST(leaf.depth AS INTEGER))
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_sharding": OP9_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_url_filter": OP6_SQL, "op9_sharding": OP9_SQL}
