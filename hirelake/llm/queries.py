@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontamination, exact_dedup, language_id, secret_scan, sentencepiece_codec, sharding, url_filter, warc
+from hirelake.llm import decontamination, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, sharding, url_filter, warc
 from hirelake.llm.shared import new_path
 
 #: The rules of op6 as host, path, verdict.
@@ -87,7 +87,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op8_language_id, op9_sharding)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op8_language_id, op9_sharding, op10_jaccard_join)}
 
 OP2_SQL = r"""
 WITH t AS (
