@@ -442,3 +442,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linked = heads.filter("n > 0").join(of, "fp").select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = heads.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its component, with their columns as they are.
+
+    If ids repeat, an id's rows stay if one of them is its component's smallest. Rows with a null id stay.
+    """
+    told = jaccard_components(df, id_col, text_col, percent)
+    gone = staged(told.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("_stays")).filter("_stays = 0").select("_id"), "gone")
+    return df.join(gone, df[id_col] == gone["_id"], "left_anti")

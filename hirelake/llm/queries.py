@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontamination, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, sharding, url_filter, warc
+from hirelake.llm import decontamination, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from hirelake.llm.shared import new_path
 
 #: The rules of op6 as host, path, verdict.
@@ -76,6 +76,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES), "page_id", "url")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(language_id.learned_rows(docs))
@@ -91,7 +97,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op8_language_id, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_sharding, op10_jaccard_join)}
 
 OP2_SQL = r"""
 WITH t AS (
