@@ -12,7 +12,7 @@ TITLE_WORDS = (
     r"mid-level|new\s+grad|new-grad|entry\s+level|early\s+career)\b"
 )
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&hellip;": "…", "&bull;": "•", "&eacute;": "é", "&amp;": "&"}
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "EEE, dd MMM yyyy HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss z", "dd/MM/yyyy", "MMMM d, yyyy", "yyyy-MM-dd"]
+DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm:ss z", "dd/MM/yyyy", "MMMM d, yyyy", "yyyy-MM-dd"]
 JOB_HINTS = ["/job/", "/jobs/", "/career/", "/careers/", "/posting/", "/postings/", "/opportunity/", "/opportunities/", "/role/", "/roles/", "/req/", "/requisition/", "/vacancy/", "/vacancies/", "/position/", "/positions/"]
 SLUG_SUFFIXES = ["inc", "llc", "ltd", "corp", "co", "company", "labs", "technologies", "tech"]
 ROLE_WORDS = "engineer developer scientist architect designer manager lead head director intern founding researcher analyst ops sre devops product frontend backend infrastructure platform data ml marketing sales support writer recruiter".split()
@@ -75,7 +75,8 @@ def embed_text(title: Column, company: Column, location: Column, description: Co
 
 
 def parse_posted_date(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+    plain = F.regexp_replace(F.trim(c), r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s*", "")  # Spark formats have no day of the week
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in DATE_FORMATS])
 
 
 def parse_relative_date(c: Column, fetched_at: Column) -> Column:
