@@ -1,7 +1,418 @@
-"""Registered queries of the postings engine and their SQL."""
+"""Registered queries of the postings engine over the given tables, with SQL that DuckDB runs on the same tables.
+
+Rules in SQL are generated from the same tables of fixed values, but evaluated by another engine with another pattern library.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hirelake.functions import location, pay, rules, text
+from hirelake.operators import dedupe, filters, ingest, ranking, stats
+from hirelake.plans.postings import AS_OF, POSTINGS_SQL, postings, table
+from hirelake.sources import feeds
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "t07_browse"
+c = F.col
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rule_sql(subject: str, table_: list) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {_text(rules.any_of(p))}) THEN {_text(label)}" for label, p in table_) + " END"
+
+
+def map_sql(subject: str, mapping: dict) -> str:
+    return f"CASE {subject} " + " ".join(f"WHEN {_text(k)} THEN {v if not isinstance(v, str) else _text(v)}" for k, v in mapping.items()) + " END"
+
+
+HAYSTACK = "trim(title || ' ' || substr(description, 1, 300))"
+INDUSTRY_SQL = f"coalesce({rule_sql(HAYSTACK, rules.INDUSTRY_RULES)}, 'other')"
+FAMILY_SQL = rule_sql(HAYSTACK, rules.FAMILY_RULES)
+_OWN = " ".join(f"WHEN '{k}' THEN {rule_sql('trim(title)', v)}" for k, v in rules.INDUSTRY_LEVELS.items() if k != "tech")
+TITLE_LEVEL_SQL = f"coalesce({rule_sql('trim(title)', rules.COMMON_LEVELS)}, CASE industry {_OWN} END, {rule_sql('trim(title)', rules.TECH_LEVELS)})"
+REMOTE_SQL = (
+    f"CASE WHEN regexp_matches(regexp_replace(location, {_text(location.REMOTE_FALSE)}, '', 'g'), {_text(location.REMOTE_LOCATION)}) OR regexp_matches(description, {_text(location.REMOTE_DESCRIPTION)}) THEN 'remote' "
+    f"WHEN regexp_matches(location, {_text(location.HYBRID)}) OR regexp_matches(description, {_text(location.HYBRID)}) THEN 'hybrid' WHEN location <> '' THEN 'onsite' ELSE 'unknown' END"
+)
+
+
+def _name_sql(subject: str, names: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {_text('(^|[^a-z0-9])' + n.replace('.', '[.]') + '([^a-z0-9]|$)')}) THEN '{code}'" for n, code in sorted(names.items(), key=lambda x: (-len(x[0]), x[0]))) + " END"
+
+
+_CITIES, _COUNTRIES = location._names(location.CITIES), location._names(location.COUNTRY_NAMES)
+#: Distinct locations with their country; the last part that is a code decides after country names and before cities.
+_CODES = ", ".join(_text(x) for x in dict.fromkeys((location.US_STATES + " " + location.CA_PROVINCES + " " + location.COUNTRY_CODES).split()))
+_LISTED = lambda s: ", ".join(_text(x) for x in s.split())
+LOCATIONS_SQL = f"""
+  SELECT location, coalesce({_name_sql('low', _COUNTRIES)}, CASE WHEN told IS NULL THEN NULL
+      WHEN token IN ({_LISTED(location.AMBIGUOUS)}) THEN CASE WHEN coalesce({_name_sql('ahead', _CITIES)}, 'US') <> 'US' THEN {_name_sql('ahead', _CITIES)} ELSE 'US' END
+      WHEN token IN ({_LISTED(location.US_STATES)}) THEN 'US' WHEN token IN ({_LISTED(location.CA_PROVINCES)}) THEN 'CA' WHEN token = 'uk' THEN 'GB' ELSE upper(token) END, {_name_sql('low', _CITIES)}) AS country
+  FROM (SELECT *, parts[told] AS token, array_to_string(parts[1:told - 1], ' ') AS ahead
+    FROM (SELECT *, list_max(list_filter(range(1, len(parts) + 1), lambda i: parts[i] IN ({_CODES}))) AS told
+      FROM (SELECT location, lower(location) AS low, list_filter(list_transform(regexp_split_to_array(lower(location), '[,·|/]|\\s-\\s'), lambda p: trim(p)), lambda p: p <> '') AS parts
+        FROM (SELECT DISTINCT location FROM postings))))
+"""
+P = f"WITH postings AS ({POSTINGS_SQL}), places AS ({LOCATIONS_SQL}), labelled AS (SELECT p.*, {INDUSTRY_SQL} AS industry, {FAMILY_SQL} AS job_family, {REMOTE_SQL} AS remote_status, places.country FROM postings p JOIN places USING (location))"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with the labels that need no body text."""
+    p = postings(spark, sf_dir)
+    return p.withColumn("country", location.classify_country(c("location"))).withColumn("remote_status", location.classify_remote(c("location"), c("description"))).withColumn("industry", rules.classify_industry(c("title"), c("description"))).withColumn("job_family", rules.classify_job_family(c("title"), c("description")))
+
+
+@query(f"{P} SELECT external_id, country, remote_status FROM labelled")
+def p01_p02_country_remote(spark, sf_dir):
+    return labelled(spark, sf_dir).select("external_id", "country", "remote_status")
+
+
+@query(f"{P} SELECT external_id, industry, job_family FROM labelled")
+def p04_p05_industry_family(spark, sf_dir):
+    return labelled(spark, sf_dir).select("external_id", "industry", "job_family")
+
+
+@query(f"{P} SELECT external_id, {TITLE_LEVEL_SQL} AS level FROM labelled")
+def p06_title_level(spark, sf_dir):
+    return labelled(spark, sf_dir).select("external_id", rules.classify_title_level(c("title"), c("industry")).alias("level"))
+
+
+def _instr(pattern: str) -> str:
+    """Place of a match from 1, or null, in DuckDB: the length of what precedes it."""
+    return f"CASE WHEN regexp_matches(body, {_text('(?i)' + pattern)}) THEN length(regexp_extract(body, {_text('(?is)^(.*?)' + pattern)}, 1)) + 1 END"
+
+
+_KEYWORDS = ", ".join(f"{{'pos': {_instr(p)}, 'k': {k * 100 + i}, 'level': '{level}'}}" for k, (level, ps) in enumerate(rules.BODY_RULES) for i, p in enumerate(ps))
+BODY_SQL = f"SELECT description, list_min(list_filter([{_KEYWORDS}], lambda x: x.pos IS NOT NULL)).level AS level FROM (SELECT description, substr(replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), 1, 5000) AS body FROM (SELECT DISTINCT description FROM postings))"
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}), b AS ({BODY_SQL}) SELECT external_id, b.level FROM postings JOIN b USING (description)")
+def p08_body_keyword_level(spark, sf_dir):
+    return postings(spark, sf_dir).select("external_id", rules.body_level_keyword(rules.body_text(c("description")))["level"].alias("level"))
+
+
+@query()
+def p10_title_or_body_level(spark, sf_dir):
+    p = labelled(spark, sf_dir)
+    return p.select("external_id", rules.classify_title_or_body(c("title"), c("description"), c("industry")).alias("level"))
+
+
+_USD = lambda a: f"CAST(floor({a} * {map_sql('salary_period', pay.PERIODS)} * {map_sql('salary_currency', pay.FX)} + 0.5) AS BIGINT)"
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, {_USD('salary_min')} AS usd_min, {_USD('salary_max')} AS usd_max FROM postings")
+def p16_usd_annual(spark, sf_dir):
+    usd = lambda a: pay.to_usd_annual(c(a), c("salary_currency"), c("salary_period"))
+    return postings(spark, sf_dir).select("external_id", usd("salary_min").alias("usd_min"), usd("salary_max").alias("usd_max"))
+
+
+_W = [map_sql("industry", {k: w[i] for k, w in pay.WEIGHTS.items()}) for i in range(4)]
+QUALITY_SQL = (
+    f"floor(({_W[0]} * CASE WHEN salary_max > 0 THEN 1.0::DOUBLE ELSE 0.0 END + {_W[1]} * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - (epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(scraped_at, posted_at))) / 86400.0::DOUBLE / 60)) "
+    f"+ {_W[2]} * (1 / (1 + exp(-(length(description) - 400) / 400.0::DOUBLE))) + {_W[3]} * coalesce({map_sql('source', pay.RELIABILITY)}, 0.7::DOUBLE)) * 100 + 0.5) / 100"
+)
+
+
+@query(f"{P} SELECT external_id, {QUALITY_SQL} AS quality FROM labelled")
+def p17_quality(spark, sf_dir):
+    return pay.with_quality(labelled(spark, sf_dir), AS_OF).select("external_id", "quality")
+
+
+_COMPANY = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(company), '[,.()]', ' ', 'g'), {_text(text.COMPANY_WORDS)}, ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_TITLE = "lower(title)"
+for _p in (r"\([^)]*\)", r"\[[^\]]*\]", r"[,./|\\:_-]", text.TITLE_WORDS, r"\s(?:[ivx]+|[1-9])\b", "[^a-z0-9 ]", r"\s+"):
+    _TITLE = f"regexp_replace({_TITLE}, {_text(_p)}, ' ', 'g')"
+_TITLE = f"trim({_TITLE})"
+_POINT = "substr(sha256(external_id), 1, 8) || '-' || substr(sha256(external_id), 9, 4) || '-' || substr(sha256(external_id), 13, 4) || '-' || substr(sha256(external_id), 17, 4) || '-' || substr(sha256(external_id), 21, 12)"
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, {_COMPANY} AS company_key, {_TITLE} AS title_key, {_POINT} AS point_id FROM postings")
+def p23_p25_keys(spark, sf_dir):
+    return postings(spark, sf_dir).select("external_id", text.normalize_company(c("company")).alias("company_key"), text.normalize_title(c("title")).alias("title_key"), text.point_id(c("external_id")).alias("point_id"))
+
+
+@query()
+def p12_parse_salary(spark, sf_dir):
+    """Pay stated in whole documents."""
+    money = pay.parse_salary(c("text"))
+    return table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", money["min"].alias("min"), money["max"].alias("max"), money["currency"].alias("currency"))
+
+
+@query(r"""
+SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\.', '') AS domain,
+  regexp_matches(lower(url), '""" + "|".join(text.JOB_HINTS) + r"""') AS has_hint, regexp_matches(html, '"@type"\s*:\s*"JobPosting"') AS has_posting FROM pages
+""")
+def p36_p38_url_hints(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.extract_domain(c("url")).alias("domain"), text.has_job_hint(c("url")).alias("has_hint"), text.has_jobposting_jsonld(c("html")).alias("has_posting"))
+
+
+_STRIPPED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _k, _v in text.ENTITIES.items():
+    _STRIPPED = f"replace({_STRIPPED}, {_text(_k)}, {_text(_v)})"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_STRIPPED}, '\\s+', ' ', 'g')) AS body FROM pages")
+def p20_p21_html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_html(c("html")).alias("body"))
+
+
+SKILLS = [("tech", i, n, k) for i, (n, k) in enumerate([("Python", "language"), ("SQL", "language"), ("Kubernetes", "platform"), ("React", "frontend"), ("TypeScript", "language"), ("C++", "language")])] + [("healthcare", 0, "EHR", "system")]
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, p, n, k, n) for i, p, n, k in SKILLS], "industry string, place int, name string, category string, term string")
+
+
+_SKILL_ROWS = ", ".join(f"('{i}', {p}, '{n}', '{k}')" for i, p, n, k in SKILLS)
+
+
+@query(rf"""{P}, lex(bank, place, name, category) AS (VALUES {_SKILL_ROWS})
+SELECT external_id, name, place, category FROM labelled JOIN lex ON bank = CASE WHEN industry IN ('tech', 'healthcare') THEN industry ELSE 'tech' END
+WHERE regexp_matches(description, '(?i)\b' || replace(name, '+', '\+') || CASE WHEN name = 'C++' THEN '(?:\W|$)' ELSE '\b' END)""")
+def p40_extract_skills(spark, sf_dir):
+    return ingest.extract_skills(labelled(spark, sf_dir), "external_id", "description", c("industry"), lexicon(spark))
+
+
+@query(f"{P} SELECT industry, count(*) AS n FROM labelled GROUP BY industry")
+def a03_industry_distribution(spark, sf_dir):
+    return stats.counts_by(labelled(spark, sf_dir), "industry")
+
+
+@query(f"{P} SELECT country, count(*) AS n FROM labelled WHERE coalesce(is_active, true) GROUP BY country")
+def a02_counts_by_country(spark, sf_dir):
+    return stats.counts_by(labelled(spark, sf_dir).filter(F.coalesce("is_active", F.lit(True))), "country")
+
+
+EVENTS = "SELECT ts, CASE event_type WHEN 'signup' THEN 'register' WHEN 'click' THEN 'login' WHEN 'purchase' THEN 'profile_save' WHEN 'error' THEN 'login_miss' ELSE 'view' END AS event, CAST(user_id AS VARCHAR(20)) AS uid FROM events"
+EVENTS_AS_OF = "2024-01-20 00:00:00"
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(EVENTS)
+
+
+_ACTIVE = "event IN ('login', 'register', 'profile_save', 'profile_blob_save') AND uid IS NOT NULL"
+
+
+@query(f"WITH a AS ({EVENTS}) SELECT " + ", ".join(f"count(DISTINCT uid) FILTER (WHERE ts > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL {d} DAY) AS users_{d}d" for d in (1, 7, 30)) + f" FROM a WHERE {_ACTIVE}")
+def a05_active_users(spark, sf_dir):
+    return stats.active_users(audit(spark, sf_dir), EVENTS_AS_OF)
+
+
+@query(f"WITH a AS ({EVENTS}) SELECT event, count(*) AS n FROM a WHERE ts > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY GROUP BY event")
+def a06_event_counts(spark, sf_dir):
+    return stats.event_counts(audit(spark, sf_dir), EVENTS_AS_OF)
+
+
+@query(f"""WITH a AS ({EVENTS}), d AS (SELECT event, CAST(ts AS DATE) AS day, count(*) AS n FROM a GROUP BY ALL),
+w AS (SELECT *, avg(n) OVER (PARTITION BY event ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean FROM d) SELECT * FROM w WHERE n > 1.1 * mean""")
+def r06_event_spikes(spark, sf_dir):
+    return stats.event_spikes(audit(spark, sf_dir), 1.1)
+
+
+HISTORY = ["US", "CA", "GB", "DE", "IN", "FR"]
+
+
+@query(f"""{P}, days AS (SELECT CAST(unnest(generate_series(DATE '2001-08-02' - INTERVAL 89 DAY, DATE '2001-08-02', INTERVAL 1 DAY)) AS DATE) AS day),
+series(series) AS (VALUES ('total'), {', '.join(f"('{x}')" for x in HISTORY)}),
+daily AS (SELECT CAST(scraped_at AS DATE) AS d, country, count(*) AS k FROM labelled WHERE coalesce(is_active, true) GROUP BY ALL)
+SELECT series, day, CAST(coalesce(sum(k) FILTER (WHERE d <= day AND (series = 'total' OR country = series)), 0) AS BIGINT) AS n FROM series, days, daily GROUP BY series, day""")
+def a07_cumulative_history(spark, sf_dir):
+    return stats.cumulative_history(labelled(spark, sf_dir), AS_OF, HISTORY)
+
+
+APPLICATIONS = "SELECT concat('a', CAST(o_orderkey AS VARCHAR(20))) AS app_id, o_orderkey AS posting_key, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'interviewing' ELSE 'rejected' END AS status, o_orderdate AS last_touched_at FROM orders WHERE o_orderkey % 10 = 0"
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(APPLICATIONS)
+
+
+@query(f"""WITH a AS ({APPLICATIONS}), s(place, status) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(stats.STATUSES))})
+SELECT place, s.status, count(a.app_id) AS n FROM s LEFT JOIN a ON a.status = s.status GROUP BY place, s.status""")
+def a09_application_funnel(spark, sf_dir):
+    return stats.application_funnel(applications(spark, sf_dir))
+
+
+@query(f"""WITH postings AS ({POSTINGS_SQL}), a AS ({APPLICATIONS})
+SELECT app_id, external_id, title, company, a.status, last_touched_at, title IS NULL AS missing, a.status IN ('applied', 'interviewing') AND last_touched_at < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AS ghosted
+FROM a LEFT JOIN (SELECT * FROM postings WHERE posting_key % 20 = 0) USING (posting_key)""")
+def j11_r07_applications(spark, sf_dir):
+    posted = postings(spark, sf_dir).filter("posting_key % 20 = 0").select("posting_key", "external_id", "title", "company")
+    apps = applications(spark, sf_dir).join(posted.select("posting_key", "external_id"), "posting_key", "left")
+    return stats.enrich_applications(apps, posted, AS_OF).select("app_id", "external_id", "title", "company", "status", "last_touched_at", "missing", "ghosted")
+
+
+@query("""WITH u AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS site, url FROM pages), e AS (SELECT site, min(url) AS a, max(url) AS b, count(*) AS n FROM u GROUP BY site),
+k AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])) AS same FROM e),
+p AS (SELECT *, regexp_replace(CASE WHEN n = 1 THEN a ELSE a[1:same] END, '[^/]*$', '') AS cut FROM k)
+SELECT site, CASE WHEN contains(cut, '://') THEN '^' || regexp_replace(cut, '([.+*?()|\\[\\]{}^$\\\\])', '\\\\\\1', 'g')
+  WHEN site <> '' THEN '^https?://' || regexp_replace(site, '([.+*?()|\\[\\]{}^$\\\\])', '\\\\\\1', 'g') || '/' ELSE '^https?://' END AS pattern FROM p""")
+def a14_url_patterns(spark, sf_dir):
+    return stats.derive_url_patterns(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("site"), "url"))
+
+
+_LIVE = "coalesce(is_active, true)"
+
+
+@query(f"""{P}, f AS (SELECT *, coalesce(posted_at, scraped_at) AS stamp, CAST(coalesce(posted_at, scraped_at) AS DATE) AS day FROM labelled
+  WHERE {_LIVE} AND industry IN ('tech', 'healthcare') AND country IN ('US', 'DE', 'CA') AND {_USD('salary_max')} >= 60000 AND salary_max <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY stamp DESC, external_id) AS pos FROM f),
+q AS (SELECT *, row_number() OVER (PARTITION BY day, company ORDER BY pos) AS round, min(pos) OVER (PARTITION BY day, company) AS first FROM r)
+SELECT external_id, title, company, country, industry, row_number() OVER (ORDER BY day DESC, round, first) AS place FROM q""")
+def t07_browse(spark, sf_dir):
+    search = filters.SearchFilter(industry=["tech", "healthcare"], country=["US", "DE", "CA"], salary_min_usd=60_000)
+    return ranking.browse(labelled(spark, sf_dir), search, AS_OF).select("external_id", "title", "company", "country", "industry", "place")
+
+
+@query(f"{P} SELECT external_id FROM labelled WHERE {_LIVE} AND scraped_at >= TIMESTAMP '{AS_OF}' - INTERVAL 45 DAY AND contains(lower(location), 'san francisco') AND contains(lower(company), 'acme 1')")
+def f01_f06_filters(spark, sf_dir):
+    return filters.SearchFilter(location="San Francisco ", company="acme 1", max_age_days=filters.STALE_DAYS).apply(labelled(spark, sf_dir), AS_OF).select("external_id")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with a vector: that of their company and title, changed a little or much by every third and sixth posting."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    p = labelled(spark, sf_dir).withColumn("vec_id", (F.regexp_extract("company", r"Acme (\d+)", 1).cast("bigint") * 20 + c("posting_key") % 20) % 500)
+    noise = F.element_at(F.array(F.lit(0.0), F.lit(0.05), F.lit(0.8)), ((c("posting_key") % 24 / 8).cast("int") + 1))
+    out = p.join(e, "vec_id").withColumn("vector", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == 0, noise).otherwise(0.0)))
+    return out.drop("embedding", "vec_id")
+
+
+_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
+_COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+@query(f"SELECT vec_id, round({_COS.format(a='embedding::DOUBLE[]', b='q::DOUBLE[]')}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS.format(a='embedding::DOUBLE[]', b='q::DOUBLE[]')} DESC, vec_id LIMIT 20")
+def t01_vector_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id = 7").first()["embedding"]
+    return ranking.vector_topk(e, asked, 20, "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS.format(a='a.embedding::DOUBLE[]', b='b.embedding::DOUBLE[]')} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def t02_batch_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query_vector"))
+    return ranking.batch_topk(asked, e, 10, "query_id", "query_vector", "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@query()
+def t04_quantised_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return ranking.quantised_topk(e, e.filter("vec_id = 7").first()["embedding"], 20, "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""{P}, t(token, word) AS (VALUES (0, 'software engineer'), (1, 'nurse')), h AS (SELECT token, external_id FROM labelled JOIN t ON regexp_matches(lower(title), '\\b' || word || '\\b') WHERE {_LIVE}),
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY token ORDER BY external_id) <= 50), f AS (SELECT external_id, min(token) AS token FROM k GROUP BY external_id)
+SELECT external_id, row_number() OVER (ORDER BY token, external_id) AS rank FROM f QUALIFY rank <= 100""")
+def t05_keyword_pass(spark, sf_dir):
+    live = filters.SearchFilter().apply(labelled(spark, sf_dir), AS_OF)
+    return ranking.keyword_pass(live, ["Nurse", "software engineer", "x"], 100)
+
+
+@query()
+def t06_hybrid_search(spark, sf_dir):
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 7").first()["embedding"]
+    found = ranking.hybrid_search(vectors(spark, sf_dir), asked, ["software engineer"], filters.SearchFilter(country=["US"]), AS_OF)
+    return found.select("external_id", F.round("fused", 8).alias("fused"), F.round("score", 6).alias("score"), "quality", "total")
+
+
+_V = f"""{P}, v AS (SELECT l.*, {_POINT} AS point_id, {_COMPANY} AS ck, {_TITLE} AS tk, coalesce(country, '') AS land,
+    list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = 1 THEN CASE CAST(floor((posting_key % 24) / 8) AS INTEGER) WHEN 0 THEN 0.0 WHEN 1 THEN 0.05 ELSE 0.8 END ELSE 0.0 END) AS vector
+  FROM labelled l JOIN embeddings e ON e.vec_id = (CAST(regexp_extract(company, 'Acme (\\d+)', 1) AS BIGINT) * 20 + posting_key % 20) % 500 WHERE {_LIVE}),
+pairs AS (SELECT a.point_id AS a, b.point_id AS b FROM v a JOIN v b ON a.ck = b.ck AND a.tk = b.tk AND a.land = b.land AND a.remote_status = b.remote_status AND a.point_id < b.point_id
+  WHERE {_COS.format(a='a.vector', b='b.vector')} >= 0.98 AND a.ck <> '' AND a.tk <> '')"""
+
+
+@query(f"{_V} SELECT a, b FROM pairs")
+def j06_duplicate_pairs(spark, sf_dir):
+    return dedupe.duplicate_pairs(vectors(spark, sf_dir)).select("a", "b")
+
+
+@query(f"""{_V}, led AS (SELECT b AS member, min(a) AS leader FROM pairs GROUP BY b), cl AS (SELECT member AS point_id, leader FROM led UNION SELECT leader, leader FROM led),
+r AS (SELECT v.external_id, cl.leader, row_number() OVER w AS n, first_value(external_id) OVER w AS canonical_id FROM v JOIN cl USING (point_id)
+  WINDOW w AS (PARTITION BY cl.leader ORDER BY {map_sql('source', dedupe.PRIORITY)}, CASE WHEN salary_max > 0 THEN 1.0 ELSE 0.0 END + least(2.0, length(description) / 1500.0) DESC, point_id))
+SELECT external_id, canonical_id FROM r WHERE n > 1""")
+def m05_dedupe_postings(spark, sf_dir):
+    return dedupe.dedupe_postings(vectors(spark, sf_dir))
+
+
+SEARCHES = [("s1", "US", None, "tech", None, ["x"]), ("s2", None, "remote", None, "engineer", []), ("s3", "DE", None, None, "nurse", [])]
+
+
+def searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEARCHES, "search_id string, country string, remote_status string, industry string, keyword string, last_result_ids array<string>")
+
+
+_S = "s(search_id, sc, sr, si, sk) AS (VALUES ('s1', 'US', NULL, 'tech', NULL), ('s2', NULL, 'remote', NULL, 'engineer'), ('s3', 'DE', NULL, NULL, 'nurse'))"
+
+
+@query(f"""{P}, {_S}, m AS (SELECT search_id, external_id, row_number() OVER (PARTITION BY search_id ORDER BY coalesce(posted_at, scraped_at) DESC, external_id) AS rank FROM labelled JOIN s
+  ON (sc IS NULL OR sc = country) AND (sr IS NULL OR sr = remote_status) AND (si IS NULL OR si = industry) AND (sk IS NULL OR contains(lower(title), sk)) WHERE {_LIVE}) SELECT * FROM m WHERE rank <= 60""")
+def j09_saved_search_matches(spark, sf_dir):
+    return ingest.match_saved_searches(labelled(spark, sf_dir), searches(spark), AS_OF)
+
+
+@query(f"""WITH postings AS ({POSTINGS_SQL}), b AS (SELECT external_id, title, scraped_at FROM postings UNION ALL SELECT external_id, 'Updated ' || title, scraped_at + INTERVAL 1 DAY FROM postings WHERE posting_key % 3 = 0)
+SELECT external_id, arg_max(title, scraped_at) AS title, max(scraped_at) AS scraped_at FROM b GROUP BY external_id""")
+def k01_upsert(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    newer = p.filter("posting_key % 3 = 0").withColumn("title", F.concat(F.lit("Updated "), "title")).withColumn("scraped_at", c("scraped_at") + F.expr("interval 1 day"))
+    return ingest.upsert_postings(p, newer).select("external_id", "title", "scraped_at")
+
+
+@query(f"{P} SELECT l.source AS old, l.country AS new, count(*) AS n FROM labelled l GROUP BY ALL")
+def a04_transition_tally(spark, sf_dir):
+    p = labelled(spark, sf_dir)
+    return stats.transition_tally(p.select("external_id", c("source").alias("label")), p.select("external_id", c("country").alias("label")), "label")
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id FROM postings WHERE posting_key % 7 <> 0")
+def j01_skip_existing(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return ingest.skip_existing(p, p.filter("posting_key % 7 = 0")).select("external_id")
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, source, title FROM postings QUALIFY row_number() OVER (PARTITION BY source ORDER BY scraped_at DESC, external_id) <= 12")
+def w09_top_n_per_source(spark, sf_dir):
+    return ranking.top_n_per_group(postings(spark, sf_dir), ["source"], [c("scraped_at").desc(), c("external_id")], 12).select("external_id", "source", "title")
+
+
+@query()
+def k07_jobposting_jsonld(spark, sf_dir):
+    return ingest.to_jobposting_jsonld(labelled(spark, sf_dir))
+
+
+@query()
+def p39_chunk_text(spark, sf_dir):
+    return ingest.chunk_text(table(spark, sf_dir, "documents").repartition("doc_id"), "doc_id", "text")
+
+
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, title, location FROM postings WHERE title <> '' AND posting_key % 2 = 0")
+def s01_greenhouse_round_trip(spark, sf_dir):
+    """Postings written as feed responses and read back by the feed's normaliser."""
+    p = postings(spark, sf_dir).filter("posting_key % 2 = 0")
+    job = F.struct(c("posting_key").alias("id"), "title", c("source").alias("absolute_url"), c("description").alias("content"), F.struct(c("location").alias("name")).alias("location"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), c("external_id").alias("ref"))
+    raw = p.select(F.lit("greenhouse").alias("source"), c("external_id").alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
+    out = feeds.normalize(raw, "greenhouse")
+    return out.select(F.regexp_extract("external_id", r"^greenhouse:(.*):\d+$", 1).alias("external_id"), "title", "location")
