@@ -416,3 +416,77 @@ def s01_greenhouse_round_trip(spark, sf_dir):
     raw = p.select(F.lit("greenhouse").alias("source"), c("external_id").alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
     out = feeds.normalize(raw, "greenhouse")
     return out.select(F.regexp_extract("external_id", r"^greenhouse:(.*):\d+$", 1).alias("external_id"), "title", "location")
+
+
+@query()
+def t03_cell_topk(spark, sf_dir):
+    """Approximate nearest neighbours through cells around the vectors with the smallest ids of each label."""
+    e = table(spark, sf_dir, "embeddings")
+    centres = [r["embedding"] for r in ranking.first_per_key(e, ["label"], [c("vec_id")]).orderBy("label").collect()]  # one for each label
+    asked = e.filter("vec_id = 7").first()["embedding"]
+    return ranking.cell_topk(e, centres, asked, 20, max(1, len(centres) // 2), "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x, 9) AS x FROM m""")
+def a16_centroids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(c("label").cast("string").alias("label"), "embedding")
+    means = stats.industry_centroids(e, "label", "embedding")
+    return means.select(c("label").cast("int").alias("label"), F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 9))
+
+
+@query()
+def a08_skill_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    profiles = e.select(F.concat(F.lit("u"), c("vec_id").cast("string")).alias("uid"), F.lit("Python and C++ on Kubernetes").alias("resume_text"), F.lit("tech").alias("industry"), c("embedding").alias("skill_vector"))
+    from hirelake.operators import matching
+
+    return matching.skill_gaps(profiles, vectors(spark, sf_dir), lexicon(spark), "1999-01-01 00:00:00")
+
+
+@query()
+def t10_explain_match(spark, sf_dir):
+    """Chunks of consecutive turns of each conversation, matched."""
+    from hirelake.operators import matching
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(c("role") == "user", c("text"))).alias("resume_text"), F.max(F.when(c("role") == "assistant", c("text"))).alias("job_text"))
+    return matching.explain_match(turns.withColumnRenamed("conv_id", "match").repartition("match"))
+
+
+@query(f"""WITH postings AS ({POSTINGS_SQL}), hits AS (SELECT source AS adapter, external_id FROM postings WHERE posting_key % 3 = 0), a(adapter) AS (VALUES ('greenhouse'), ('workday'), ('lever'))
+SELECT a.adapter, count(external_id) AS n FROM a LEFT JOIN hits USING (adapter) GROUP BY a.adapter""")
+def a10_hits_by_adapter(spark, sf_dir):
+    from hirelake.operators import matching
+
+    hits = postings(spark, sf_dir).filter("posting_key % 3 = 0").select(c("source").alias("adapter"))
+    return matching.hits_by_adapter(hits, ["greenhouse", "workday", "lever"])
+
+
+@query(f"""{P}, f AS (SELECT external_id, CASE WHEN posting_key % 2 = 0 THEN country END AS stored, country FROM labelled) SELECT external_id, coalesce(country, stored) AS country FROM f""")
+def m01_backfill_country(spark, sf_dir):
+    p = labelled(spark, sf_dir)
+    stored = p.withColumn("country", F.when(c("posting_key") % 2 == 0, c("country")))
+    return ingest.backfill_country(stored).select("external_id", "country")
+
+
+@query(f"""WITH postings AS ({POSTINGS_SQL}) SELECT external_id, coalesce(posted_at, scraped_at) AS posted_at FROM postings""")
+def m04_backfill_posted_at(spark, sf_dir):
+    return ingest.posted_or_scraped(postings(spark, sf_dir)).select("external_id", "posted_at")
+
+
+@query(f"""{P}, b AS (SELECT {_COMPANY} AS ck, {_TITLE} AS tk, coalesce(country, '') AS land, remote_status, count(*) AS n FROM labelled WHERE {_LIVE} GROUP BY ALL)
+SELECT (SELECT count(*) FROM labelled) AS total, (SELECT CAST(sum(CAST({_LIVE} AS INTEGER)) AS BIGINT) FROM labelled) AS active, count(*) AS buckets, CAST(sum(CAST(n > 1 AS INTEGER)) AS BIGINT) AS candidate_buckets FROM b WHERE ck <> '' AND tk <> ''""")
+def a13_dedupe_report(spark, sf_dir):
+    p = labelled(spark, sf_dir)
+    return dedupe.dedupe_report(p, p.limit(0)).select("total", "active", "buckets", "candidate_buckets")
+
+
+@query(f"""WITH postings AS ({POSTINGS_SQL}) SELECT external_id, CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(scraped_at) < 7 * 86400 THEN 'fresh' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(scraped_at) > 45 * 86400 THEN 'stale' END AS pill FROM postings""")
+def p18_freshness(spark, sf_dir):
+    return postings(spark, sf_dir).select("external_id", pay.freshness_pill(c("scraped_at"), AS_OF).alias("pill"))
+
+
+@query(r"""WITH k AS (SELECT 'x:' || array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')), '[^\w\s+#./-]', ' ', 'g'), '\s+'), lambda w: w <> '')), ' ') AS key FROM benchmark)
+SELECT key, count(*) AS n FROM k GROUP BY key""")
+def p43_query_popularity(spark, sf_dir):
+    """Requests that are equal as queries, counted; benchmark items stand in for queries."""
+    return stats.counts_by(table(spark, sf_dir, "benchmark").select(text.query_cache_key(F.regexp_replace("text", "[^\\x00-\\x7F]", " "), F.lit(True)).alias("key")), "key")
