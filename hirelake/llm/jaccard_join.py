@@ -37,7 +37,7 @@ SMALL = 128
 PART = np.uint64(int(0.3 * 2**64))
 #: Packed entries per message, and shingles of a group that one task takes.
 FLUSH = 4_000_000
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 250_000
 #: Sets this small in all are sent to every task instead of shuffling the texts they come from.
 BROADCAST_BYTES = 8 << 20
 
@@ -150,12 +150,39 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     return pa.table({"short": o[shared], "token": t[shared].view(np.int64)})
 
 
-def _shared_in_part(table: pa.Table) -> pa.Table:
-    found = _shared_counts(table)
-    o, t = found.column("short").to_numpy(), found.column("token").to_numpy().view(np.uint64)
-    inside = t <= PART  # what small sets share beyond this part is told apart by the caller
-    who, at = np.unique(o, return_inverse=True)
-    return pa.table({"short": who, "part": np.bincount(at[inside], minlength=len(who)), "n": np.bincount(at, minlength=len(who))})
+def _by_destination(owners: np.ndarray, n_buckets: int, *values: np.ndarray) -> list[tuple]:
+    """(destination, packed owners, packed values ...): what belongs to an owner goes to the owner's bucket, in one row for each bucket."""
+    to = owners % n_buckets
+    order = np.lexsort((owners, to))
+    to, cols = to[order], [x[order] for x in (owners, *values)]
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist() + [len(to)] if len(to) else [0]
+    return [(int(to[a]), *(x[a:b].tobytes() for x in cols)) for a, b in zip(cuts, cuts[1:])]
+
+
+def _packed_table(rows: list[tuple], *names: str) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.table({n: pa.array(c, pa.int32() if n == "dest" else pa.binary()) for n, c in zip(names, columns)})
+
+
+def _shared_in_part(n_buckets: int):
+    """For one bucket: shared shingles of each class, in the counted part and in all, packed by the class's own bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _shared_counts(table)
+        o, t = found.column("short").to_numpy(), found.column("token").to_numpy().view(np.uint64)
+        who, at = np.unique(o, return_inverse=True)
+        part, every = np.bincount(at[t <= PART], minlength=len(who)).astype(np.int64), np.bincount(at, minlength=len(who)).astype(np.int64)
+        return _packed_table(_by_destination(who, n_buckets, part, every), "dest", "shorts", "part", "every")
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row for each class of a bucket: its shared shingles over all buckets of shingles."""
+    short, part, every = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("shorts", "part", "every"))
+    who, at = np.unique(short, return_inverse=True)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(who)).astype(np.int64)
+    return pa.table({"short": who, "part": add(part), "n": add(every)})
 
 
 def _full_sets(wanted: pa.DataType | None = None):
@@ -186,45 +213,43 @@ def _bucketed(n_buckets: int):
     return run
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
-    """For one bucket: each class's shingles that occur in other classes, with the number of classes that have them."""
-    t = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-    o = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
-    order = np.lexsort((o, t))
-    t, o = t[order], o[order]
-    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    size = np.diff(np.r_[start, len(t)])
-    many = np.repeat(size, size)
-    shared = many > 1
-    t, o, many = t[shared], o[shared], many[shared]
-    order = np.argsort(o, kind="stable")
-    t, o, many = t[order], o[order], many[order]
-    cuts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]).tolist() + [len(o)] if len(o) else [0]
-    spans = list(zip(cuts, cuts[1:]))
-    return pa.table({
-        "class": pa.array([int(o[a]) for a, _ in spans], pa.int64()),
-        "tokens": pa.array([t[a:b].tobytes() for a, b in spans], pa.binary()),
-        "many": pa.array([many[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary()),
-    })
+def _frequencies(n_buckets: int):
+    """For one bucket: classes' shingles that occur in other classes, with the number of classes that have them, packed by the class's own bucket."""
 
+    def run(table: pa.Table) -> pa.Table:
+        t = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
+        o = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        size = np.diff(np.r_[start, len(t)])
+        many = np.repeat(size, size)
+        shared = many > 1
+        return _packed_table(_by_destination(o[shared], n_buckets, t[shared], many[shared].astype(np.int64)), "dest", "classes", "tokens", "many")
 
-def _prefixes(percent: int):
-    """(class, n, lists of tokens, lists of frequencies) to the class's prefix shingles that others have, and how much of it is its own."""
+    return run
 
-    def run(batches):
-        for batch in batches:
-            who, own, tokens, counts = [], [], [], []
-            for c, n, ts, ms in zip(*(x.to_pylist() for x in batch.columns)):
-                t, m = np.frombuffer(b"".join(ts), np.uint64), np.frombuffer(b"".join(ms), np.int64)
-                take = n - least_overlap(n, percent) + 1 - (n - len(t))
-                if take > 0:
-                    order = np.lexsort((t, m))[:take]
-                    who.append(c)
-                    own.append((n - len(t)) / n)
-                    tokens.append(t[order].view(np.int64))
-                    counts.append(len(order))
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(who, np.int64), counts) if who else flat), pa.array(np.repeat(np.array(own), counts) if who else flat.astype(float))], names=["token", "class", "own"])
+
+def _prefixes(percent: int):
+    """For the classes of one bucket: prefix shingles that others have too, and how much of the class is its own."""
+
+    def run(packed: pa.Table, sizes: pa.Table) -> pa.Table:
+        c, t, m = (np.frombuffer(b"".join(packed.column(x).to_pylist()), k) for x, k in (("classes", np.int64), ("tokens", np.uint64), ("many", np.int64)))
+        size = dict(zip(sizes.column("class").to_pylist(), sizes.column("n").to_pylist()))
+        order = np.lexsort((t, m, c))
+        c, t = c[order], t[order]
+        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]).tolist() + [len(c)] if len(c) else [0]
+        who, own, tokens, counts = [], [], [t[:0]], []
+        for a, b in zip(cuts, cuts[1:]):
+            n = size[int(c[a])]
+            alone = n - (b - a)  # shingles of no other class fill the prefix first
+            take = n - least_overlap(n, percent) + 1 - alone
+            if take > 0:
+                tokens.append(t[a : min(b, a + take)])
+                who.append(int(c[a]))
+                own.append(alone / n)
+                counts.append(len(tokens[-1]))
+        return pa.table({"token": np.concatenate(tokens).view(np.int64), "class": np.repeat(np.array(who, np.int64), counts), "own": np.repeat(np.array(own, float), counts)})
 
     return run
 
@@ -401,7 +426,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = told.filter("kind = 0").select("id", "fp", "short", "n", "need")
     buckets = told.filter("kind = 1").select("bucket", "tokens", "owners")
     here = told.filter("kind = 2").select("short", F.lit(0).cast("long").alias("part"), "n", F.col("n").alias("here"))
-    there = buckets.groupBy("bucket").applyInArrow(_shared_in_part, "short long, part long, n long").withColumn("here", F.lit(0).cast("long"))
+    packed = buckets.groupBy("bucket").applyInArrow(_shared_in_part(n_buckets), "dest int, shorts binary, part binary, every binary")
+    there = packed.groupBy("dest").applyInArrow(_summed, "short long, part long, n long").withColumn("here", F.lit(0).cast("long"))
     shared = here.unionByName(there).groupBy("short").agg(F.sum("part").alias("part"), F.sum(F.when(F.col("here") == 0, F.col("n")).otherwise(0)).alias("all"), F.sum("here").alias("here"))
     classes = staged(
         heads.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("need").alias("need"))
@@ -418,10 +444,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = texts.select("fp", "text").mapInArrow(_full_sets(), "fp string, tokens binary").dropDuplicates(["fp"])
     sets = staged(sets.join(left.select("fp", "class", "n"), "fp").select("class", "n", "tokens"), "sets")
     packed = sets.select("class", "tokens").mapInArrow(_bucketed(n_buckets), "bucket int, tokens binary, owners binary")
-    freq = packed.groupBy("bucket").applyInArrow(_frequencies, "class long, tokens binary, many binary")
-    # At most one row for each bucket is gathered for a class: its own shingles.
-    per_class = freq.groupBy("class").agg(F.collect_list("tokens").alias("t"), F.collect_list("many").alias("m"))
-    prefix = staged(per_class.join(sets.select("class", "n"), "class").select("class", "n", "t", "m").mapInArrow(_prefixes(percent), "token long, class long, own double"), "prefixes")
+    freq = packed.groupBy("bucket").applyInArrow(_frequencies(n_buckets), "dest int, classes binary, tokens binary, many binary")
+    sizes = sets.select(F.pmod("class", F.lit(n_buckets)).cast("int").alias("dest"), "class", "n")
+    prefix = freq.groupBy("dest").cogroup(sizes.groupBy("dest")).applyInArrow(_prefixes(percent), "token long, class long, own double")
+    prefix = staged(prefix, "prefixes")
     lists = staged(prefix.groupBy("token").agg(F.min(F.struct("own", "class")).alias("centre"), F.count("*").alias("many")).filter("many > 1").select("token", F.col("centre.class").alias("centre")), "lists")
     ties = prefix.join(lists, "token").filter("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b"))
     groups = connected_components(ties)
