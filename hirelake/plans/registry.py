@@ -238,7 +238,7 @@ def a07_cumulative_history(spark, sf_dir):
     return stats.cumulative_history(labelled(spark, sf_dir), AS_OF, HISTORY)
 
 
-APPLICATIONS = "SELECT concat('a', CAST(o_orderkey AS VARCHAR(20))) AS app_id, o_orderkey AS posting_key, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'interviewing' ELSE 'rejected' END AS status, o_orderdate AS last_touched_at FROM orders WHERE o_orderkey % 10 = 0"
+APPLICATIONS = "SELECT concat('a', CAST(o_orderkey AS VARCHAR(20))) AS app_id, o_orderkey AS posting_key, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'interviewing' ELSE 'rejected' END AS status, o_orderdate AS last_touched_at FROM orders"
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +254,9 @@ def a09_application_funnel(spark, sf_dir):
 
 @query(f"""WITH postings AS ({POSTINGS_SQL}), a AS ({APPLICATIONS})
 SELECT app_id, external_id, title, company, a.status, last_touched_at, title IS NULL AS missing, a.status IN ('applied', 'interviewing') AND last_touched_at < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AS ghosted
-FROM a LEFT JOIN (SELECT * FROM postings WHERE posting_key % 20 = 0) USING (posting_key)""")
+FROM a LEFT JOIN (SELECT * FROM postings WHERE source <> 'hackernews') USING (posting_key)""")
 def j11_r07_applications(spark, sf_dir):
-    posted = postings(spark, sf_dir).filter("posting_key % 20 = 0").select("posting_key", "external_id", "title", "company")
+    posted = postings(spark, sf_dir).filter("source <> 'hackernews'").select("posting_key", "external_id", "title", "company")
     apps = applications(spark, sf_dir).join(posted.select("posting_key", "external_id"), "posting_key", "left")
     return stats.enrich_applications(apps, posted, AS_OF).select("app_id", "external_id", "title", "company", "status", "last_touched_at", "missing", "ghosted")
 
@@ -373,11 +373,11 @@ def j09_saved_search_matches(spark, sf_dir):
     return ingest.match_saved_searches(labelled(spark, sf_dir), searches(spark), AS_OF)
 
 
-@query(f"""WITH postings AS ({POSTINGS_SQL}), b AS (SELECT external_id, title, scraped_at FROM postings UNION ALL SELECT external_id, 'Updated ' || title, scraped_at + INTERVAL 1 DAY FROM postings WHERE posting_key % 3 = 0)
+@query(f"""WITH postings AS ({POSTINGS_SQL}), b AS (SELECT external_id, title, scraped_at FROM postings UNION ALL SELECT external_id, 'Updated ' || title, scraped_at + INTERVAL 1 DAY FROM postings WHERE source = 'workday')
 SELECT external_id, arg_max(title, scraped_at) AS title, max(scraped_at) AS scraped_at FROM b GROUP BY external_id""")
 def k01_upsert(spark, sf_dir):
     p = postings(spark, sf_dir)
-    newer = p.filter("posting_key % 3 = 0").withColumn("title", F.concat(F.lit("Updated "), "title")).withColumn("scraped_at", c("scraped_at") + F.expr("interval 1 day"))
+    newer = p.filter("source = 'workday'").withColumn("title", F.concat(F.lit("Updated "), "title")).withColumn("scraped_at", c("scraped_at") + F.expr("interval 1 day"))
     return ingest.upsert_postings(p, newer).select("external_id", "title", "scraped_at")
 
 
@@ -387,10 +387,10 @@ def a04_transition_tally(spark, sf_dir):
     return stats.transition_tally(p.select("external_id", c("source").alias("label")), p.select("external_id", c("country").alias("label")), "label")
 
 
-@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id FROM postings WHERE posting_key % 7 <> 0")
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id FROM postings WHERE source <> 'workday'")
 def j01_skip_existing(spark, sf_dir):
     p = postings(spark, sf_dir)
-    return ingest.skip_existing(p, p.filter("posting_key % 7 = 0")).select("external_id")
+    return ingest.skip_existing(p, p.filter("source = 'workday'")).select("external_id")
 
 
 @query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, source, title FROM postings QUALIFY row_number() OVER (PARTITION BY source ORDER BY scraped_at DESC, external_id) <= 12")
@@ -408,10 +408,10 @@ def p39_chunk_text(spark, sf_dir):
     return ingest.chunk_text(table(spark, sf_dir, "documents").repartition("doc_id"), "doc_id", "text")
 
 
-@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, title, location FROM postings WHERE title <> '' AND posting_key % 2 = 0")
+@query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id, title, location FROM postings WHERE title <> ''")
 def s01_greenhouse_round_trip(spark, sf_dir):
     """Postings written as feed responses and read back by the feed's normaliser."""
-    p = postings(spark, sf_dir).filter("posting_key % 2 = 0")
+    p = postings(spark, sf_dir)
     job = F.struct(c("posting_key").alias("id"), "title", c("source").alias("absolute_url"), c("description").alias("content"), F.struct(c("location").alias("name")).alias("location"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), c("external_id").alias("ref"))
     raw = p.select(F.lit("greenhouse").alias("source"), c("external_id").alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
     out = feeds.normalize(raw, "greenhouse")
@@ -436,7 +436,7 @@ def a16_centroids(spark, sf_dir):
 
 @query()
 def a08_skill_gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0")
     profiles = e.select(F.concat(F.lit("u"), c("vec_id").cast("string")).alias("uid"), F.lit("Python and C++ on Kubernetes").alias("resume_text"), F.lit("tech").alias("industry"), c("embedding").alias("skill_vector"))
     from hirelake.operators import matching
 
@@ -452,19 +452,19 @@ def t10_explain_match(spark, sf_dir):
     return matching.explain_match(turns.withColumnRenamed("conv_id", "match").repartition("match"))
 
 
-@query(f"""WITH postings AS ({POSTINGS_SQL}), hits AS (SELECT source AS adapter, external_id FROM postings WHERE posting_key % 3 = 0), a(adapter) AS (VALUES ('greenhouse'), ('workday'), ('lever'))
+@query(f"""WITH postings AS ({POSTINGS_SQL}), hits AS (SELECT source AS adapter, external_id FROM postings), a(adapter) AS (VALUES ('greenhouse'), ('workday'), ('lever'))
 SELECT a.adapter, count(external_id) AS n FROM a LEFT JOIN hits USING (adapter) GROUP BY a.adapter""")
 def a10_hits_by_adapter(spark, sf_dir):
     from hirelake.operators import matching
 
-    hits = postings(spark, sf_dir).filter("posting_key % 3 = 0").select(c("source").alias("adapter"))
+    hits = postings(spark, sf_dir).select(c("source").alias("adapter"))
     return matching.hits_by_adapter(hits, ["greenhouse", "workday", "lever"])
 
 
-@query(f"""{P}, f AS (SELECT external_id, CASE WHEN posting_key % 2 = 0 THEN country END AS stored, country FROM labelled) SELECT external_id, coalesce(country, stored) AS country FROM f""")
+@query(f"""{P}, f AS (SELECT external_id, CASE WHEN source = 'workday' THEN country END AS stored, country FROM labelled) SELECT external_id, coalesce(country, stored) AS country FROM f""")
 def m01_backfill_country(spark, sf_dir):
     p = labelled(spark, sf_dir)
-    stored = p.withColumn("country", F.when(c("posting_key") % 2 == 0, c("country")))
+    stored = p.withColumn("country", F.when(c("source") == "workday", c("country")))
     return ingest.backfill_country(stored).select("external_id", "country")
 
 
