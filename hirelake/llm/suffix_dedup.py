@@ -33,7 +33,6 @@ GRAM = 32
 #: Distinct surroundings of one anchor that one task compares.
 FREQUENT = 50_000
 FLUSH = 2_000_000
-BROADCAST_BYTES = 32 << 20
 _NONE = np.uint64(2**64 - 1)
 _RNG = np.random.default_rng(20240202)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -109,16 +108,18 @@ def _bytes_of(*arrays) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("l", "u4"), ("r", "u4"), ("doc", "i4"), ("at", "i4"), ("n", "i4"), ("many", "i4")])
+ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("l", "u4"), ("r", "u4"), ("doc", "i4"), ("at", "i4")])
+#: ``at`` of an entry that stands for several, settled where they met, is negative.
+SETTLED = np.int32(-(2**31))
 HEAD = "kind int, id {id}, fp binary, n_bytes long, bucket int, entries binary, docs binary, spans binary"
 
 
-def _span_rows(entries: np.ndarray, docs: list[bytes]):
+def _span_rows(entries: np.ndarray, docs: list[bytes], sizes: np.ndarray):
     """(fp, spans) of settled entries: everything a string around the anchor touches."""
     order = np.argsort(entries["doc"], kind="stable")
     e = entries[order]
     lo = np.maximum(0, e["at"] - (LENGTH - GRAM))
-    hi = np.minimum(e["n"], e["at"] + LENGTH)
+    hi = np.minimum(sizes[e["doc"]], e["at"] + LENGTH)
     spans = np.stack([lo, hi], axis=1).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, e["doc"][1:] != e["doc"][:-1]]).tolist() + [len(e)] if len(e) else [0]
     pairs = list(zip(cuts, cuts[1:]))
@@ -135,7 +136,7 @@ def _heads(n_buckets: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        rolling, seen, docs, parts, weight = Rolling(), set(), [], [], 0
+        rolling, seen, docs, sizes, parts, weight = Rolling(), set(), [], [], [], 0
 
         def flush():
             if parts:
@@ -145,10 +146,10 @@ def _heads(n_buckets: int, id_type: pa.DataType):
                 size = np.diff(np.r_[start, len(e)])
                 settled = e[np.repeat(size > 1, size)]
                 if len(settled):
-                    fps, spans = _span_rows(settled, docs)
+                    fps, spans = _span_rows(settled, docs, np.array(sizes, np.int64))
                     yield rows(2, len(fps), fp=fps, spans=spans)
                 e = e[start]
-                e["many"] = np.minimum(size, 2)
+                e["at"][size > 1] |= SETTLED
                 bucket = (e["h"] >> np.uint64(5)) % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
@@ -158,10 +159,11 @@ def _heads(n_buckets: int, id_type: pa.DataType):
                     used, doc = np.unique(e["doc"][a:b], return_inverse=True)
                     part = e[a:b].copy()
                     part["doc"] = doc
-                    sent.append((int(bucket[a]), part.tobytes(), b"".join(docs[k] for k in used)))
+                    sent.append((int(bucket[a]), part.tobytes(), b"".join(docs[k] + sizes[k].to_bytes(4, "little") for k in used)))
                 yield rows(1, len(sent), bucket=[s[0] for s in sent], entries=[s[1] for s in sent], docs=[s[2] for s in sent])
             seen.clear()
             docs.clear()
+            sizes.clear()
             parts.clear()
 
         for batch in batches:
@@ -174,11 +176,12 @@ def _heads(n_buckets: int, id_type: pa.DataType):
                         seen.add(f)
                         fresh[k] = len(docs)
                         docs.append(f)
+                        sizes.append(ends[k + 1] - ends[k])
                 text, at, h, c, left, right = anchors(rolling, data, offsets)
                 keep = fresh[text] >= 0
                 e = np.zeros(int(keep.sum()), ENTRY)
                 lengths = np.diff(offsets)
-                for name, values in (("h", h), ("c", c), ("l", left), ("r", right), ("doc", fresh[text]), ("at", at), ("n", lengths[text])):
+                for name, values in (("h", h), ("c", c), ("l", left), ("r", right), ("doc", fresh[text]), ("at", at)):
                     e[name] = values[keep]
                 if len(e):
                     parts.append(e)
@@ -207,19 +210,22 @@ def _settle(frequent: int):
     """For one bucket of anchors: spans settled by equal surroundings, and anchors whose bytes must be compared."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts, docs = [], []
+        parts, docs, sizes = [], [], []
         for raw, names in zip(table.column("entries").to_pylist(), table.column("docs").to_pylist()):
             e = np.frombuffer(raw, ENTRY).copy()
             e["doc"] += len(docs)
-            docs += [names[i : i + 16] for i in range(0, len(names), 16)]
+            docs += [names[i : i + 16] for i in range(0, len(names), 20)]
+            sizes += [int.from_bytes(names[i + 16 : i + 20], "little") for i in range(0, len(names), 20)]
             parts.append(e)
         e = np.concatenate(parts)
-        e = e[np.lexsort((e["many"], e["c"], e["h"]))]
+        e = e[np.lexsort((e["c"], e["h"]))]
+        settled = e["at"] < 0
+        e["at"] &= ~SETTLED
         alike = np.r_[False, (e["h"][1:] == e["h"][:-1]) & (e["c"][1:] == e["c"][:-1])]
         start = np.flatnonzero(~alike)
         size = np.diff(np.r_[start, len(e)])
-        repeats = np.maximum.reduceat(e["many"], start) * size > 1
-        fps, spans = _span_rows(e[np.repeat(repeats, size) & (e["many"] == 1)], docs)
+        repeats = np.maximum.reduceat(settled, start) | (size > 1)
+        fps, spans = _span_rows(e[np.repeat(repeats, size) & ~settled], docs, np.array(sizes, np.int64))
         # One of each surroundings; open ones are those met once.
         one, is_open = e[start], ~repeats
         some = np.zeros(len(one), bool)
@@ -451,10 +457,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of a text at most one list for each bucket is gathered.
     asks = settled.filter("asks is not null").groupBy("fp").agg(F.collect_list("asks").alias("asks"))
     asks = staged(asks.join(texts.select("fp", "rep"), "fp"), "asks")
-    size = asks.agg(F.sum(F.expr("64 + aggregate(asks, 0L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    few = F.broadcast(asks) if size <= BROADCAST_BYTES else asks
-    wanted = rows.join(few, rows["id"].eqNullSafe(few["rep"])).filter(digest == F.col("fp")).select("fp", "text", "asks")
+    wanted = rows.join(asks, rows["id"].eqNullSafe(asks["rep"])).filter(digest == F.col("fp")).select("fp", "text", "asks")
     sent = staged(wanted.mapInArrow(_surroundings(n_buckets), SENT), "surroundings")
     compared = sent.filter("bucket is not null").select("bucket", "places", "around", "docs").groupBy("bucket").applyInArrow(_compare, "fp binary, spans binary")
     windows = sent.filter("w1 is not null").select("fp", "w1", "w2", "start").distinct()
@@ -467,7 +471,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = spans.join(single, "fp", "left_semi").groupBy("fp").agg(F.collect_list("spans").alias("marks")).withColumn("whole", F.lit(False))
     whole = texts.filter("copies > 1").select("fp", F.lit(None).cast("array<binary>").alias("marks"), F.lit(True).alias("whole"))
     marks = staged(marks.unionByName(whole), "marks")
-    size = marks.agg(F.sum(F.expr("64 + coalesce(aggregate(marks, 0L, (a, x) -> a + octet_length(x)), 0L)"))).first()[0] or 0
-    few = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
-    out = rows.withColumn("fp", digest).join(few, "fp", "left").select("id", "text", "whole", "marks").mapInArrow(_removed(), T.StructType([rows.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())]))
+    out = rows.withColumn("fp", digest).join(marks, "fp", "left").select("id", "text", "whole", "marks").mapInArrow(_removed(), T.StructType([rows.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())]))
     return out.withColumnRenamed("id", id_col)
