@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Edits allowed for each character of an item.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Code points of items that one pass takes.
 BLOCK_CHARS = 2_000_000
 SPACES = re.compile(r"\s+")
