@@ -15,7 +15,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shrink by a constant factor. Labels live in staged tables; only one sum reaches the driver. Joins read
     exchanges on both sides, so adaptive execution can split a node with very many edges.
     """
-    both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # Both directions come from one reading: edges that depend on the order of rows would differ between two.
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.filter("a <> b").select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct()
     both = staged(both, "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
