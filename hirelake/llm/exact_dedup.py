@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming, in DataFrame functions only.
 
 Each normalised text is cut into blocks of a fixed number of code points. Sorting the distinct blocks
-turns each into an integer name. Adjacent names are then paired, the distinct pairs sorted and named
+turns each into an integer name (its rank within its range, so names follow the order). Adjacent names are then paired, the distinct pairs sorted and named
 in the same way, and so on, until each text has one name. Two texts with equally many blocks have the same
 name exactly if they are equal: no step relies on a hash.
 
@@ -30,7 +30,10 @@ def normalised(col: str):
 
 def _named(parts: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """``parts`` with an integer ``name`` for each distinct value of ``keys``, by sorted order."""
-    names = staged(parts.select(*keys).distinct().orderBy(*keys).withColumn("name", F.monotonically_increasing_id()), tag)
+    # Sorted by hash, then content: what is sampled to cut the ranges is a number, not a block.
+    order = [F.xxhash64(*keys), *keys]
+    ranged = parts.select(*keys).distinct().repartitionByRange(order[0]).sortWithinPartitions(*order)
+    names = staged(ranged.withColumn("name", F.monotonically_increasing_id()), tag)
     on = [parts[k].eqNullSafe(names[k]) if k == "right" else parts[k] == names[k] for k in keys]
     cond = on[0]
     for c in on[1:]:
