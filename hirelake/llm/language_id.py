@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.llm.shared import staged
+
 DIMENSIONS = 4096
 UNKNOWN = "und"
+SAMPLE_PARTITIONS = 8
 _MIX = np.uint32(0x9E3779B1)
 #: Code points of a text are counted in pieces of this length, which overlap so that no n-gram is lost.
 PIECE = 1 << 18
@@ -112,7 +115,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, per_language / v))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+    # The sample is bounded, so it fits a few partitions; the scan that draws it keeps all of its tasks.
+    sample = staged(rows.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text").repartition(SAMPLE_PARTITIONS), "sample")
     table = _letters()
 
     def summed(batches):
@@ -124,7 +128,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         yield pa.RecordBatch.from_pydict({"df": [total.tolist()], "n": [n]})
 
     df, n = np.zeros(DIMENSIONS), 0
-    for r in sample.coalesce(8).mapInArrow(summed, "df array<long>, n long").collect():  # at most eight rows of fixed size
+    for r in sample.mapInArrow(summed, "df array<long>, n long").collect():  # a row of fixed size for each of a few partitions
         df, n = df + np.array(r["df"]), n + r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
