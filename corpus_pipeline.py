@@ -34,8 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.encode(docs, queries.piece_model())
-    both = sentencepiece_codec.decode(coded.drop("text"), queries.piece_model())
+    both = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), queries.piece_model())
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -44,8 +44,7 @@ def piece_model() -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.encode(texts, piece_model()).drop("text")
-    both = sentencepiece_codec.decode(coded, piece_model())
+    both = sentencepiece_codec.encode_and_decode(texts, piece_model())
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

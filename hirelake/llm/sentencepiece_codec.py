@@ -27,7 +27,7 @@ MARK = "▁"
 #: Words beyond this many symbols are merged from the heap, which takes n log n steps.
 LONGEST_IN_ROUNDS = 512
 #: Words kept per task before the table starts anew; it bounds memory, not results.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 NO_RANK = np.int64(1) << 40
 
 
@@ -204,11 +204,11 @@ def encoder(model: PieceModel, text_col: int):
         table: dict[str, int] = {}
         known, begins, counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            parts, sizes = [], []
             column, n, first = batch.column(text_col), batch.num_rows, 0
             width = max(1, int(1e6 * n / max(1, column.nbytes)))  # rows in about 1 MB
             while first < n:
-                texts = column.slice(first, width).to_pylist()
+                part = batch.slice(first, width)
+                texts = part.column(text_col).to_pylist()
                 first += width
                 words: list[str] = []
                 ends = [0]
@@ -228,12 +228,9 @@ def encoder(model: PieceModel, text_col: int):
                 at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
                 k = counts[at]
                 total = np.r_[0, np.cumsum(k)]
-                parts.append(known[np.repeat(begins[at] - total[:-1], k) + np.arange(total[-1])])
-                sizes.append(np.diff(total[ends]))
-            lengths = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+                flat = known[np.repeat(begins[at] - total[:-1], k) + np.arange(total[-1])]
+                ids = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, "ids"])
 
     return run
 
@@ -245,17 +242,16 @@ def decoder(model: PieceModel, ids_col: int):
     def run(batches):
         surfaces = model.surfaces
         for batch in batches:
-            column = batch.column(ids_col)
-            if isinstance(column, pa.ChunkedArray):
-                column = column.combine_chunks()
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                raw = b"".join(map(surfaces.__getitem__, flat[a:b].tolist()))
-                if model.dummy_prefix and raw[:1] == b" ":
-                    raw = raw[1:]
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            width = max(1, int(4e6 * batch.num_rows / max(1, batch.column(ids_col).nbytes)))  # rows with about a million ids
+            for first in range(0, batch.num_rows, width):
+                part = batch.slice(first, width)
+                texts = []
+                for ids in part.column(ids_col):
+                    raw = b"".join(map(surfaces.__getitem__, ids.values.to_numpy().tolist()))
+                    if model.dummy_prefix and raw[:1] == b" ":
+                        raw = raw[1:]
+                    texts.append(raw.decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -276,3 +272,12 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     df = df.drop("decoded").withColumn(ids_col, F.coalesce(F.col(ids_col), F.array().cast("array<int>")))
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
     return df.mapInArrow(decoder(read_model(model_path), df.columns.index(ids_col)), schema)
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, both in one pass over the rows, so that ids cross to Python workers and back once."""
+    df = df.drop("ids", "decoded")
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    model, at, width = read_model(model_path), df.columns.index(text_col), len(df.columns)
+    into, back = encoder(model, at), decoder(model, width)
+    return df.mapInArrow(lambda batches: back(into(batches)), schema)

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from hirelake.llm.sentencepiece_codec import decode, encode
+from hirelake.llm.sentencepiece_codec import decode, encode, encode_and_decode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -33,3 +33,4 @@ def test_nulls_and_clashing_columns(spark):
     rows = decode(encode(df, PATH), PATH).orderBy("doc_id").collect()
     assert [r.ids for r in rows][0] == [] and rows[0].decoded == "" and rows[1] == rows[2]
     assert encode(df.limit(0), PATH).count() == 0
+    assert sorted(map(str, encode_and_decode(df, PATH).collect())) == sorted(map(str, rows))
