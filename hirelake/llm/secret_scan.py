@@ -2,7 +2,7 @@
 
 Each text is the first layer. Runs that look encoded (URL escapes, Unicode escapes, base64, compressed bytes inside
 base64) are unwrapped into further layers; each layer is scanned and searched for encoded runs in turn, until no
-layer is new. A set of the layers seen ends cycles. Every finding carries a span of the original text: escapes and
+layer is new. A set of the layers seen, each at its place, ends cycles; equal layers at different places all count. Every finding carries a span of the original text: escapes and
 base64 map character by character, a compressed layer maps to the run that held it.
 """
 
@@ -118,12 +118,20 @@ def _readable(raw: bytes) -> bool:
     return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text)
 
 
+def _key(layer: str, at: np.ndarray) -> bytes:
+    """A layer's content and place, which is where its characters begin. A cycle comes back to the same place: only compressed
+    layers grow, and their characters all begin with the run that held them."""
+    digest = hashlib.sha1(layer.encode("utf-8", "surrogatepass"))
+    digest.update(np.asarray(at[:-1], np.int64).tobytes())
+    return digest.digest()
+
+
 def unwrapped(text: str):
     """(layer, positions) for every layer below ``text``: ``positions[i]`` is where in ``text`` the layer's character
     ``i`` begins, its last entry where the layer ends."""
     if "%" not in text and "\\" not in text and "&#" not in text and not BASE64_RUN.search(text):
         return
-    seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
+    seen = {_key(text, np.arange(len(text) + 1))}
     work = [(text, None)]
     while work:
         layer, base = work.pop()
@@ -153,9 +161,9 @@ def unwrapped(text: str):
                 else:
                     fresh.append((inner, np.r_[np.full(len(inner), start), end]))
         for inner, at in fresh:
-            digest = hashlib.sha1(inner.encode("utf-8", "surrogatepass")).digest()
-            if inner and digest not in seen:
-                seen.add(digest)
+            key = _key(inner, at)
+            if inner and key not in seen:
+                seen.add(key)
                 yield inner, at
                 work.append((inner, at))
 

@@ -93,6 +93,13 @@ def test_secret_cycle_ends():
     assert spans_of(text) == ([], [])
 
 
+@pytest.mark.parametrize("run", [B, urllib.parse.quote(S, safe=""), base64.b64encode(gzip.compress(S.encode(), mtime=0)).decode(), base64.b64encode(B.encode()).decode()])
+def test_every_place_of_a_repeated_run_is_reported(run):
+    text = f"one {run} two\n{run} three\n{run}"
+    places = [i for i in range(len(text)) if text.startswith(run, i)]
+    assert spans_of(text) == ([], [(i, "assign", i + len(run)) for i in places])
+
+
 def test_secret_table(spark):
     df = spark.createDataFrame([(1, S, 0), (1, S, 0), (None, None, 1)], "doc_id long, text string, spans int")
     rows = find_secrets(df).collect()
