@@ -155,6 +155,10 @@ def read_seeds(df: DataFrame, column: str = "value") -> DataFrame:
     return rows.groupBy(F.lower("seed").alias("key")).agg(F.min(F.struct("seq", "seed")).alias("f")).select("f.seed")
 
 
+#: As ``limit`` of ``chunk_text``: no chunk is left out.
+ALL_CHUNKS = (1 << 31) - 1
+
+
 def chunk_text(df: DataFrame, id_col: str, column: str, low: int = 40, high: int = 280, limit: int = 25) -> DataFrame:
     """id, pos, chunk: sentences packed up to ``high`` characters; longer ones cut; packs under ``low`` dropped; the first ``limit``."""
     plain = F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"\s+", " "))

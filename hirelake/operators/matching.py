@@ -55,14 +55,14 @@ def embed(df: DataFrame, id_col: str, column: str, model: Callable[[list[str]],
     return rows.mapInPandas(run, f"id {kind}, vector array<float>").withColumnRenamed("id", id_col)
 
 
-def explain_match(pairs: DataFrame, model: Callable | None = None, k: int = 4, dim: int = 64) -> DataFrame:
-    """match, resume, job, score: the ``k`` best pairs of chunks of each (match, resume_text, job_text), every chunk in one pair at most."""
+def explain_match(pairs: DataFrame, model: Callable | None = None, k: int = 4, dim: int = 64, limit: int = 25) -> DataFrame:
+    """match, resume, job, score: the ``k`` best pairs of the first ``limit`` chunks of each (match, resume_text, job_text), every chunk in one pair at most."""
     sides = {}
     for side in ("resume", "job"):
-        chunks = ingest.chunk_text(pairs, "match", f"{side}_text").withColumn("key", F.concat_ws(":", F.col("match").cast("string"), F.col("pos").cast("string")))
+        chunks = ingest.chunk_text(pairs, "match", f"{side}_text", limit=limit).withColumn("key", F.concat_ws(":", F.col("match").cast("string"), F.col("pos").cast("string")))
         vectors = embed(chunks, "key", "chunk", model, dim)
         sides[side] = chunks.join(vectors, "key").select("match", F.col("pos").alias(side + "_pos"), F.col("chunk").alias(side), F.col("vector").alias(side + "_vector"))
-    cells = sides["resume"].join(sides["job"], "match")  # at most 25 by 25 chunks of one match
+    cells = sides["resume"].join(sides["job"], "match")  # at most ``limit`` by ``limit`` chunks of one match
     scores = cells.select("match", F.col("resume_pos").alias("i"), F.col("job_pos").alias("j"), ranking.cosine(F.col("resume_vector"), F.col("job_vector")).alias("score"))
     best = ranking.greedy_pairs(scores, k)
     named = best.join(sides["resume"].select("match", F.col("resume_pos").alias("i"), "resume"), ["match", "i"]).join(sides["job"].select("match", F.col("job_pos").alias("j"), "job"), ["match", "j"])

@@ -443,13 +443,18 @@ def a08_skill_gaps(spark, sf_dir):
     return matching.skill_gaps(profiles, vectors(spark, sf_dir), lexicon(spark), "1999-01-01 00:00:00")
 
 
+def conversation_sides(turns: DataFrame) -> DataFrame:
+    """match, resume_text, job_text: all turns of the user and all of the assistant, in turn order, for each conversation."""
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), "\n")
+    return turns.groupBy(c("conv_id").alias("match")).agg(said("user").alias("resume_text"), said("assistant").alias("job_text"))
+
+
 @query()
 def t10_explain_match(spark, sf_dir):
-    """Chunks of consecutive turns of each conversation, matched."""
+    """Chunks of consecutive turns of each conversation, matched; none are cut off."""
     from hirelake.operators import matching
 
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(c("role") == "user", c("text"))).alias("resume_text"), F.max(F.when(c("role") == "assistant", c("text"))).alias("job_text"))
-    return matching.explain_match(turns.withColumnRenamed("conv_id", "match").repartition("match"))
+    return matching.explain_match(conversation_sides(table(spark, sf_dir, "conversations")).repartition("match"), limit=ingest.ALL_CHUNKS)
 
 
 @query(f"""WITH postings AS ({POSTINGS_SQL}), hits AS (SELECT source AS adapter, external_id FROM postings), a(adapter) AS (VALUES ('greenhouse'), ('workday'), ('lever'))

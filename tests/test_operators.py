@@ -86,6 +86,23 @@ def test_chunks_equal_a_plain_loop(spark):
     assert got == {i: loop(t) for i, t in enumerate(texts) if loop(t)}
 
 
+def test_every_turn_of_a_conversation_is_matched(spark):
+    from hirelake.operators import matching
+    from hirelake.plans.registry import conversation_sides
+
+    rng = random.Random(4)
+    rows = [(v, t, ["user", "assistant", "system"][t % 3], f"{rng.choice('zmea')} turn {v} {t}") for v in range(20) for t in range(rng.randint(1, 30))]
+    want = {v: tuple("\n".join(x for w, _, role, x in rows if w == v and role == side) for side in ("user", "assistant")) for v in range(20)}
+    mixed = rng.sample(rows, len(rows))
+    df = spark.createDataFrame(mixed, "conv_id long, turn long, role string, text string").repartition(3)
+    assert {r.match: (r.resume_text, r.job_text) for r in conversation_sides(df).collect()} == want
+    last = " ".join(f"word{i}" for i in range(40)) + "."
+    user = [(1, 2 * i, "user", last if i == 39 else f"{'x' * 200}{i}.") for i in range(40)]
+    said = spark.createDataFrame([*user, (1, 79, "assistant", last)], "conv_id long, turn long, role string, text string")
+    best = matching.explain_match(conversation_sides(said), k=1, limit=ingest.ALL_CHUNKS).collect()
+    assert [r.resume for r in best] == [last]
+
+
 def test_upsert_keeps_the_latest_and_is_idempotent(spark):
     schema = "external_id string, title string, company string, location string, description string, source string, scraped_at timestamp_ntz, posted_at timestamp_ntz, is_active boolean"
     import datetime as d
