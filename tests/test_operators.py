@@ -103,6 +103,25 @@ def test_every_turn_of_a_conversation_is_matched(spark):
     assert [r.resume for r in best] == [last]
 
 
+def test_cells_find_nine_tenths_of_the_exact_top_k(spark):
+    import numpy as np
+
+    from hirelake.plans import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in registry.t03_cell_topk(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0} and all(len(g) == 20 for g in got.values())
+    for q, found in got.items():
+        score = dict(zip(ids.tolist(), x @ x[ids == q][0]))
+        exact = set(sorted(score, key=lambda i: (-score[i], i))[:20])
+        assert len(exact & set(found)) / 20 >= 0.9
+        assert all(abs(score[i] - s) < 1e-5 for i, s in found.items())
+
+
 def test_upsert_keeps_the_latest_and_is_idempotent(spark):
     schema = "external_id string, title string, company string, location string, description string, source string, scraped_at timestamp_ntz, posted_at timestamp_ntz, is_active boolean"
     import datetime as d
