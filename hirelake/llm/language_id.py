@@ -2,8 +2,8 @@
 
 A text becomes hashed counts of its character 1- to 3-grams (letters in lower case, runs of anything else as one blank), damped,
 weighted by inverse document frequency and normalised. Each language is described by several centroids, found by
-spherical k-means; a text takes the language of the centroid with the largest cosine. A text whose cosine falls
-below a share of what that language's own training texts reach is rejected.
+spherical k-means; a text takes the language of the centroid with the largest cosine. A text is rejected if its cosine falls
+below what all but a stated share of that language's own texts of its length reach when they are held out.
 
 The model is fitted on a bounded sample of the labelled rows (about ``per_language`` of each, chosen by a hash of the id) and has a
 fixed size, so it travels with the tasks.
@@ -11,6 +11,7 @@ fixed size, so it travels with the tasks.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from hirelake.llm.shared import staged
 DIMENSIONS = 4096
 UNKNOWN = "und"
 SAMPLE_PARTITIONS = 8
+#: Lengths in code points at which floors are set; between them they are interpolated by the logarithm. The last stands for whole texts.
+LENGTHS = (5, 10, 20, 40, 80, 160, 320, 640, 1280)
 _MIX = np.uint32(0x9E3779B1)
 #: Code points of a text are counted in pieces of this length, which overlap so that no n-gram is lost.
 PIECE = 1 << 18
@@ -33,7 +36,7 @@ PIECE = 1 << 18
 class LanguageModel:
     languages: list  # language of each centroid
     centroids: np.ndarray  # centroids x DIMENSIONS, normalised
-    floors: np.ndarray  # least cosine accepted by each centroid
+    floors: np.ndarray  # centroids x LENGTHS, least cosine accepted by each centroid at each length
     idf: np.ndarray
 
 
@@ -104,15 +107,43 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]
     return c, x @ c.T
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, centroids: int = 4, slack: float = 0.25, rounds: int = 8) -> LanguageModel:
+def _floors(texts: list, idf: np.ndarray, table: np.ndarray, centroids: int, rounds: int, false_rejections: float) -> list:
+    """For each of LENGTHS, the cosine that all but a share ``false_rejections`` of one language's texts, cut to that length, reach.
+
+    The texts are scored in two halves, each with centroids of the other. With fewer than 1 / ``false_rejections`` texts the tail is
+    not seen; the least cosine is then lowered in proportion. A length that no text has takes the floor of the length before it.
+    """
+    halves = [texts[0::2], texts[1::2]]
+    fitted = []
+    for half in halves:
+        x, some = _vectors(half, idf, table)
+        fitted.append(_kmeans(x[some], centroids, rounds)[0] if some.any() else None)
+    floors = []
+    for n in LENGTHS:
+        last = n == LENGTHS[-1]
+        best = []
+        for half, c in zip(halves, fitted[::-1]):
+            x, some = _vectors([t if last else t[:n] for t in half if len(t) >= (LENGTHS[-2] if last else n)], idf, table)
+            if c is not None and some.any():
+                best.append((x[some] @ c.T).max(axis=1))
+        if not best:
+            floors.append(floors[-1] if floors else 0.0)
+            continue
+        cos = np.sort(np.concatenate(best))
+        at = int(len(cos) * false_rejections)
+        floors.append(float(cos[at] if at else cos[0] * len(cos) * false_rejections))
+    return floors
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, centroids: int = 4, false_rejections: float = 0.01, rounds: int = 8) -> LanguageModel:
     """Fit on about ``per_language`` rows of each language, chosen by a hash of id; rows with a null language or text are left out.
 
-    ``floors``: ``slack`` times the 1st percentile of the best cosines that the language's own texts reach.
+    ``floors``: at each length, all but a share ``false_rejections`` of the language's own texts reach them when held out.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
-        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS))), np.ones(DIMENSIONS, np.float32))
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, per_language / v))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     # The sample is bounded, so it fits a few partitions; the scan that draws it keeps all of its tasks.
@@ -133,14 +164,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def cluster(key, group):
-        x, some = _vectors(group.column("text").to_pylist(), idf, table)
+        texts = sorted(group.column("text").to_pylist(), key=lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")))  # whatever order rows arrive in, near copies apart
+        x, some = _vectors(texts, idf, table)
         x = x[some] if some.any() else x
-        c, cos = _kmeans(x, centroids, rounds)
-        floors = [float(np.quantile(cos.max(axis=1), 0.01)) * slack] * len(c)
-        return pa.table({"lang": [key[0].as_py()] * len(c), "floor": floors, "centroid": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
+        c, _ = _kmeans(x, centroids, rounds)
+        floors = [_floors(texts, idf, table, centroids, rounds, false_rejections)] * len(c)
+        return pa.table({"lang": [key[0].as_py()] * len(c), "floor": pa.array(floors, pa.list_(pa.float64())), "centroid": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
 
     # A group is a bounded sample of one language.
-    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, floor double, centroid array<float>").collect()
+    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, floor array<double>, centroid array<float>").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
     return LanguageModel([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32), np.array([r["floor"] for r in found]), idf)
 
@@ -164,11 +196,12 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 some &= bool(model.languages)
                 cos = x @ model.centroids.T if model.languages else np.zeros((len(x), 1))
                 best = cos.argmax(axis=1)
+                lengths = np.log([max(1, len(t.as_py() or "")) for t in batch.column(at).slice(first, 256)])
                 top = np.clip(cos[np.arange(len(x)), best], 0, 1).astype(float)
                 for i in range(len(x)):
                     langs.append(model.languages[best[i]] if some[i] else UNKNOWN)
                     scores.append(float(top[i]) if some[i] else 0.0)
-                    rejected.append(not some[i] or bool(top[i] < model.floors[best[i]]))
+                    rejected.append(not some[i] or bool(top[i] < np.interp(lengths[i], np.log(LENGTHS), model.floors[best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     return df.mapInArrow(run, schema)

@@ -185,6 +185,26 @@ def test_language_accuracy_on_held_out(spark):
     assert language_id.predict(odd, language_id.fit(odd.withColumn("lang", odd.text).limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+UNLEARNED = {
+    "it": "Il governo ha annunciato ieri una nuova legge che riguarda il lavoro e le pensioni dei cittadini",
+    "fi": "Hallitus ilmoitti eilen uudesta laista joka koskee kansalaisten työtä ja eläkkeitä",
+    "tr": "Hükümet dün vatandaşların çalışma ve emeklilik haklarını ilgilendiren yeni bir yasa açıkladı",
+    "pl": "Rząd ogłosił wczoraj nową ustawę dotyczącą pracy i emerytur obywateli",
+    "vi": "Chính phủ hôm qua đã công bố một đạo luật mới liên quan đến việc làm và lương hưu",
+}
+
+
+def test_unlearned_languages_in_latin_letters_are_rejected_and_held_out_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(language_id.learned_rows(docs))
+    odd = spark.createDataFrame([(k, (t + " ") * n) for k, t in UNLEARNED.items() for n in (1, 5)], "doc_id string, text string")
+    got = language_id.predict(odd, model).collect()
+    assert [(r.doc_id, r.lang_pred, r.score) for r in got if not r.rejected] == []
+    held = language_id.predict(docs.filter(language_id.held_out()), model).collect()
+    print("held-out", len(held), "rejected", sum(r.rejected for r in held), "right", sum(r.lang_pred == r.lang for r in held))
+    assert sum(r.rejected for r in held) <= 0.02 * len(held)
+
+
 def test_counting_in_pieces_equals_counting_at_once(monkeypatch):
     table = language_id._letters()
     text = "Ein  kleiner Text, über 12 Dinge; naïve 🙂 Ωmega" * 9
