@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Staged tables of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (single-machine tests) a temporary folder takes its place.
+    Only where that setting is absent and the master is local (single-machine tests) a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -36,18 +45,51 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_folder(spark).split("://")[-1].removeprefix("file:")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later step reads."""
+    for df in tables:
+        root = shared_folder(df.sparkSession).split("://")[-1].removeprefix("file:")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root in folder:
+                _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; results that need them have to be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def parts_for(df: DataFrame, size, each: int) -> int:
+    """Into how many parts rows have to be dealt so that each has about ``each`` of the sum of ``size`` (a column)."""
+    return max(1, -(-(df.agg(F.sum(size)).first()[0] or 0) // each))
+
+
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_or_empty(col: str):

@@ -5,8 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from hirelake.llm import jaccard_join
 from hirelake.llm.components import connected_components
-from hirelake.llm.jaccard_join import Inverted, drop_near_copies, jaccard_components, required
+from hirelake.llm.jaccard_join import Inverted, counted_below, drop_near_copies, heap_merge, jaccard_components, required
 
 
 def brute(rows):
@@ -54,7 +55,7 @@ def rows():
 @pytest.mark.parametrize("most", [250_000, 1500])
 def test_components_match_brute_force(spark, rows, most):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
-    assert sorted(tuple(r) for r in jaccard_components(df, group_shingles=most).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in jaccard_components(df, block_shingles=most).collect()) == brute(rows)
 
 
 def test_one_of_each_component_stays(spark, rows):
@@ -72,6 +73,37 @@ def test_search_equals_counting():
         assert index.search(q).tolist() == want
 
 
+def test_heap_merge_counts_every_list():
+    rng = np.random.default_rng(6)
+    lists = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.int32)) for _ in range(40)]
+    for step in (1, 7, 4096):
+        parts = list(heap_merge(lists, step))
+        docs, counts = (np.concatenate(x) for x in zip(*parts))
+        want = np.unique(np.concatenate(lists), return_counts=True)
+        assert (docs == want[0]).all() and (counts == want[1]).all()
+
+
+def test_counted_part_falls_with_size():
+    shares = [int(counted_below(n)) for n in range(1, 3000)]
+    assert shares == sorted(shares, reverse=True) and shares[-1] > 0.2 * 2**64
+
+
+def test_flushes_and_other_ids(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FLUSH", 300)
+    kept = [(i, t) for i, t in rows if i < 30000]
+    df = spark.createDataFrame(kept, "doc_id smallint, text string")
+    assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute(kept)
+    named = spark.createDataFrame([(f"{i:06}", t) for i, t in kept], "doc_id string, text string")
+    assert sorted((int(a), n, int(c)) for a, n, c in jaccard_components(named).collect()) == brute(kept)
+
+
+def test_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i % 70000}" for i in range(300_000))
+    df = spark.createDataFrame([(None, long), (None, long + " x"), (None, "a b c d e f"), (5, long), (6, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = {tuple(r) for r in jaccard_components(df).collect()}
+    assert got == {(None, 70000, 5), (None, 70001, 5), (5, 70000, 5), (None, 2, 6), (6, 2, 6), (None, 0, None)}
+
+
 def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     labels = {r.node: r.label for r in connected_components(edges).collect()}
