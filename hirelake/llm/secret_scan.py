@@ -1,9 +1,12 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is the first layer. Runs that look encoded (URL escapes, Unicode escapes, base64, compressed bytes inside
-base64) are unwrapped into further layers; each layer is scanned and searched for encoded runs in turn, until no
-layer is new. A set of the layers seen, each at its place, ends cycles; equal layers at different places all count. Every finding carries a span of the original text: escapes and
-base64 map character by character, a compressed layer maps to the run that held it.
+Each text is the first layer. URL escapes, Unicode escapes, base64 and compressed bytes inside base64 are unwrapped into further layers;
+each layer is scanned and unwrapped in turn, until no layer is new. A set of the layers seen, each at its place, ends cycles; equal
+layers at different places all count. Every finding carries a span of the original text: escapes and base64 map character by character, a
+compressed layer maps to the run that held it.
+
+What is searched for, and every encoding, is written in ASCII; so bytes that are no ASCII text part a decoded run into layers, and compressed
+bytes are read as Latin-1.
 """
 
 from __future__ import annotations
@@ -11,14 +14,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import urllib.parse
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hirelake.llm.shared import give_back
+
 #: Kinds in their order, with patterns; only ASCII letters match in either case.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -26,11 +32,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
 
-URL_RUN = re.compile(r"[A-Za-z0-9_.~+/=:;,!*'()&?#@$-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:;,!*'()&?#@$-]*)+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};)")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer is unwrapped up to this many bytes at a time, and scanned whole in such pieces.
-PIECE_BYTES = 1 << 24
+#: One or more URL escapes; a percent sign that is itself escaped, however often, counts as one.
+URL_RUN = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+URL_ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+UNICODE_RUN = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[Xx][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+PADDING = re.compile(r"(?:=|%(?:25)*3[Dd]|\\u003[Dd]|\\x3[Dd]|&#61;){0,2}")
+#: A run at the end of a line, and lines that hold nothing else; breaks may be escaped.
+WRAPPED_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\t\x20]*+(?:\r?\n|\\r\\n|\\n)[\t\x20]*+[A-Za-z0-9+/_-]++)++")
+WRAPPED_PART = re.compile(r"(?:\\r\\n|\\n|[\s]+)+|[A-Za-z0-9+/_-]+")
+#: Decoded bytes that can hold a secret or a further layer: the shortest is an assignment of eight characters.
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: No secret and no encoded run goes across one of these; an unpacked stream is cut only there.
+BORDER = re.compile(rb"[^A-Za-z0-9+/_.=\"':\x20%\\&#;{}\r\n\t-]")
+#: Bytes unpacked at a time.
+PIECE_BYTES = 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, str, int]]:
@@ -45,124 +62,156 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _url_layer(run: str, base: np.ndarray):
-    """Decoded run and, for each character, where its source begins; one more entry for the end."""
-    out, starts, i = bytearray(), [], 0
-    raw = run.encode("utf-8", "surrogatepass")
-    while i < len(raw):
-        if raw[i] == 37 and re.fullmatch(rb"[0-9A-Fa-f]{2}", raw[i + 1 : i + 3]):
-            out.append(int(raw[i + 1 : i + 3], 16))
-            starts.append(i)
-            i += 3
-        else:
-            out.append(raw[i])
-            starts.append(i)
-            i += 1
-    text = bytes(out).decode("utf-8", "replace")
-    if len(text) == len(out):
-        return text, base[np.r_[starts, len(run)].astype(np.int64)]
-    at, k = [], 0
-    for c in text:
-        at.append(starts[min(k, len(starts) - 1)])
-        k += 1 if c == "�" else len(c.encode())
-    return text, base[np.r_[at, len(run)].astype(np.int64)]
-
-
-def _unicode_layer(text: str, base: np.ndarray):
-    parts, starts, last = [], [], 0
-    for m in UNICODE_RUN.finditer(text):
-        if m.start() > last:
-            parts.append(text[last : m.start()])
-            starts.append(np.arange(last, m.start()))
+def _replaced(layer: str, base: np.ndarray, found: Iterator[tuple[int, int, str, list[int], list[int]]]) -> tuple[str, np.ndarray]:
+    """``layer`` with parts replaced; found: begin, end, new characters, and where in the layer the source of each begins and stops."""
+    parts, starts, stops, last = [], [], [], 0
+    for begin, end, fresh, at, to in found:
+        parts += [layer[last:begin], fresh]
+        starts += [np.arange(last, begin), np.array(at, np.int64)]
+        stops += [np.arange(last, begin), np.array(to, np.int64) - 1]
+        last = end
+    parts.append(layer[last:])
+    rest = np.arange(last, len(layer))
+    return "".join(parts), np.stack([base[0, np.concatenate([*starts, rest])], base[1, np.concatenate([*stops, rest])]])
+
+
+def _url_escapes(layer: str) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    for m in URL_RUN.finditer(layer):
+        each = list(URL_ESCAPE.finditer(layer, m.start(), m.end()))
+        raw = bytes(int(e.group(1), 16) for e in each)
+        text, at, to, k = raw.decode("utf-8", "replace"), [], [], 0
+        for c in text:
+            at.append(each[min(k, len(each) - 1)].start())
+            k += 1 if c == "\ufffd" else len(c.encode())
+            to.append(each[min(k, len(each)) - 1].end())
+        yield m.start(), m.end(), text, at, to
+
+
+def _unicode_escapes(layer: str) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    for m in UNICODE_RUN.finditer(layer):
         s = m.group()
-        digits = s.strip("&#;\\")
-        code = int(digits[1:], 16) if digits[0] in "uxX" else int(digits, 10) if digits.isdigit() else -1
-        c = chr(code) if 0 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else s
-        parts.append(c)
-        starts.append(np.full(len(c), m.start()))
-        last = m.end()
-    parts.append(text[last:])
-    starts.append(np.arange(last, len(text) + 1))
-    return "".join(parts), base[np.concatenate(starts)]
-
-
-def _decoded(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
-
-
-def _inflated(raw: bytes):
-    """The text pieces inside gzip or zlib bytes; none if they are neither."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return
-    unpack = zlib.decompressobj(47)
-    try:
-        out = unpack.decompress(raw, PIECE_BYTES)
-        while out:
-            yield out
-            out = unpack.decompress(unpack.unconsumed_tail, PIECE_BYTES) if unpack.unconsumed_tail else b""
-    except zlib.error:
-        return
+        if s[0] == "&":
+            code = int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+        elif len(s) == 12:  # two halves of one character
+            code = 0x10000 + ((int(s[2:6], 16) & 0x3FF) << 10) + (int(s[8:], 16) & 0x3FF)
+        else:
+            code = int(s[2:].strip("{}"), 16)
+        if code < 0x110000 and not 0xD800 <= code < 0xE000:
+            yield m.start(), m.end(), chr(code), [m.start()], [m.end()]
+
 
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the gzip members (or zlib streams) at the beginning of a stream of bytes hold, a piece at a time. Ends where they end or break."""
+    unpack, rest, full = None, b"", False
+    for chunk in chunks:
+        rest += chunk
+        while rest or full:
+            if unpack is None:
+                if len(rest) < 3:
+                    break
+                if not COMPRESSED.match(rest):
+                    return
+                unpack = zlib.decompressobj(47)
+            try:
+                out = unpack.decompress(rest, PIECE_BYTES)
+            except zlib.error:
+                return
+            full = len(out) == PIECE_BYTES and not unpack.eof  # more may wait inside
+            rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            unpack = None if unpack.eof else unpack
+            if out:
+                yield out
 
-def _readable(raw: bytes) -> bool:
-    """Whether bytes look like text: valid UTF-8 without control characters other than white space."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return False
-    return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text)
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """As ``_members``, and again while what comes out is compressed itself; a stream that holds itself (known by its first piece) ends."""
+    seen, out = set(), _members(chunks)
+    while True:
+        head = b""
+        for piece in out:
+            head += piece
+            if len(head) >= 3:
+                break
+        if not COMPRESSED.match(head):
+            return chain([head] if head else [], out)
+        digest = hashlib.sha1(head).digest()
+        if digest in seen:
+            return iter(())
+        seen.add(digest)
+        out = _members(chain([head], out))
+
+
+def _texts_in(chunks: Iterator[bytes]) -> Iterator[str]:
+    """A stream of bytes in layers, cut where nothing goes across."""
+    held = bytearray()
+    for piece in chunks:
+        border = BORDER.search(piece[::-1])
+        cut = len(piece) - border.start() if border else 0
+        if cut:
+            yield (held + piece[:cut]).decode("latin-1")
+            held = bytearray(piece[cut:])
+        else:
+            held += piece
+    if held:
+        yield held.decode("latin-1")
+
+
+def _base64_layers(run: str, at: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Layers inside a run of base64 characters, whichever of its first four characters the encoding begins with. at: places of the run's characters."""
+    whole = run.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        body = whole[shift:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        for m in READABLE.finditer(raw):
+            k = np.arange(m.start(), m.end())  # three bytes come from four characters
+            yield m.group().decode("ascii"), np.stack([at[0, shift + k * 4 // 3], at[1, np.minimum(shift + (k * 4 + 3) // 3, len(run) - 1)]])
+        for m in COMPRESSED.finditer(raw):
+            for text in _texts_in(_unpacked(raw[k : k + PIECE_BYTES] for k in range(m.start(), len(raw), PIECE_BYTES))):
+                yield text, np.stack([np.full(len(text), at[0, 0]), np.full(len(text), at[1, -1])])
 
 
 def _key(layer: str, at: np.ndarray) -> bytes:
-    """A layer's content and place, which is where its characters begin. A cycle comes back to the same place: only compressed
-    layers grow, and their characters all begin with the run that held them."""
+    """A layer's content and place. A cycle comes back to the same place: only compressed layers grow, and their characters all
+    stand for the run that held them."""
     digest = hashlib.sha1(layer.encode("utf-8", "surrogatepass"))
-    digest.update(np.asarray(at[:-1], np.int64).tobytes())
+    digest.update(np.ascontiguousarray(at, np.int64).tobytes())
     return digest.digest()
 
 
-def unwrapped(text: str):
-    """(layer, positions) for every layer below ``text``: ``positions[i]`` is where in ``text`` the layer's character
-    ``i`` begins, its last entry where the layer ends."""
+def _layers(layer: str, base: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """The layers one step below."""
+    if "%" in layer and URL_RUN.search(layer):
+        yield _replaced(layer, base, _url_escapes(layer))
+    if ("\\" in layer or "&#" in layer) and UNICODE_RUN.search(layer):
+        yield _replaced(layer, base, _unicode_escapes(layer))
+
+    def places(at: np.ndarray) -> np.ndarray:
+        """Of characters of a run; the last goes on over the padding."""
+        last = int(at[-1]) + 1
+        out = base[:, at]
+        out[1, -1] = base[1, PADDING.match(layer, last).end() - 1]
+        return out
+
+    for m in BASE64_RUN.finditer(layer):
+        yield from _base64_layers(m.group(), places(np.arange(m.start(), m.end())))
+    if "\n" in layer or "\\n" in layer:
+        for m in WRAPPED_RUN.finditer(layer):
+            run = [(x.start(), x.end()) for x in WRAPPED_PART.finditer(layer, m.start(), m.end()) if layer[x.start()] not in "\\ \t\r\n"]
+            yield from _base64_layers("".join(layer[a:b] for a, b in run), places(np.concatenate([np.arange(a, b) for a, b in run])))
+
+
+def unwrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """(layer, places) for every layer below ``text``: where in ``text`` the source of each of the layer's characters begins and stops."""
     if "%" not in text and "\\" not in text and "&#" not in text and not BASE64_RUN.search(text):
         return
-    seen = {_key(text, np.arange(len(text) + 1))}
-    work = [(text, None)]
+    whole = np.arange(len(text))
+    seen, work = set(), [(text, np.stack([whole, whole + 1]))]
     while work:
         layer, base = work.pop()
-        if base is None:
-            base = np.arange(len(layer) + 1)
-        fresh = []
-        if "%" in layer:
-            for m in URL_RUN.finditer(layer):
-                fresh.append(_url_layer(m.group(), base[m.start() : m.end() + 1]))
-        if ("\\" in layer or "&#" in layer) and UNICODE_RUN.search(layer):
-            # The layer as a whole is unescaped: a secret may be escaped in part.
-            fresh.append(_unicode_layer(layer, base))
-        for m in BASE64_RUN.finditer(layer):
-            raw = _decoded(m.group())
-            if not raw:
-                continue
-            start, end = base[m.start()], base[m.end()]
-            pieces = list(_inflated(raw))
-            for piece in pieces:
-                inner = piece.decode("utf-8", "replace")
-                fresh.append((inner, np.r_[np.full(len(inner), start), end]))
-            if not pieces and _readable(raw):
-                inner = raw.decode()
-                if len(inner) == len(raw):  # three bytes come from four characters
-                    at = m.start() + np.arange(len(raw)) * 4 // 3
-                    fresh.append((inner, np.r_[base[at], end]))
-                else:
-                    fresh.append((inner, np.r_[np.full(len(inner), start), end]))
-        for inner, at in fresh:
+        for inner, at in _layers(layer, base):
             key = _key(inner, at)
-            if inner and key not in seen:
+            if key not in seen:
                 seen.add(key)
                 yield inner, at
                 work.append((inner, at))
@@ -176,8 +225,7 @@ def spans_of(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str
     more = set()
     for layer, at in unwrapped(text):
         for start, kind, end in scan(layer):
-            begin, stop = int(at[start]), int(at[end])
-            more.add((begin, kind, max(stop, begin + 1)))
+            more.add((int(at[0, start]), kind, int(at[1, end - 1])))
     return base, sorted(more | set(base), key=by) if more else base
 
 
@@ -205,5 +253,6 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 base.append([{"kind": x, "start": a, "end": z} for a, x, z in b])
                 full.append([{"kind": x, "start": a, "end": z} for a, x, z in s])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(full, kind)], names=["id", "base", "spans"])
+        give_back()
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
