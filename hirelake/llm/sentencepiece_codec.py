@@ -4,17 +4,23 @@ The distinct words of a slice of texts are laid out as one flat array of symbols
 adjacent pair the rank of the piece it would form, takes the best rank of each word (a segmented minimum), merges all of that
 word's leftmost non-overlapping pairs of that rank at once, and compacts the array, until no pair remains.
 
+A text splits into words before each run of word marks that follows another character: no piece crosses that
+border (checked when the model is read). Words split further wherever no piece can go across: what goes across two
+characters is a piece of two or three of the characters there, or holds four of them in a row, so a look-up of these settles it. That keeps long
+runs without blanks as short as other words.
+
 Merging all equal pairs at once equals merging one at a time unless a merge creates a pair of the same or a better
-rank next to another pending one. Such words, and words too long for rounds to pay, are merged one pair at a time from a heap.
+rank next to another pending one. Parts in which that could have happened are merged again one pair at a time from a heap.
 
-A text splits into words before each run of word marks that follows another character: no piece crosses that
-border (checked when the model is read). Word results are kept in a bounded table per task.
+Word results are kept in a bounded table per task.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.llm.shared import give_back
+
 MARK = "▁"
-#: Words beyond this many symbols are merged from the heap, which takes n log n steps.
-LONGEST_IN_ROUNDS = 512
-#: Words kept per task before the table starts anew; it bounds memory, not results.
-WORDS_KEPT = 200_000
+#: Characters of words kept per task before the table starts anew; it bounds memory, not results.
+KEPT_CHARS = 1_000_000
 NO_RANK = np.int64(1) << 40
 
 
@@ -43,6 +49,10 @@ class PieceModel:
     pair_ranks: np.ndarray
     surfaces: list
     dummy_prefix: bool
+    letters: np.ndarray  # number of each character that pieces hold, else 0
+    two: np.ndarray  # pieces of two characters, of three, and runs of four inside pieces, as sorted numbers
+    three: np.ndarray
+    four: np.ndarray
 
 
 def read_model(path: str) -> PieceModel:
@@ -83,7 +93,45 @@ def read_model(path: str) -> PieceModel:
         if len(p) == 1:
             chars[ord(p)] = i
     a = np.array(pairs, dtype=np.int64).reshape(-1, 3)
-    return PieceModel(size, chars, byte_ids, a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), surfaces, norm.add_dummy_prefix)
+    letters = np.zeros(0x110000, np.int64)
+    held = sorted({ord(c) for p in ids if len(p) > 1 for c in p})
+    if len(held) >= 1 << 15:
+        raise ValueError("pieces hold too many different characters")
+    letters[held] = np.arange(1, len(held) + 1)
+
+    def numbered(parts: set) -> np.ndarray:
+        points = np.array([[ord(c) for c in p] for p in parts], np.int64).reshape(len(parts), -1)
+        return np.unique(_number([letters[x] for x in points.T])) if len(parts) else np.zeros(0, np.int64)
+
+    two, three = ({p for p in ids if len(p) == n} for n in (2, 3))
+    four = {p[k : k + 4] for p in ids for k in range(len(p) - 3)}
+    return PieceModel(size, chars, byte_ids, a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), surfaces, norm.add_dummy_prefix, letters, numbered(two), numbered(three), numbered(four))
+
+
+def _number(letters: list[np.ndarray]) -> np.ndarray:
+    out = letters[0]
+    for x in letters[1:]:
+        out = out << 15 | x
+    return out
+
+
+def _held(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _joints(model: PieceModel, points: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether a piece could go across the border before each character, within its word."""
+    n = len(points)
+    x, inside = model.letters[points], np.zeros(n + 4, bool)
+    for width, known in ((2, model.two), (3, model.three), (4, model.four)):
+        if n < width:
+            continue
+        hit = _held(known, _number([x[k : n - width + 1 + k] for k in range(width)])) & (word[: n - width + 1] == word[width - 1 :])
+        for k in range(1, width):
+            inside[k : k + len(hit)] |= hit
+    return inside[:n]
 
 
 def _ranked(model: PieceModel, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +142,6 @@ def _ranked(model: PieceModel, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return np.where(found, model.pair_ranks[at], NO_RANK), np.where(found, model.pair_ids[at], -1)
 
 
-def _symbols(model: PieceModel, words: list[str]) -> np.ndarray:
-    """All words' symbols in a row: a known character's id, else minus one less the code point."""
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return model.chars[points]
-
-
 def _with_bytes(model: PieceModel, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unknown characters replaced by the ids of their UTF-8 bytes; the ids and the new counts per word."""
     odd = np.flatnonzero(ids < 0)
@@ -118,14 +160,14 @@ def _one_at_a_time(model: PieceModel, symbols: list[int]) -> list[int]:
     """Merge the best pair, the leftmost of equal ones, until none is left."""
     n, size = len(symbols), model.size
     ids, nxt, prev = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    keys, ranks, merged = model.pair_keys, model.pair_ranks, model.pair_ids
+    keys, ranks, merged = array("q", model.pair_keys.tobytes()), model.pair_ranks, model.pair_ids
     heap: list[tuple] = []
 
     def add(i: int) -> None:
         j = nxt[i]
         if j < n and ids[i] >= 0 and ids[j] >= 0:
             key = ids[i] * size + ids[j]
-            at = int(np.searchsorted(keys, key))
+            at = bisect_left(keys, key)
             if at < len(keys) and keys[at] == key:
                 heapq.heappush(heap, (int(ranks[at]), i, ids[i], j, ids[j], int(merged[at])))
 
@@ -149,28 +191,29 @@ def _one_at_a_time(model: PieceModel, symbols: list[int]) -> list[int]:
 def merge_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all words in a row (word marks already in place of spaces), and their number for each word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    symbols, of = _symbols(model, words), np.repeat(np.arange(len(words)), lengths)
-    in_rounds = np.repeat(lengths <= LONGEST_IN_ROUNDS, lengths)
-    flat, word = symbols[in_rounds], of[in_rounds]
-    done_ids, done_words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    last_rank = np.full(len(words), -1, np.int64)
-    many = np.zeros(len(words), bool)
-    heaped = lengths > LONGEST_IN_ROUNDS
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    symbols, of = model.chars[points], np.repeat(np.arange(len(words)), lengths)  # an unknown character: minus one less the code point
+    first = ~_joints(model, points, of)
+    part_of, begins = np.cumsum(first) - 1, np.flatnonzero(first)
+    flat, part, n_parts = symbols, part_of, len(begins)
+    done_ids, done_parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    last_rank = np.full(n_parts, -1, np.int64)
+    many, again = np.zeros(n_parts, bool), np.zeros(n_parts, bool)
     while len(flat):
         rank, piece = _ranked(model, flat[:-1], flat[1:])
-        rank = np.where(word[:-1] == word[1:], rank, NO_RANK)
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        best = np.minimum.reduceat(np.r_[rank, NO_RANK], starts)  # a word's last pair crosses into the next: NO_RANK
-        here = word[starts]
+        rank = np.where(part[:-1] == part[1:], rank, NO_RANK)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        best = np.minimum.reduceat(np.r_[rank, NO_RANK], starts)  # a part's last pair crosses into the next: NO_RANK
+        here = part[starts]
         # After several merges at once, a pair of the same or a better rank may have come too late.
         late = many[here] & (best <= last_rank[here])
-        heaped[here[late]] = True
+        again[here[late]] = True
         live = (best < NO_RANK) & ~late
         sizes = np.diff(np.r_[starts, len(flat)])
         ended = np.repeat(~live, sizes)
         if ended.any():
             done_ids.append(flat[ended])
-            done_words.append(word[ended])
+            done_parts.append(part[ended])
         hit = np.r_[rank == np.repeat(best, sizes)[:-1], False] & ~ended
         # Of overlapping hits (a run of equal symbols) take every second from the left.
         at = np.arange(len(hit))
@@ -181,16 +224,15 @@ def merge_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.nda
         merged = flat.copy()
         merged[hit] = np.r_[piece, -1][hit]
         keep = ~ended & ~np.r_[False, hit[:-1]]
-        flat, word = merged[keep], word[keep]
-    ids, of_ids = np.concatenate(done_ids), np.concatenate(done_words)
-    if heaped.any():
-        kept = ~heaped[of_ids]
-        begin = np.cumsum(lengths) - lengths
-        extra = [(i, _one_at_a_time(model, symbols[begin[i] : begin[i] + lengths[i]].tolist())) for i in np.flatnonzero(heaped).tolist()]
+        flat, part = merged[keep], part[keep]
+    ids, parts = np.concatenate(done_ids), np.concatenate(done_parts)
+    if again.any():
+        kept, ends = ~again[parts], np.r_[begins[1:], len(symbols)]
+        extra = [(i, _one_at_a_time(model, symbols[begins[i] : ends[i]].tolist())) for i in np.flatnonzero(again).tolist()]
         ids = np.concatenate([ids[kept], *(np.array(x, np.int64) for _, x in extra)])
-        of_ids = np.concatenate([of_ids[kept], *(np.full(len(x), i) for i, x in extra)])
-    order = np.argsort(of_ids, kind="stable")
-    return _with_bytes(model, ids[order], np.bincount(of_ids, minlength=len(words)))
+        parts = np.concatenate([parts[kept], *(np.full(len(x), i) for i, x in extra)])
+    order = np.argsort(parts, kind="stable")
+    return _with_bytes(model, ids[order], np.bincount(of[begins][parts], minlength=len(words)))
 
 
 #: A word: a run of marks and what follows up to the next run.
@@ -202,6 +244,7 @@ def encoder(model: PieceModel, text_col: int):
 
     def run(batches):
         table: dict[str, int] = {}
+        kept = 0
         known, begins, counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             column, n, first = batch.column(text_col), batch.num_rows, 0
@@ -216,12 +259,14 @@ def encoder(model: PieceModel, text_col: int):
                     if text:
                         words += WORD.findall((" " + text if model.dummy_prefix else text).replace(" ", MARK))
                     ends.append(len(words))
-                if len(table) > WORDS_KEPT:
+                if kept > KEPT_CHARS:
                     table.clear()
+                    kept = 0
                     known, begins, counts = known[:0], begins[:0], counts[:0]
                 fresh = [w for w in set(words) if w not in table]
                 if fresh:
                     table.update(zip(fresh, range(len(table), len(table) + len(fresh))))
+                    kept += sum(map(len, fresh))
                     ids, k = merge_words(model, fresh)
                     begins = np.r_[begins, len(known) + np.cumsum(k) - k]
                     known, counts = np.r_[known, ids.astype(np.int32)], np.r_[counts, k]
@@ -231,6 +276,7 @@ def encoder(model: PieceModel, text_col: int):
                 flat = known[np.repeat(begins[at] - total[:-1], k) + np.arange(total[-1])]
                 ids = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, "ids"])
+        give_back()
 
     return run
 

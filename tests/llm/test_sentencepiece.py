@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from hirelake.llm import sentencepiece_codec
 from hirelake.llm.sentencepiece_codec import decode, encode, encode_and_decode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,6 +29,28 @@ def test_equals_the_library(spark, library):
         assert r.decoded == library.decode(ids), r.text
 
 
+def test_long_words_and_documents_equal_the_library(spark, library):
+    import base64
+
+    rng = random.Random(7)
+    long = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 60_000), ("漢字仮名交文書日本語", 60_000), ("01 \n", 30_000), ("aAbB{}();=.\t", 40_000), ("▁ a", 20_000), ("=-", 30_000))]
+    long += [base64.b64encode(rng.randbytes(60_000)).decode(), "thequickbrownfoxjumpsoverthelazydog" * 2000, "a" * 50_000, "ab" * 30_000 + "c", "internationalisation" * 1000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for r in encode_and_decode(df, PATH).collect():
+        ids = library.encode(r.text)
+        assert r.ids == ids, r.text[:40]
+        assert r.decoded == library.decode(ids)
+
+
+def test_documents_equal_the_library_whatever_the_table_keeps(spark, library, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for kept in (100, 1_000_000):
+        monkeypatch.setattr(sentencepiece_codec, "KEPT_CHARS", kept)
+        for r in encode_and_decode(docs, PATH).collect():
+            ids = library.encode(r.text or "")
+            assert r.ids == ids and r.decoded == library.decode(ids)
+
+
 def test_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a", "y"), (2, "a", "y")], "doc_id long, text string, ids string")
     rows = decode(encode(df, PATH), PATH).orderBy("doc_id").collect()
