@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.llm.shared import give_back
+
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
 #: Code points of items that one pass takes.
@@ -106,7 +108,7 @@ class Matcher:
         return self
 
     def hits(self, text: str) -> list[dict]:
-        """The nearest occurrence of each item that occurs within its budget, by item order."""
+        """The occurrences of each item within its budget, by item order, then place; of those that lie within an item's length of each other the nearest."""
         if not self.pieces or not text:
             return []
         low = folded(text)
@@ -117,16 +119,13 @@ class Matcher:
         found, origins = [], None
         for k in sorted(begins):
             item_id, item = self.items[k]
-            budget, best = self.budgets[k], None
+            budget = self.budgets[k]
             for a, b in _windows(begins[k], budget, len(item), len(low)):
                 distance, end = best_match(item, low[a:b])
-                if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, a, a + end)
-            if best:
-                distance, a, end = best
-                _, back = best_match(item[::-1], low[a:end][::-1])
-                origins = origins or _origins(text)
-                found.append({"item_id": item_id, "distance": distance, "start": origins[end - back], "end": origins[end - 1] + 1})
+                if distance <= budget:
+                    _, back = best_match(item[::-1], low[a : a + end][::-1])
+                    origins = origins or _origins(text)
+                    found.append({"item_id": item_id, "distance": distance, "start": origins[a + end - back], "end": origins[a + end - 1] + 1})
         return found
 
 
@@ -147,10 +146,10 @@ def _windows(begins: set[int], budget: int, size: int, most: int):
 
 
 def find_leaks(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``df`` with ``hits``: for each item found in the whole text, its id, distance and span in code points.
+    """``df`` with ``hits``: for each occurrence of an item in the whole text, its id, distance and span in code points.
 
     An item matches with up to ``rate`` edits per character after folding of case and white space. Items that are null
-    or empty match nothing; items that repeat are each reported. A null text has no hits. Rows are independent. A
+    or empty match nothing; one shorter than ``1 / rate`` characters has no budget and matches as it is, wherever it stands; items that repeat are each reported. A null text has no hits. Rows are independent. A
     column named ``hits`` is replaced.
     """
     df = df.drop("hits")
@@ -174,6 +173,7 @@ def find_leaks(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_t
                     rows = [a + b for a, b in zip(columns[-1].to_pylist(), rows)]
                     columns = columns[:-1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _HITS)], names=schema.names)
+            give_back()
 
         out = out.mapInArrow(run, schema)
     return out

@@ -1,12 +1,12 @@
 """Exact dedup by deterministic block naming, in DataFrame functions only.
 
 Each normalised text is cut into blocks of a fixed number of code points. Sorting the distinct blocks
-turns each into an integer name (its rank within its range, so names follow the order). Adjacent names are then paired, the distinct pairs sorted and named
-in the same way, and so on, until each text has one name. Two texts with equally many blocks have the same
-name exactly if they are equal: no step relies on a hash.
+turns each into an integer name, its rank: that in its range of the order, after all ranges before. Names depend on the blocks alone, not on how
+Spark deals them out. Adjacent names are then paired, the distinct pairs sorted and named in the same way, and so on, until each text has
+one name. Two texts with equally many blocks have the same name exactly if they are equal: no step relies on a hash.
 
-A text whose length and 64-bit hash occur once equals no other text, so only texts that share both
-go through the naming. That is sound whatever the hash does: it can only let extra texts in.
+Before the naming stands an index: a text whose length and 64-bit hash occur once equals no other text and is its own identity, so only texts
+that share both go through the naming. That is sound whatever the hash does: it can only let extra texts in.
 
 Hot texts: a name is found by grouping distinct blocks (combined before the shuffle), and the joins that
 bring names back read staged tables on both sides, so adaptive execution can split a hot key.
@@ -14,26 +14,35 @@ bring names back read staged tables on both sides, so adaptive execution can spl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.shared import discard, staged, text_or_empty
 
-#: What is deleted before texts are compared: ASCII white space.
-WHITE_SPACE = r"[\x20\x09-\x0D]+"
-BLOCK_CHARS = 4096
+#: Fixed value: what is deleted before texts are compared, ASCII white space.
+WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+BLOCK_CHARS = 512
+#: Distinct blocks or pairs in a range that one task ranks.
+RANGE_ROWS = 1_000_000
 
 
 def normalised(col: str):
-    return F.regexp_replace(text_or_empty(col), WHITE_SPACE, "")
+    out = text_or_empty(col)
+    for c in WHITE_SPACE:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
 def _named(parts: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """``parts`` with an integer ``name`` for each distinct value of ``keys``, by sorted order."""
-    # Sorted by hash, then content: what is sampled to cut the ranges is a number, not a block.
-    order = [F.xxhash64(*keys), *keys]
-    ranged = parts.select(*keys).distinct().repartitionByRange(order[0]).sortWithinPartitions(*order)
-    names = staged(ranged.withColumn("name", F.monotonically_increasing_id()), tag)
+    """``parts`` with an integer ``name`` for each distinct value of ``keys``: its rank in the order of hash, then content."""
+    distinct = staged(parts.select(*keys).distinct().withColumn("h", F.xxhash64(*keys)), "distinct")
+    ranges = max(1, -(-distinct.count() // RANGE_ROWS))
+    dealt = distinct.withColumn("range", F.floor((F.col("h") / 2.0**64 + 0.5) * ranges))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("h", *keys))
+    names = staged(dealt.withColumn("rank", rank).join(starts, "range").select(*keys, (F.col("start") + F.col("rank")).alias("name")), tag)
+    discard(distinct)
     on = [parts[k].eqNullSafe(names[k]) if k == "right" else parts[k] == names[k] for k in keys]
     cond = on[0]
     for c in on[1:]:
@@ -125,19 +134,18 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``df`` that :func:`exact_groups` keeps, with their columns as they are.
 
-    Of rows that repeat both id and text but differ in other columns, the smallest by its columns in order stays.
+    Of rows that repeat both id and text but differ in other columns, the first by its columns written as JSON stays.
     """
-    groups = staged(exact_groups(df, id_col, text_col, block_chars).filter("group_size > 1"), "copies")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"), F.char_length(text_or_empty(text_col)).alias("n"))
+    groups = exact_groups(df.select(id_col, text_col), id_col, text_col, block_chars).filter("group_size > 1")
     marks = staged(
-        groups.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")).agg(
-            F.max(F.col("kept").cast("int")).alias("_keep"), F.max("copies").alias("_copies")
+        groups.groupBy(F.col(id_col).alias("of_id"), F.col("text_sha256").alias("of_sha"), F.col("n_chars").alias("of_n")).agg(
+            F.max(F.col("kept").cast("int")).alias("keep"), F.max("copies").alias("copies")
         ),
         "marks",
     )
-    told = df.withColumn("_digest", F.sha2(normalised(text_col), 256)).withColumn("_chars", F.char_length(text_or_empty(text_col)))
-    same = told[id_col].eqNullSafe(marks["_id"]) & (told["_digest"] == marks["_sha"]) & (told["_chars"] == marks["_n"])
-    joined = told.join(marks, same, "left")
-    single = joined.filter("_keep is null or (_keep = 1 and _copies = 1)")
-    twins = joined.filter("_keep = 1 and _copies > 1")
-    chosen = twins.groupBy(id_col, "_sha").agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
-    return single.select(*df.columns).unionByName(chosen)
+    same = rows["id"].eqNullSafe(marks["of_id"]) & (rows["sha"] == marks["of_sha"]) & (rows["n"] == marks["of_n"])
+    joined = rows.join(marks, same, "left")
+    single = joined.filter("keep is null or (keep = 1 and copies = 1)").select("row.*")
+    twins = joined.filter("keep = 1 and copies > 1")
+    return single.unionByName(twins.groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import staged
+from hirelake.llm.shared import give_back, staged
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -203,6 +203,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                     scores.append(float(top[i]) if some[i] else 0.0)
                     rejected.append(not some[i] or bool(top[i] < np.interp(lengths[i], np.log(LENGTHS), model.floors[best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+        give_back()
 
     return df.mapInArrow(run, schema)
 

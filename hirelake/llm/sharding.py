@@ -7,13 +7,14 @@ counts the bytes of the oversized buckets' rows ``ROUND_BITS`` deeper, at most 2
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.shared import staged
 
 HASH_BITS = 60
 ROUND_BITS = 12
+PART_ROWS = 1_000_000
 
 
 def hash_bits(col):
@@ -27,7 +28,7 @@ def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_
     n_bytes, shard_bytes, shard_rows.
 
     A null text has no bytes. Rows that share all 60 bits (the same id again, as a rule) cannot be split by hash; if together they
-    exceed the limit they are cut in parts by running size. Only a single row larger than the limit makes a shard that exceeds it.
+    exceed the limit, those of equal size are cut in parts of as many as fit (``PART_ROWS`` at most). Only a single row larger than the limit makes a shard that exceeds it.
     An empty table gives an empty result; one that fits gives the one shard ``''`` of depth 0. Other columns are ignored.
     """
     rows = staged(
@@ -59,25 +60,25 @@ def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_
         if full.isEmpty():
             full = None
             break
-    leaves = staged(leaves, "leaves")
-    at = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most one for each bit
+    # The directory: each bucket is entered under all prefixes of its round's depth, so a row is looked up once a round, not once for each depth.
+    deep = F.least(F.ceil(F.col("depth") / ROUND_BITS) * ROUND_BITS, F.lit(HASH_BITS)).cast("int")
+    leaves = leaves.withColumn("deep", deep).withColumn("free", F.col("deep") - F.col("depth"))
+    ends = F.when(F.col("free") == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("free")) - 1).cast("int")), lambda k: F.lpad(F.bin(k), F.col("free"), F.lit("0"))))
+    entered = leaves.select(F.explode(ends).alias("tail"), F.col("bucket").alias("shard"), "depth", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    directory = staged(entered.select(F.concat("shard", "tail").alias("entry"), "shard", "depth", "shard_bytes", "shard_rows"), "directory")
+    at = [r[0] for r in directory.select(F.length("entry")).distinct().collect()]  # at most one for each round
     ways = F.array(*[F.substring("bits", 1, k) for k in at]) if at else F.array().cast("array<string>")
-    placed = (
-        rows.withColumn("shard", F.explode(ways))
-        .join(leaves.select(F.col("bucket").alias("shard"), "depth", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows")), "shard")
-        .select("id", "shard", "depth", "n_bytes", "shard_bytes", "shard_rows")
-    )
+    placed = rows.withColumn("entry", F.explode(ways)).join(directory, "entry").select("id", "shard", "depth", "n_bytes", "shard_bytes", "shard_rows")
     if full is None:
         return placed.withColumnRenamed("id", id_col)
-    rest = rows.join(full, rows["bits"] == full["prefix"], "left_semi")
-    so_far = Window.partitionBy("bits").orderBy("n_bytes", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # By halves of the limit: rows of up to half make parts within it, larger ones stand alone.
-    parts = rest.withColumn("part", F.ceil(F.sum("n_bytes").over(so_far) * 2 / F.lit(limit_bytes)))
-    sizes = parts.groupBy("bits", "part").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    tail = parts.join(sizes, ["bits", "part"]).select(
-        "id", F.concat_ws("/", "bits", F.col("part").cast("string")).alias("shard"), F.lit(HASH_BITS).alias("depth"), "n_bytes", "shard_bytes", "shard_rows"
-    )
-    return placed.unionByName(tail).withColumnRenamed("id", id_col)
+    # Rows alike in hash, id and size are counted before they meet, then cut in parts of as many as fit (one, if none does).
+    alike = rows.join(full, rows["bits"] == full["prefix"], "left_semi").groupBy("bits", "id", "n_bytes").agg(F.count("*").alias("many"))
+    each = F.when(F.col("n_bytes") == 0, F.lit(PART_ROWS)).otherwise(F.least(F.lit(PART_ROWS), F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.col("n_bytes"))))).cast("long")
+    parts = alike.withColumn("each", each).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / F.col("each")).cast("long"))).alias("part"))
+    parts = parts.withColumn("shard_rows", F.least("each", F.col("many") - F.col("part") * F.col("each")))
+    name = F.concat_ws("/", "bits", F.substring(F.sha1(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), F.col("n_bytes").cast("string"), F.col("part").cast("string"))
+    tail = parts.select("id", name.alias("shard"), F.lit(HASH_BITS).alias("depth"), "n_bytes", (F.col("n_bytes") * F.col("shard_rows")).alias("shard_bytes"), "shard_rows", F.explode(F.sequence(F.lit(1).cast("long"), "shard_rows")).alias("row"))
+    return placed.unionByName(tail.drop("row")).withColumnRenamed("id", id_col)
 
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

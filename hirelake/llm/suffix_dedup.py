@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import staged, text_or_empty, utf8_slices
+from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, staged, text_or_empty, utf8_slices
 
 LENGTH = 200
 GRAM = 32
 #: Distinct surroundings of one anchor that one task compares.
 FREQUENT = 50_000
-FLUSH = 2_000_000
+#: Anchors that a task holds before it sends them, and bytes of text whose anchors share a bucket.
+FLUSH = 700_000
+BUCKET_BYTES = 16 << 20
 _NONE = np.uint64(2**64 - 1)
 _RNG = np.random.default_rng(20240202)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -165,6 +167,7 @@ def _heads(n_buckets: int, id_type: pa.DataType):
             docs.clear()
             sizes.clear()
             parts.clear()
+            give_back()
 
         for batch in batches:
             for first, last, data, offsets in utf8_slices(batch.column(1)):
@@ -249,6 +252,7 @@ def _settle(frequent: int):
         cuts = np.flatnonzero(np.r_[True, ask["doc"][1:] != ask["doc"][:-1]]).tolist() + [len(ask)] if len(ask) else [0]
         pairs = list(zip(cuts, cuts[1:]))
         blobs = [np.rec.fromarrays([ask["h"][a:b], ask["at"][a:b], flags[a:b]], dtype=ASK).tobytes() for a, b in pairs]
+        give_back()
         return pa.table({
             "fp": pa.array(fps + [docs[ask["doc"][a]] for a, _ in pairs], pa.binary()),
             "spans": pa.array(spans + [None] * len(pairs), pa.binary()),
@@ -398,6 +402,8 @@ def _compare(table: pa.Table) -> pa.Table:
     doc, spans = doc[order], spans[order]
     cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist() + [len(doc)] if len(doc) else [0]
     pairs = list(zip(cuts, cuts[1:]))
+    del around, left, right, rows
+    give_back()
     return pa.table({"fp": pa.array([docs[doc[a]] for a, _ in pairs], pa.binary()), "spans": pa.array([spans[a:b].tobytes() for a, b in pairs], pa.binary())})
 
 
@@ -435,6 +441,7 @@ def _removed():
                 lists.append([{"start": a, "end": b} for a, b in spans.tolist()])
                 kept.append(b"".join(rest))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+        give_back()
 
     return run
 
@@ -446,12 +453,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on the input and never cross texts. A null text counts as empty. Rows that repeat a text repeat all of it (from
     ``LENGTH`` bytes on). Ids may repeat or be null; other columns are ignored; an empty table gives an empty result.
     """
-    spark = df.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    told = staged(rows.mapInArrow(_heads(n_buckets, id_type), HEAD.format(id=kind)), "anchors")
+    n_buckets = parts_for(rows, F.octet_length("text"), BUCKET_BYTES)
+    told = staged(rows.mapInArrow(_heads(n_buckets, arrow_type(rows, "id")), HEAD.format(id=rows.schema["id"].dataType.simpleString())), "anchors")
     texts = staged(told.filter("kind = 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes")).filter(F.col("n_bytes") >= LENGTH), "texts")
     settled = staged(told.filter("kind = 1").groupBy("bucket").applyInArrow(_settle(frequent), "fp binary, spans binary, asks binary"), "settled")
     # Of a text at most one list for each bucket is gathered.
@@ -471,5 +475,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = spans.join(single, "fp", "left_semi").groupBy("fp").agg(F.collect_list("spans").alias("marks")).withColumn("whole", F.lit(False))
     whole = texts.filter("copies > 1").select("fp", F.lit(None).cast("array<binary>").alias("marks"), F.lit(True).alias("whole"))
     marks = staged(marks.unionByName(whole), "marks")
+    discard(told, settled, asks, sent, texts, repeated)
     out = rows.withColumn("fp", digest).join(marks, "fp", "left").select("id", "text", "whole", "marks").mapInArrow(_removed(), T.StructType([rows.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())]))
     return out.withColumnRenamed("id", id_col)

@@ -1,8 +1,9 @@
 """WARC archives: written from a table of pages, read back, and assembled into captures.
 
 Every page becomes three records that name each other: a response (or a revisit, if an earlier page holds the same payload), its request
-and its metadata. Spark's text writer makes the files: the border between two WARC records, two line ends, is its line
-separator. The reader takes records by their stated length. Assembly joins records through their concurrent-to identifiers.
+and its metadata. Spark's text writer makes the files, by the byte: each record is a gzip member whose last byte, always zero, is
+the writer's line separator. The reader takes records by their stated length. Assembly joins records through their concurrent-to identifiers,
+whichever record names the other and over however many records.
 """
 
 from __future__ import annotations
@@ -10,20 +11,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.shared import staged
+from hirelake.llm.components import connected_components
+from hirelake.llm.shared import give_back, staged
 
 EOL = "\r\n"
 VERSION = "WARC/1.1"
 #: Fixed value: the profile of revisits by equal payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 15_000
+#: A file ends with the record that reaches this size.
+FILE_BYTES = 32 << 20
+EMPTY_MEMBER = b"\x1f\x8b\x08" + bytes(6) + b"\xff\x03" + bytes(9)
 RECORD_SCHEMA = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "payload_digest string, payload_bytes long, computed_digest string, block string"
 )
 
@@ -48,8 +53,38 @@ def _record(kind, record_id, uri, date: str, content_type: str, block, *headers)
     return F.concat(F.concat_ws(EOL, *lines), F.lit(EOL * 2), block)
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Write the pages as WARC files under ``path``.
+def _members(compressed: bool):
+    """Records as gzip members without their last byte (or as they are), with the number of the file within the task."""
+
+    def run(batches):
+        part = size = 0
+        for batch in batches:
+            parts, values, weight = [], [], 0
+            for value in batch.column(0):
+                raw = value.as_py()
+                if compressed:
+                    pack = zlib.compressobj(wbits=31)
+                    raw = pack.compress(raw + EOL.encode() * 2) + pack.flush()
+                    if raw[-1]:  # 16 MiB or more: the length's first byte is not zero
+                        raw += EMPTY_MEMBER
+                    raw = raw[:-1]
+                parts.append(part)
+                values.append(raw)
+                size += len(raw)
+                weight += len(raw)
+                if size >= FILE_BYTES:
+                    part, size = part + 1, 0
+                if weight > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(values, pa.binary())], names=["part", "value"])
+                    parts, values, weight = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(values, pa.binary())], names=["part", "value"])
+        give_back()
+
+    return run
+
+
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compressed: bool = True) -> None:
+    """Write the pages as WARC files of about ``FILE_BYTES`` under ``path``, each record a gzip member if ``compressed``.
 
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
     smallest id (then url) is the response and the others revisit it; smaller ones are all responses. A page with a null id is a revisit where
@@ -82,26 +117,34 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     request = _record("request", _urn("request", *own), F.col("uri"), date, "application/http;msgtype=request", get, concurrent)
     fields = F.concat_ws(EOL, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("n").cast("string")))
     metadata = _record("metadata", _urn("metadata", *own), F.col("uri"), date, "application/warc-fields", fields, concurrent)
-    out = told.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    out.write.option("lineSep", EOL * 2).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = told.select(F.explode(F.array(*[r.cast("binary") for r in (request, response, metadata)])).alias("value")).mapInArrow(_members(compressed), "part int, value binary")
+    end = "\x00" if compressed else EOL * 2
+    records.withColumn("value", F.col("value").cast("string")).write.partitionBy("part").option("lineSep", end).option("compression", "none").text(path)
 
 
-def _chunks(raw: bytes):
+def _chunks(raw: bytes) -> Iterator[bytes]:
     """The file's bytes in pieces, unpacked if gzip (one member or many)."""
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
-        unpack = zlib.decompressobj(31)
-        piece = unpack.decompress(raw, 1 << 20)
-        while piece or unpack.unconsumed_tail:
-            yield piece
-            piece = unpack.decompress(unpack.unconsumed_tail, 1 << 20)
-        raw = unpack.unused_data if unpack.eof else b""
+    unpack, rest, full = None, b"", False
+    for k in range(0, len(raw), 1 << 16):
+        rest += raw[k : k + (1 << 16)]
+        while rest or full:
+            unpack = unpack or zlib.decompressobj(31)
+            piece = unpack.decompress(rest, 1 << 20)
+            full = len(piece) == 1 << 20 and not unpack.eof  # more may wait inside
+            rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            unpack = None if unpack.eof else unpack
+            if piece:
+                yield piece
+
+
+CONCURRENT = "warc-concurrent-to"
 
 
 def records_in(raw: bytes):
-    """(headers in lower case, block) of each whole record. Bytes that start no record are passed over up to the next
+    """(headers in lower case, block) of each whole record; of what it is concurrent to a list, as that may be told again and again. Bytes that start no record are passed over up to the next
     ``WARC/`` after an empty line; a record cut short at the end of the file is left out."""
     source, buffer, ended, at = _chunks(raw), bytearray(), False, 0
 
@@ -121,7 +164,10 @@ def records_in(raw: bytes):
                 return
             continue
         lines = bytes(buffer[at:head]).lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        headers = {CONCURRENT: []}
+        for k, _, v in (line.partition(":") for line in lines[1:]):
+            k, v = k.strip().lower(), v.strip()
+            headers[k] = headers[k] + [v] if k == CONCURRENT else v
         size = headers.get("content-length", "")
         if not lines[0].startswith("WARC/") or not size.isdigit():
             at = head + 4
@@ -146,7 +192,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.int64() if n == "payload_bytes" else pa.string() for n in names]
+        kinds = [{"payload_bytes": pa.int64(), "concurrent_to": pa.list_(pa.string())}.get(n, pa.string()) for n in names]
         for batch in batches:
             for value in batch.column(0):
                 rows, weight = [], 0
@@ -157,13 +203,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                         block = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
                         n, digest = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
                     stated = h.get("warc-payload-digest")
-                    rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), stated and stated.rpartition(":")[2], n, digest, block.decode("utf-8", "replace")))
+                    rows.append((h.get("warc-record-id"), kind, h[CONCURRENT], h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), stated and stated.rpartition(":")[2], n, digest, block.decode("utf-8", "replace")))
                     weight += len(block)
                     if weight > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                         rows, weight = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        give_back()
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, RECORD_SCHEMA)
@@ -172,17 +219,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response, metadata, copies.
 
-    A request or metadata record belongs to the record that it is concurrent to. Of several records of one kind the largest by
-    identifier stands in the row (nothing is gathered, so a capture with very many is no burden); a kind that is absent is null. ``copies`` is
-    how often the response was found (1 where there is none).
+    Records belong together that name each other as concurrent, in either direction and over any number of records in between.
+    Of several records of one kind the largest by identifier stands in the row (nothing is gathered, so a capture with very many is no
+    burden); a kind that is absent is null. ``capture_id`` is the response's identifier, or else the least in the capture. ``copies`` is
+    how often responses were found (1 where there is none). Records without an identifier are left out.
     """
+    records = staged(records.filter("record_id is not null"), "records")
     fields = [c for c in records.columns if c != "type"]
     of = lambda kinds: F.max(F.when(F.col("type").isin(*kinds), F.struct(*fields[:1], "type", *fields[1:])))
     answers = F.col("type").isin("response", "revisit")
+    labels = connected_components(records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")))
     return (
-        records.filter("record_id is not null")
-        .groupBy(F.when(answers, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id"))
+        records.join(labels, records["record_id"] == labels["node"], "left").groupBy(F.coalesce("label", "record_id").alias("label"))
         .agg(of(["request"]).alias("request"), of(["response", "revisit"]).alias("response"), of(["metadata"]).alias("metadata"), F.greatest(F.sum(answers.cast("long")), F.lit(1)).alias("copies"))
+        .select(F.coalesce("response.record_id", "label").alias("capture_id"), "request", "response", "metadata", "copies")
     )
 
 

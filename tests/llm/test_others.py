@@ -58,6 +58,16 @@ def test_leaks_with_edits_are_found_and_only_those(spark):
     assert "".join(p for _, p in pieces_of("abcdefg", 2)) == "abcdefg"
 
 
+def test_every_occurrence_is_told_and_odd_tables_pass(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    docs = [(1, f"{item} and then, after a long pause for breath, {item.upper()}, {'filler ' * 60000} {item.replace('quick', 'quack')}"), (1, "none"), (1, "none"), (None, item)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(7, item), (7, item), (8, "zz")], "item_id long, text string")
+    got = [(r.doc_id, [(h.item_id, h.distance) for h in r.hits]) for r in find_leaks(df, asked).collect()]
+    assert got == [(1, [("7", 0), ("7", 0), ("7", 1)] * 2), (1, []), (1, []), (None, [("7", 0)] * 2)]
+    assert [len(r.hits) for r in find_leaks(df, asked.limit(0)).collect()] == [0] * 4 and find_leaks(df.limit(0), asked).count() == 0
+
+
 S = "password=hunter2hunter"
 B = base64.b64encode(S.encode()).decode()
 
@@ -129,12 +139,12 @@ def test_urls_match_brute_force(spark):
     assert url_filter.judge_urls(df.limit(0), url_filter.rules_table(spark, RULES), "page_id", "url").count() == 0
 
 
-@pytest.mark.parametrize("compression", ["gzip", "none"])
-def test_warc_round_trip(spark, tmp_path, compression):
+@pytest.mark.parametrize("compressed", [True, False])
+def test_warc_round_trip(spark, tmp_path, compressed):
     pages = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e\r\nX: y", "a\r\n\r\nWARC/1.1\r\nb"), (None, "http://f", "<p>é</p>"), (7, "http://g", "x"), (7, "http://g", "x"), (8, "u", "x"), (9, "v", "long " * 400_000)]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
     path = str(tmp_path / "w")
-    warc.write_archive(df, path, compression=compression)
+    warc.write_archive(df, path, compressed=compressed)
     records = warc.read_archive(spark, path)
     assert records.count() == 3 * len(pages)
     captures = warc.assemble(records)
@@ -145,6 +155,41 @@ def test_warc_round_trip(spark, tmp_path, compression):
     assert told == {("1", "response", None, 9, 1), ("2", "revisit", "1", 9, 1), (None, "revisit", "1", 9, 1), ("3", "response", None, 0, 1), ("4", "revisit", "3", 0, 1), ("5", "response", None, 16, 1), ("7", "response", None, 1, 2), ("8", "revisit", "7", 1, 1), ("9", "response", None, 2_000_000, 1)}
 
 
+def test_captures_come_together_in_any_direction(spark, tmp_path):
+    def record(kind, name, *others, block=b"b"):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + name.encode(), *(b"WARC-Concurrent-To: " + o.encode() for o in others), b"Content-Length: %d" % len(block)]
+        return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    raw = record("response", "p1", "q1") + record("request", "q1") + record("metadata", "m1", "q1")  # response to request, metadata to request
+    raw += record("request", "q2", "p2", "m2") + record("metadata", "m2") + record("response", "p2")  # one header for each
+    raw += record("response", "p3") + record("request", "q3", "p3") + record("metadata", "m3", "q3")  # a chain
+    raw += record("request", "q4", "gone") + record("warcinfo", "w5") + record("response", "p6") * 2 + record("metadata", "m6", "p6")
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(record("metadata", "m9", "q1", block=b"x" * (17 << 20)))
+    got = {r.capture_id: r for r in warc.assemble(warc.read_archive(spark, str(tmp_path))).collect()}
+    name = lambda r: r and r.record_id
+    assert {k: (name(r.request), name(r.response), name(r.metadata), r.copies) for k, r in got.items()} == {
+        "p1": ("q1", "p1", "m9", 1), "p2": ("q2", "p2", "m2", 1), "p3": ("q3", "p3", "m3", 1), "gone": ("q4", None, None, 1), "w5": (None, None, None, 1), "p6": (None, "p6", "m6", 2),
+    }
+    none = warc.read_archive(spark, str(tmp_path)).limit(0)
+    assert warc.assemble(none).count() == 0
+
+
+def test_warc_long_payloads_one_member_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    pages = [(1, "http://a", "x" * (17 << 20) + "é"), (2, "http://b", "y")] + [(k, f"http://{k}", f"page {k}") for k in range(3, 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(df, str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("part=*/*.txt"))
+    assert len(files) > 5
+    heads = [gzip.decompress(f.read_bytes()) for f in files]  # whole and valid, to the last byte
+    assert sum(h.count(b"WARC/1.1\r\n") for h in heads) == 3 * len(pages)
+    got = {r.page_id: r.payload_bytes for r in warc.resolve_revisits(warc.assemble(warc.read_archive(spark, str(tmp_path / "w")))).collect()}
+    assert got == {str(i): len(h.encode()) for i, _, h in pages}
+    empty = str(tmp_path / "e")
+    warc.write_archive(df.limit(0), empty)
+
+
 def test_warc_skips_what_is_no_record():
     good = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     found = list(warc.records_in(b"junk\r\n\r\n" + good + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut"))
