@@ -2,6 +2,9 @@
 
 The stages keep, in this order, documents whose language is recognised, one of each group of equal texts, one of each group of texts
 that hang together by shingle similarity, and those without passages of the benchmark; the last adds token ids and their text.
+
+All stages take null ids, texts and languages, repeated rows, empty tables and further columns of any name: the language stage drops texts
+that are null, empty or without letters; the near-copy stage keeps rows with a null id; whole texts are read however long they are.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import decontamination, exact_dedup, jaccard_join, language_id, queries, sentencepiece_codec
-from hirelake.llm.shared import staged
+from hirelake.llm.shared import discard, new_path, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``. What a stage stages, and what it read, is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(docs)
+        docs = spark.read.parquet(path)
     return docs
