@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import give_back
+from hirelake.llm.shared import give_back, small_batches
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
@@ -152,6 +152,7 @@ def find_leaks(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_t
     or empty match nothing; one shorter than ``1 / rate`` characters has no budget and matches as it is, wherever it stands; items that repeat are each reported. A null text has no hits. Rows are independent. A
     column named ``hits`` is replaced.
     """
+    small_batches(df.sparkSession)
     df = df.drop("hits")
     asked = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = asked.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]

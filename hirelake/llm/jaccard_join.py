@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.llm.components import connected_components
-from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, staged, utf8_slices
+from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, small_batches, staged, utf8_slices
 from hirelake.llm.shingles import Shingler, fingerprint
 
 #: Percent of the union that the intersection has to reach.
@@ -409,6 +409,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their own id. Texts with equal sets link. Repeated rows come back as often as they came; null ids count as
     larger than all others. Other columns are ignored. ``percent`` should be at least 75, else the filter sees no difference.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     n_buckets = parts_for(rows, F.octet_length("text"), BUCKET_BYTES)
     schema = T.StructType([T.StructField(n, k or rows.schema["id"].dataType) for n, k in HEAD])

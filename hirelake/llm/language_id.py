@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import give_back, staged
+from hirelake.llm.shared import give_back, small_batches, staged
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -184,6 +184,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     still names its nearest language. Ties go to the language first in the alphabet. Columns of these names are replaced.
     Rows are independent; a model without languages answers ``und``.
     """
+    small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     at, table = df.columns.index(text_col), _letters()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import give_back
+from hirelake.llm.shared import give_back, small_batches
 
 #: Kinds in their order, with patterns; only ASCII letters match in either case.
 KINDS = ("assign", "access", "hex")
@@ -240,6 +240,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     or be null, other columns are ignored, an empty table gives an empty result.
     """
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("base", span), T.StructField("spans", span)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import give_back
+from hirelake.llm.shared import give_back, small_batches
 
 MARK = "▁"
 #: Characters of words kept per task before the table starts anew; it bounds memory, not results.
@@ -88,12 +88,12 @@ def read_model(path: str) -> PieceModel:
         if p[:k] in ids and p[k:] in ids
     ]
     pairs.sort()
-    chars = -1 - np.arange(0x110000, dtype=np.int64)
+    chars = -1 - np.arange(0x110000, dtype=np.int32)
     for p, i in ids.items():
         if len(p) == 1:
             chars[ord(p)] = i
     a = np.array(pairs, dtype=np.int64).reshape(-1, 3)
-    letters = np.zeros(0x110000, np.int64)
+    letters = np.zeros(0x110000, np.int16)
     held = sorted({ord(c) for p in ids if len(p) > 1 for c in p})
     if len(held) >= 1 << 15:
         raise ValueError("pieces hold too many different characters")
@@ -101,7 +101,7 @@ def read_model(path: str) -> PieceModel:
 
     def numbered(parts: set) -> np.ndarray:
         points = np.array([[ord(c) for c in p] for p in parts], np.int64).reshape(len(parts), -1)
-        return np.unique(_number([letters[x] for x in points.T])) if len(parts) else np.zeros(0, np.int64)
+        return np.unique(_number([letters[x].astype(np.int64) for x in points.T])) if len(parts) else np.zeros(0, np.int64)
 
     two, three = ({p for p in ids if len(p) == n} for n in (2, 3))
     four = {p[k : k + 4] for p in ids for k in range(len(p) - 3)}
@@ -124,7 +124,7 @@ def _held(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _joints(model: PieceModel, points: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Whether a piece could go across the border before each character, within its word."""
     n = len(points)
-    x, inside = model.letters[points], np.zeros(n + 4, bool)
+    x, inside = model.letters[points].astype(np.int64), np.zeros(n + 4, bool)
     for width, known in ((2, model.two), (3, model.three), (4, model.four)):
         if n < width:
             continue
@@ -192,7 +192,7 @@ def merge_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.nda
     """Token ids of all words in a row (word marks already in place of spaces), and their number for each word."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    symbols, of = model.chars[points], np.repeat(np.arange(len(words)), lengths)  # an unknown character: minus one less the code point
+    symbols, of = model.chars[points].astype(np.int64), np.repeat(np.arange(len(words)), lengths)  # an unknown character: minus one less the code point
     first = ~_joints(model, points, of)
     part_of, begins = np.cumsum(first) - 1, np.flatnonzero(first)
     flat, part, n_parts = symbols, part_of, len(begins)
@@ -308,6 +308,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     A null or empty text has no ids. Rows are independent, so ties, repeated rows and empty tables need no rule.
     An input column named ``ids`` or ``decoded`` is replaced.
     """
+    small_batches(df.sparkSession)
     df = df.drop("ids")
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(encoder(read_model(model_path), df.columns.index(text_col)), schema)
@@ -315,6 +316,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``: the text of each row's ids. Null ids read as none."""
+    small_batches(df.sparkSession)
     df = df.drop("decoded").withColumn(ids_col, F.coalesce(F.col(ids_col), F.array().cast("array<int>")))
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
     return df.mapInArrow(decoder(read_model(model_path), df.columns.index(ids_col)), schema)
@@ -322,6 +324,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
 
 def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` and ``decoded``, both in one pass over the rows, so that ids cross to Python workers and back once."""
+    small_batches(df.sparkSession)
     df = df.drop("ids", "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     model, at, width = read_model(model_path), df.columns.index(text_col), len(df.columns)

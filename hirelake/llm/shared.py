@@ -84,6 +84,17 @@ def parts_for(df: DataFrame, size, each: int) -> int:
     return max(1, -(-(df.agg(F.sum(size)).first()[0] or 0) // each))
 
 
+#: Rows that cross to a Python worker at a time where the session has Spark's own default: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless it was set to something else than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Hand memory that a Python worker has freed back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

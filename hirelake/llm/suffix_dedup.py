@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, staged, text_or_empty, utf8_slices
+from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, small_batches, staged, text_or_empty, utf8_slices
 
 LENGTH = 200
 GRAM = 32
@@ -453,6 +453,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on the input and never cross texts. A null text counts as empty. Rows that repeat a text repeat all of it (from
     ``LENGTH`` bytes on). Ids may repeat or be null; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     n_buckets = parts_for(rows, F.octet_length("text"), BUCKET_BYTES)
     told = staged(rows.mapInArrow(_heads(n_buckets, arrow_type(rows, "id")), HEAD.format(id=rows.schema["id"].dataType.simpleString())), "anchors")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm.components import connected_components
-from hirelake.llm.shared import give_back, staged
+from hirelake.llm.shared import give_back, small_batches, staged
 
 EOL = "\r\n"
 VERSION = "WARC/1.1"
@@ -91,6 +91,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     its payload has a page with an id. A null url leaves the target out; line ends in a url are percent-encoded. Rows that repeat id, url and html
     repeat their records, identifiers included.
     """
+    small_batches(pages.sparkSession)
     uri = F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html"))
