@@ -136,16 +136,17 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of rows that repeat both id and text but differ in other columns, the first by its columns written as JSON stays.
     """
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"), F.char_length(text_or_empty(text_col)).alias("n"))
+    # A null id is left out of the key, so it differs from all ids.
+    key = lambda i, sha, n: F.concat_ws(":", sha, n.cast("string"), i.cast("string")).alias("key")
+    chars = F.char_length(text_or_empty(text_col)).cast("long")
+    rows = df.select(F.struct("*").alias("row"), key(F.col(id_col), F.sha2(normalised(text_col), 256), chars))
     groups = exact_groups(df.select(id_col, text_col), id_col, text_col, block_chars).filter("group_size > 1")
     marks = staged(
-        groups.groupBy(F.col(id_col).alias("of_id"), F.col("text_sha256").alias("of_sha"), F.col("n_chars").alias("of_n")).agg(
-            F.max(F.col("kept").cast("int")).alias("keep"), F.max("copies").alias("copies")
-        ),
-        "marks",
+        groups.groupBy(key(F.col(id_col), F.col("text_sha256"), F.col("n_chars"))).agg(F.max(F.col("kept").cast("int")).alias("keep"), F.max("copies").alias("copies")), "marks"
     )
-    same = rows["id"].eqNullSafe(marks["of_id"]) & (rows["sha"] == marks["of_sha"]) & (rows["n"] == marks["of_n"])
-    joined = rows.join(marks, same, "left")
-    single = joined.filter("keep is null or (keep = 1 and copies = 1)").select("row.*")
-    twins = joined.filter("keep = 1 and copies > 1")
-    return single.unionByName(twins.groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+    # A merge join whatever the number of copies, so that the plan is the same at every size.
+    joined = rows.hint("merge").join(marks, "key", "left").filter("keep is null or keep = 1")
+    if marks.filter("keep = 1 and copies > 1").isEmpty():
+        return joined.select("row.*")
+    twins = joined.filter("copies > 1").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return joined.filter("copies is null or copies = 1").select("row.*").unionByName(twins.select("row.*"))
