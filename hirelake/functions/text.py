@@ -38,8 +38,18 @@ def _collapsed(c: Column) -> Column:
 def strip_html(c: Column) -> Column:
     out = F.regexp_replace(_empty(c), "<[^>]+>", " ")
     for name, sign in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return _collapsed(out)
+        if name != "&amp;":
+            out = F.replace(out, F.lit(name), F.lit(sign))
+    # Numeric entities last but for the ampersand, so that nothing is decoded twice.
+    parts = F.split(out, r"(?=&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});)")
+    code = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+);", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(p, r"^&#([0-9]+);", 1), F.lit(""))).try_cast("long")
+    # Characters beyond those of one byte come from their UTF-16 halves.
+    unit = lambda n: F.lpad(F.hex(n), 4, "0")
+    wide = lambda n: F.decode(F.unhex(F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000) % 1024)))), "UTF-16BE")
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    decoded = F.array_join(F.transform(parts, lambda p: F.when(F.coalesce(valid(code(p)), F.lit(False)), F.concat(wide(code(p)), F.regexp_replace(p, "^&#[^;]*;", ""))).otherwise(p)), "")
+    out = F.when(out.contains("&#"), decoded).otherwise(out)
+    return _collapsed(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 
 def pretty_company(slug: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -18,36 +19,46 @@ PRIORITY = {
     "remoteok": 4, "weworkremotely": 4,
 }
 THRESHOLD = 0.98
+BUCKET = ["_company", "_title", "_country", "_remote"]
 
 
 def bucketed(postings: DataFrame) -> DataFrame:
-    """Active postings with the key within which duplicates are looked for; empty company or title is left out."""
+    """Active postings with the key within which duplicates are looked for; empty company or title is left out. Country and remote status
+    are those stored, where there are such columns."""
     c = F.col
+    country = c("country") if "country" in postings.columns else location.classify_country(c("location"))
+    remote = c("remote_status") if "remote_status" in postings.columns else location.classify_remote(c("location"), c("description"))
     return (
         postings.filter(F.coalesce(c("is_active"), F.lit(True)))
         .withColumn("point_id", text.point_id(c("external_id"))).withColumn("_company", text.normalize_company(c("company"))).withColumn("_title", text.normalize_title(c("title")))
         .filter("_company <> '' and _title <> ''")
-        .withColumn("_country", F.coalesce(location.classify_country(c("location")), F.lit(""))).withColumn("_remote", location.classify_remote(c("location"), c("description")))
-        .withColumn("bucket", F.xxhash64("_company", "_title", "_country", "_remote"))
+        .withColumn("_country", F.coalesce(country, F.lit(""))).withColumn("_remote", remote)
     )
 
 
 def duplicate_pairs(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a < b (point ids) of one bucket with cosine at or above ``threshold``. The join is on the bucket's columns; adaptive execution splits a hot one."""
-    rows = bucketed(postings).filter("vector is not null").select("_company", "_title", "_country", "_remote", "point_id", "vector")
+    rows = bucketed(postings).filter("vector is not null").select(*BUCKET, "point_id", "vector")
+    return _near(rows, threshold)
+
+
+def _near(rows: DataFrame, threshold: float) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.point_id") < F.col("b.point_id"))
-    for k in ("_company", "_title", "_country", "_remote"):
+    for k in BUCKET:
         same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     return a.join(b, same).select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"), cosine(F.col("a.vector"), F.col("b.vector")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
 def _kept(df: DataFrame, tag: str) -> DataFrame:
-    """A table in the shared checkpoint folder; local sessions without one use a checkpoint-free plan."""
+    """A table in the shared checkpoint folder; a local session without one gets a temporary folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        return df.cache()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,9 +89,20 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
 
 
 def dedupe_postings(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """external_id, canonical_id of every duplicate. In a cluster the most canonical source wins, then disclosed pay and length, then id."""
-    led = greedy_leaders(duplicate_pairs(postings, threshold))
-    cluster = led.select(F.col("member").alias("point_id"), "leader").unionByName(led.select(F.col("leader").alias("point_id"), "leader").distinct())
+    """external_id, canonical_id of every duplicate. In a cluster the most canonical source wins, then disclosed pay and length, then id.
+
+    Postings of a bucket with equal vectors have the same neighbours, so the least stands for all of them while leaders are looked for. To see what
+    would be marked, read the result (or ``dedupe_report``) and do not pass it on to ``mark_duplicates``.
+    """
+    rows = bucketed(postings).filter("vector is not null").select(*BUCKET, "vector", "point_id")
+    alike = _kept(rows.groupBy(*BUCKET, "vector").agg(F.min("point_id").alias("first"), F.count("*").alias("many")), "alike")
+    led = greedy_leaders(_near(alike.withColumnRenamed("first", "point_id"), threshold))
+    single = alike.filter("many > 1").select(F.col("first").alias("member")).join(led, "member", "left_anti").withColumn("leader", F.col("member"))
+    firsts = led.unionByName(led.select(F.col("leader").alias("member"), "leader")).unionByName(single).distinct()
+    same = rows["vector"] == alike["vector"]
+    for k in BUCKET:
+        same = same & (rows[k] == alike[k])
+    cluster = rows.join(alike, same).select("point_id", "first").join(firsts, F.col("first") == F.col("member")).select("point_id", "leader")
     hint = F.when(F.col("salary_max") > 0, 1.0).otherwise(0.0) + F.least(F.lit(2.0), F.coalesce(F.length("description"), F.lit(0)) / 1500.0)
     rows = postings.select("external_id", text.point_id(F.col("external_id")).alias("point_id"), F.coalesce(lookup(PRIORITY, F.col("source")), F.lit(99)).alias("prio"), hint.alias("hint")).join(cluster, "point_id")
     order = Window.partitionBy("leader").orderBy("prio", F.col("hint").desc(), "point_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, pay, rules
@@ -14,22 +14,48 @@ STALE_DAYS = 45
 ACTIVE_EVENTS = ["login", "register", "profile_save", "profile_blob_save"]
 
 
+def per_distinct(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, which depend on ``keys`` alone, computed once for each distinct combination and joined back.
+
+    Locations, titles and texts of postings repeat across feeds and places, and rules cost more than a join. A hot value is combined before it is
+    shuffled; the join reads both sides from exchanges, so adaptive execution can broadcast a small side or split a hot key.
+    """
+    told = df.select(*keys).distinct()
+    told = told.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[v.alias(n) for n, v in columns.items()])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(told[f"_key{i}"])
+    kept = [df[x] for x in df.columns if x not in columns]
+    return df.join(told, same).select(*kept, *[told[n] for n in columns])
+
+
+def live_country() -> Column:
+    """The country that the location tells, else the stored one."""
+    return F.coalesce(location.classify_country(F.col("location")), F.nullif(F.col("country"), F.lit("")))
+
+
 def enriched(df: DataFrame) -> DataFrame:
-    """``df`` with country, industry, job_family, experience_level and remote_status where they are absent."""
+    """``df`` with country, industry, job_family, experience_level and remote_status. Country and level are classified anew, the stored value
+    stays where that tells nothing; the others are filled in where they are absent."""
     c = F.col
+    if "country" not in df.columns:
+        df = df.withColumn("country", F.lit(None).cast("string"))
+    df = df.withColumn("country", live_country())
     fresh = {
-        "country": location.classify_country(c("location")), "remote_status": location.classify_remote(c("location"), c("description")),
+        "remote_status": location.classify_remote(c("location"), c("description")),
         "industry": rules.classify_industry(c("title"), c("description")), "job_family": rules.classify_job_family(c("title"), c("description")),
     }
     for name, column in fresh.items():
         df = df.withColumn(name, F.coalesce(F.nullif(c(name), F.lit("")), column) if name in df.columns else column)
     level = rules.classify_title_or_body(c("title"), c("description"), c("industry"))
-    return df.withColumn("experience_level", F.coalesce(c("experience_level"), level) if "experience_level" in df.columns else level)
+    return df.withColumn("experience_level", F.coalesce(level, F.nullif(c("experience_level"), F.lit(""))) if "experience_level" in df.columns else level)
 
 
 @dataclass
 class SearchFilter:
-    """Empty lists and None do not filter. Stored columns are compared first, so they reach the scan."""
+    """Empty lists and None do not filter. Stored columns are compared first, so they reach the scan.
+
+    A country is compared twice: the stored one, where there is one, then the one that the location tells."""
 
     remote_status: list[str] = field(default_factory=list)
     experience_level: list[str] = field(default_factory=list)
@@ -47,7 +73,11 @@ class SearchFilter:
     def apply(self, df: DataFrame, as_of: str) -> DataFrame:
         c = F.col
         df = df.filter(F.coalesce(c("is_active"), F.lit(True)))
-        for name in ("source", "remote_status", "industry", "job_family", "country", "experience_level"):
+        if self.country:
+            stored = F.coalesce(c("country"), F.lit(""))
+            told = per_distinct(df.filter(stored.isin("", *self.country)), ["location", "country"], {"_live": live_country()})
+            df = told.filter(c("_live").isin(*self.country)).drop("_live")
+        for name in ("source", "remote_status", "industry", "job_family", "experience_level"):
             wanted = getattr(self, name)
             if wanted:
                 df = df.filter(c(name).isin(*wanted))

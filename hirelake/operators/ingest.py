@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, rules, text
 from hirelake.functions.pay import lookup
-from hirelake.operators.filters import enriched
+from hirelake.functions import pay
+from hirelake.operators.filters import enriched, live_country
 
 # Enumerations and limits of the posting schema.
 REMOTE = ["remote", "hybrid", "onsite", "unknown"]
 LEVELS = ["intern", "junior", "mid", "senior", "staff", "principal", "manager", "director", "executive"]
+LENGTHS = {"title": 512, "company": 256, "location": 512, "salary_range": 128, "source": 64, "source_url": 2048, "description": 100_000}
+PERIODS = ["hourly", "daily", "weekly", "monthly", "annual"]
+INDUSTRIES = ["tech", "healthcare", "retail", "food_service", "trades", "government", "education", "finance", "manufacturing", "logistics", "legal", "nonprofit", "media", "science", "other"]
 UNITS = {"annual": "YEAR", "monthly": "MONTH", "weekly": "WEEK", "daily": "DAY", "hourly": "HOUR"}
 SOURCE_NAMES = {"greenhouse": "Greenhouse", "lever": "Lever", "ashby": "Ashby", "workday": "Workday", "themuse": "The Muse", "remoteok": "Remote OK", "hackernews": "Hacker News", "weworkremotely": "We Work Remotely", "usajobs": "USAJobs", "workatastartup": "Work at a Startup"}
 
 
+#: Rows of a table that is sent to every task.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def in_blocks(df: DataFrame, key: str, most: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """A stated set in parts of about ``most`` rows."""
+    n = max(1, -(-df.count() // most))
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def validation_reasons() -> Column:
     c = F.col
     checks = [
         (F.length(F.trim(F.coalesce(c("external_id"), F.lit("")))) == 0, "external_id"), (F.length(F.coalesce(c("title"), F.lit(""))) == 0, "title"),
-        (F.length("title") > 300, "title_long"), (F.length(F.coalesce(c("company"), F.lit(""))) == 0, "company"), (c("salary_min") < 0, "salary_min"), (c("salary_max") < 0, "salary_max"),
+        *[(F.length(c(name)) > most, f"{name}_long") for name, most in LENGTHS.items()], (F.length(F.coalesce(c("company"), F.lit(""))) == 0, "company"), (c("salary_min") < 0, "salary_min"), (c("salary_max") < 0, "salary_max"),
         (~c("salary_currency").rlike("^[A-Z]{3}$"), "salary_currency"), (~c("country").rlike("^[A-Z]{2}$"), "country"), (~c("remote_status").isin(*REMOTE), "remote_status"),
-        (~c("experience_level").isin(*LEVELS), "experience_level"), (c("scraped_at").isNull(), "scraped_at"),
+        (~c("experience_level").isin(*LEVELS), "experience_level"), (~c("salary_period").isin(*PERIODS), "salary_period"), (~c("industry").isin(*INDUSTRIES), "industry"), (c("location").isNull(), "location"), (c("source_url").isNull(), "source_url"), (c("scraped_at").isNull(), "scraped_at"),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in checks]))
 
 
 def validate_postings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected with reasons)."""
-    for name, kind in (("country", "string"), ("remote_status", "string"), ("experience_level", "string")):
+    for name in ("country", "remote_status", "experience_level", "salary_range", "salary_period", "salary_currency", "industry", "source", "description"):
         if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
+            df = df.withColumn(name, F.lit(None).cast("string"))
+    for name in ("salary_min", "salary_max"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast("double"))
+    if "source_url" not in df.columns:
+        df = df.withColumn("source_url", F.lit(""))
     told = df.withColumn("reasons", validation_reasons())
     return told.filter(F.size("reasons") == 0).drop("reasons"), told.filter(F.size("reasons") > 0)
 
@@ -69,7 +96,8 @@ def backfill(postings: DataFrame, column: str, fresh: Column, force: bool = Fals
 
 
 def backfill_country(postings: DataFrame) -> DataFrame:
-    return backfill(postings, "country", location.classify_country(F.col("location")), force=True)
+    """For a dry run, hold the result against ``postings`` with ``stats.transition_tally`` and ``stats.backfill_totals`` and write nothing."""
+    return postings.withColumn("country", live_country())
 
 
 def backfill_industry(postings: DataFrame, force: bool = False) -> DataFrame:
@@ -81,9 +109,12 @@ def backfill_level(postings: DataFrame) -> DataFrame:
 
 
 def contact_sink(df: DataFrame) -> DataFrame:
-    """Contact messages without those that fill the hidden field; trimmed, user agent cut at 200."""
+    """Contact messages without those that fill the hidden field; trimmed (empty: null), user agent cut at 200. Absent columns are null."""
+    for name in ("subject", "ip", "user_agent"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast("string"))
     kept = df.filter(F.coalesce(F.trim("website"), F.lit("")) == "")
-    return kept.select(*[F.trim(c).alias(c) for c in ("name", "email", "message")], F.substring("user_agent", 1, 200).alias("user_agent"), "ts")
+    return kept.select("ip", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("name", "email", "subject", "message")], F.substring("user_agent", 1, 200).alias("user_agent"), "ts")
 
 
 def to_jobposting_jsonld(df: DataFrame) -> DataFrame:
@@ -117,17 +148,19 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def snapshot_export(tables: dict[str, DataFrame], folder: str, stamp: str, keep: int = 7) -> None:
-    """Write all tables under ``folder/stamp`` and drop all but the ``keep`` latest stamps."""
+def snapshot_export(tables: dict[str, DataFrame], folder: str, stamp: str, days: int = 7) -> None:
+    """Write all tables under ``folder/snapshot-stamp`` (stamp: yyyy-MM-dd) and drop snapshots over ``days`` days older than it. Folders of other names stay."""
     spark = SparkSession.active()
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{stamp}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/snapshot-{stamp}/{name}")
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stamps = sorted((s.getPath().getName() for s in fs.listStatus(root)), reverse=True)
-    for old in stamps[keep:]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
+    oldest = date.fromisoformat(stamp) - timedelta(days=days)
+    for name in [s.getPath().getName() for s in fs.listStatus(root)]:
+        told = re.fullmatch(r"snapshot-(\d{4}-\d{2}-\d{2})", name)
+        if told and date.fromisoformat(told.group(1)) < oldest:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
 
 
 def parse_feed_config(df: DataFrame, column: str = "text") -> DataFrame:
@@ -144,6 +177,28 @@ def filter_feed_urls(urls: DataFrame, feeds: DataFrame) -> DataFrame:
     return urls.join(feeds.select(F.col("label").alias("feed"), "pattern"), "feed").filter(F.expr("pattern is null or url rlike pattern")).drop("pattern")
 
 
+def cap_pages(urls: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The first ``max_pages`` URLs of each feed in the order of ``seq`` (1,000 where the feed states none); a task keeps no more than that of a feed before they meet."""
+    limits = feeds.select(F.col("label").alias("feed"), F.when(F.col("max_pages") > 0, F.col("max_pages")).otherwise(1000).alias("_most"))
+    order = F.row_number().over(Window.partitionBy("feed").orderBy("seq", "url"))
+    return urls.join(limits, "feed").withColumn("_n", order).filter(F.col("_n") <= F.col("_most")).drop("_n", "_most")
+
+
+#: Landed answers of a slug probe.
+PROBE_HITS = "adapter string, slug string, company string, url string, jobs bigint"
+
+
+def read_probe_hits(raw: DataFrame) -> DataFrame:
+    """Probe hits from JSON lines (``value``); broken lines and those without adapter or slug are dropped."""
+    return raw.select(F.from_json("value", PROBE_HITS).alias("h")).select("h.*").filter("adapter is not null and coalesce(slug, '') <> ''")
+
+
+def get_postings(postings: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+    """The postings of ``ids`` (external_id), classified anew and with quality; an unknown id gives no row."""
+    found = postings.join(ids.select("external_id").distinct(), "external_id", "left_semi")
+    return pay.with_quality(enriched(found), as_of)
+
+
 def novel_slugs(hits: DataFrame, known: DataFrame) -> DataFrame:
     key = lambda d: d.withColumn("slug", F.lower("slug"))
     return key(hits).select("adapter", "slug").distinct().join(key(known).select("adapter", "slug"), ["adapter", "slug"], "left_anti")
@@ -189,7 +244,7 @@ def extract_skills(df: DataFrame, id_col: str, column: str, industry: Column, le
     left = F.when(F.col("term").rlike(r"^\w"), F.lit(r"\b")).otherwise(F.lit(r"(?:^|[^\w])"))
     right = F.when(F.col("term").rlike(r"\w$"), F.lit(r"\b")).otherwise(F.lit(r"(?:[^\w]|$)"))
     terms = lexicon.withColumn("lower_term", F.lower("term")).withColumn("pattern", F.concat(F.lit("(?i)"), left, term, right))
-    hits = rows.join(F.broadcast(terms), "industry").filter(F.col("_low").contains(F.col("lower_term")) & F.expr("_text rlike pattern"))  # a lexicon is a few hundred fixed rows
+    hits = rows.join(small(terms), "industry").filter(F.col("_low").contains(F.col("lower_term")) & F.expr("_text rlike pattern"))
     return hits.groupBy(id_col, "name").agg(F.min("place").alias("place"), F.min("category").alias("category"))
 
 
@@ -202,7 +257,7 @@ def expand_queries(queries: DataFrame, banks: DataFrame) -> DataFrame:
     asked = queries.withColumn("norm", norm).withColumn("bank_of", F.coalesce("industry", rules.classify_industry(F.col("query"), F.lit("")))).select("query", "norm", F.when(F.col("bank_of") == "food_service", "retail").otherwise(F.col("bank_of")).alias("bank_of"))
     held = F.concat(F.lit(" "), F.col("norm"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))
     rank = F.when(F.col("bank") == F.col("bank_of"), 0).when(F.col("bank") == "common", 1).when(F.col("bank") == "tech", 2)
-    hits = asked.join(F.broadcast(banks), held).withColumn("r", rank).filter("r is not null")  # banks are a few hundred fixed rows
+    hits = asked.join(small(banks), held).withColumn("r", rank).filter("r is not null")
     best = Window.partitionBy("query").orderBy("r", (F.col("key") == F.col("norm")).desc(), F.length("key").desc(), "key")
     top = hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("query", "embed_text", "keywords")
     return queries.select("query").join(top, "query", "left")
@@ -216,9 +271,12 @@ def match_saved_searches(postings: DataFrame, searches: DataFrame, as_of: str, k
         & (c("s.industry").isNull() | (c("s.industry") == c("p.industry"))) & (c("s.keyword").isNull() | F.lower("p.title").contains(F.lower("s.keyword")))
     )
     live = postings.filter(F.coalesce("is_active", F.lit(True)))
-    pairs = live.alias("p").join(F.broadcast(searches).alias("s"), hit).select("s.search_id", "p.external_id", F.coalesce("p.posted_at", "p.scraped_at").alias("stamp"))  # searches are a stated set
-    order = Window.partitionBy("search_id").orderBy(F.col("stamp").desc(), "external_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("search_id", "external_id", "rank")
+    order, out = Window.partitionBy("search_id").orderBy(F.col("stamp").desc(), "external_id"), None
+    for part in in_blocks(searches, "search_id"):  # searches are a stated set; each task keeps k rows of a search
+        pairs = live.alias("p").join(F.broadcast(part).alias("s"), hit).select("s.search_id", "p.external_id", F.coalesce("p.posted_at", "p.scraped_at").alias("stamp"))
+        best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("search_id", "external_id", "rank")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def new_since(matches: DataFrame, searches: DataFrame) -> DataFrame:

@@ -59,13 +59,18 @@ def batch_topk(queries: DataFrame, df: DataFrame, k: int, query_id: str, query_v
     return out
 
 
-def quantised_topk(df: DataFrame, vector: list[float], k: int, column: str = "vector", id_col: str = "external_id", oversample: float = 2.0, scale: float = 127.0) -> DataFrame:
-    """Top k by 8-bit dot product with oversampling, then rescored at full precision."""
-    small = F.transform(column, lambda x: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * scale).cast("tinyint"))
-    asked = F.array(*[F.lit(max(-127, min(127, round(x * scale)))) for x in vector])
+def quantised_topk(df: DataFrame, vector: list[float], k: int, column: str = "vector", id_col: str = "external_id", oversample: float = 2.0, quantile: float = 0.99) -> DataFrame:
+    """Top k by 8-bit dot product of unit vectors with oversampling, then rescored at full precision. The scale is set by the ``quantile`` of the absolute values; what exceeds it is clipped."""
+    unit = F.transform(column, lambda x: x.cast("double") / F.greatest(F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))), F.lit(1e-300)))
+    df = df.withColumn("_unit", unit)
+    most = df.select(F.explode("_unit").alias("x")).agg(F.percentile_approx(F.abs("x"), F.lit(quantile), F.lit(10_000))).first()[0] or 1.0
+    size = max(sum(x * x for x in vector) ** 0.5, 1e-300)
+    scale = 127.0 / most
+    small = F.transform("_unit", lambda x: F.round(F.greatest(F.lit(-most), F.least(F.lit(most), x)) * scale).cast("tinyint"))
+    asked = F.array(*[F.lit(max(-127, min(127, round(x / size * scale)))) for x in vector])
     dot = F.aggregate(F.zip_with(small, asked, lambda a, b: a.cast("int") * b), F.lit(0).cast("long"), lambda s, x: s + x)
     pool = df.withColumn("_dot", dot).orderBy(F.col("_dot").desc(), F.col(id_col)).limit(int(k * oversample))
-    return vector_topk(pool.drop("_dot"), vector, k, column, id_col)
+    return vector_topk(pool.drop("_dot", "_unit"), vector, k, column, id_col)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -161,8 +166,15 @@ def paginate(df: DataFrame, order: list[Column], k: int = 25, offset: int = 0) -
     return page.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
 
 
-def hybrid_search(df: DataFrame, vector: list[float], keywords: list[str], search: SearchFilter, as_of: str, k: int = 25, offset: int = 0, pool: int = 300) -> DataFrame:
-    """Vector and keyword passes over the filtered postings, fused; quality is computed for the page alone."""
+def candidates(k: int, search: SearchFilter) -> int:
+    """How many candidates each pass of a search takes: 5 k from 200 to 300 if a filter is applied after it, else 2 k from 100 to 200."""
+    late = search.experience_level or search.country or search.location or search.company or search.require_salary or search.salary_min_usd is not None or search.salary_max_usd is not None or search.max_age_days is not None
+    return min(300, max(5 * k, 200)) if late else min(200, max(2 * k, 100))
+
+
+def hybrid_search(df: DataFrame, vector: list[float], keywords: list[str], search: SearchFilter, as_of: str, k: int = 25, offset: int = 0, pool: int | None = None) -> DataFrame:
+    """Vector and keyword passes over the filtered postings, fused; quality is computed for the page alone. ``pool``: candidates of each pass."""
+    pool = pool or candidates(k, search)
     base = search.apply(df, as_of)
     near = vector_topk(base.select("external_id", "vector"), vector, pool)
     ranked = near.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "external_id")))  # ``pool`` rows

@@ -16,14 +16,14 @@ def counts_by(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def active_users(events: DataFrame, as_of: str, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    """Distinct active users in each window before ``as_of``, in one pass; events dated later count."""
-    rows = active_user_events(events)
-    since = lambda d: F.col("ts") > F.expr(f"timestamp_ntz '{as_of}' - interval {d} days")
-    return rows.agg(*[F.count_distinct(F.when(since(d), F.col("uid"))).alias(f"users_{d}d") for d in days])
+    """Distinct active users in each window before ``as_of``, its bound included; events dated later count. A user's last event decides."""
+    rows = active_user_events(events).groupBy("uid").agg(F.max("ts").alias("ts"))
+    since = lambda d: F.col("ts") >= F.expr(f"timestamp_ntz '{as_of}' - interval {d} days")
+    return rows.agg(*[F.count(F.when(since(d), 1)).alias(f"users_{d}d") for d in days])
 
 
 def event_counts(events: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    return events.filter(F.col("ts") > F.expr(f"timestamp_ntz '{as_of}' - interval {days} days")).groupBy("event").agg(F.count("*").alias("n"))
+    return events.filter(F.col("ts") >= F.expr(f"timestamp_ntz '{as_of}' - interval {days} days")).groupBy("event").agg(F.count("*").alias("n"))
 
 
 def event_spikes(events: DataFrame, factor: float = 3.0, days: int = 7) -> DataFrame:
@@ -61,12 +61,31 @@ def enrich_applications(apps: DataFrame, postings: DataFrame, as_of: str) -> Dat
     return out.withColumn("missing", F.col("title").isNull()).withColumn("ghosted", F.col("status").isin("applied", "interviewing") & idle)
 
 
+def ordered_applications(apps: DataFrame) -> DataFrame:
+    """Applications with ``place``: by status in its order, within a status the last touched first, then by id."""
+    dim = F.create_map(*[F.lit(x) for i, s in enumerate(STATUSES) for x in (s, i)])
+    within = Window.partitionBy("status").orderBy(F.col("last_touched_at").desc_nulls_last(), "app_id")
+    return apps.withColumn("status_place", F.try_element_at(dim, F.col("status"))).withColumn("place", F.row_number().over(within))
+
+
 def transition_tally(before: DataFrame, after: DataFrame, column: str, key: str = "external_id") -> DataFrame:
     """old, new, n of a backfilled column."""
     both = before.select(key, F.col(column).alias("old")).join(after.select(key, F.col(column).alias("new")), key)
     return both.groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
+def backfill_totals(before: DataFrame, after: DataFrame, column: str, key: str = "external_id") -> DataFrame:
+    """One row: updated, skipped (the value was right), unresolvable (no value before or after)."""
+    both = before.select(key, F.nullif(F.col(column), F.lit("")).alias("old")).join(after.select(key, F.nullif(F.col(column), F.lit("")).alias("new")), key)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    changed = ~F.col("old").eqNullSafe(F.col("new"))
+    return both.agg(n(changed).alias("updated"), n(~changed & F.col("new").isNotNull()).alias("skipped"), n(~changed & F.col("new").isNull()).alias("unresolvable"))
+
+
+def user_count(users: DataFrame) -> DataFrame:
+    return users.agg(F.count("*").alias("total_users"))
+
+
 def crawl_runs(log: DataFrame) -> DataFrame:
     """run, started, sources, ok, failed, done from log lines (seq, ts, line); a run begins at a start line."""
     start = F.col("line").contains("crawl started")

@@ -74,8 +74,9 @@ P = f"WITH postings AS ({POSTINGS_SQL}), places AS ({LOCATIONS_SQL}), labelled A
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with the labels that need no body text."""
-    p = postings(spark, sf_dir)
-    return p.withColumn("country", location.classify_country(c("location"))).withColumn("remote_status", location.classify_remote(c("location"), c("description"))).withColumn("industry", rules.classify_industry(c("title"), c("description"))).withColumn("job_family", rules.classify_job_family(c("title"), c("description")))
+    p = filters.per_distinct(postings(spark, sf_dir), ["location"], {"country": location.classify_country(c("location"))})
+    p = filters.per_distinct(p, ["location", "description"], {"remote_status": location.classify_remote(c("location"), c("description"))})
+    return filters.per_distinct(p, ["title", "description"], {"industry": rules.classify_industry(c("title"), c("description")), "job_family": rules.classify_job_family(c("title"), c("description"))})
 
 
 @query(f"{P} SELECT external_id, country, remote_status FROM labelled")
@@ -90,7 +91,7 @@ def p04_p05_industry_family(spark, sf_dir):
 
 @query(f"{P} SELECT external_id, {TITLE_LEVEL_SQL} AS level FROM labelled")
 def p06_title_level(spark, sf_dir):
-    return labelled(spark, sf_dir).select("external_id", rules.classify_title_level(c("title"), c("industry")).alias("level"))
+    return filters.per_distinct(labelled(spark, sf_dir), ["title", "industry"], {"level": rules.classify_title_level(c("title"), c("industry"))}).select("external_id", "level")
 
 
 def _instr(pattern: str) -> str:
@@ -110,7 +111,7 @@ def p08_body_keyword_level(spark, sf_dir):
 @query()
 def p10_title_or_body_level(spark, sf_dir):
     p = labelled(spark, sf_dir)
-    return p.select("external_id", rules.classify_title_or_body(c("title"), c("description"), c("industry")).alias("level"))
+    return filters.per_distinct(p, ["title", "description", "industry"], {"level": rules.classify_title_or_body(c("title"), c("description"), c("industry"))}).select("external_id", "level")
 
 
 _USD = lambda a: f"CAST(floor({a} * {map_sql('salary_period', pay.PERIODS)} * {map_sql('salary_currency', pay.FX)} + 0.5) AS BIGINT)"
@@ -211,12 +212,12 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACTIVE = "event IN ('login', 'register', 'profile_save', 'profile_blob_save') AND uid IS NOT NULL"
 
 
-@query(f"WITH a AS ({EVENTS}) SELECT " + ", ".join(f"count(DISTINCT uid) FILTER (WHERE ts > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL {d} DAY) AS users_{d}d" for d in (1, 7, 30)) + f" FROM a WHERE {_ACTIVE}")
+@query(f"WITH a AS ({EVENTS}) SELECT " + ", ".join(f"count(DISTINCT uid) FILTER (WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL {d} DAY) AS users_{d}d" for d in (1, 7, 30)) + f" FROM a WHERE {_ACTIVE}")
 def a05_active_users(spark, sf_dir):
     return stats.active_users(audit(spark, sf_dir), EVENTS_AS_OF)
 
 
-@query(f"WITH a AS ({EVENTS}) SELECT event, count(*) AS n FROM a WHERE ts > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY GROUP BY event")
+@query(f"WITH a AS ({EVENTS}) SELECT event, count(*) AS n FROM a WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY GROUP BY event")
 def a06_event_counts(spark, sf_dir):
     return stats.event_counts(audit(spark, sf_dir), EVENTS_AS_OF)
 
@@ -291,7 +292,7 @@ def f01_f06_filters(spark, sf_dir):
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with a vector: that of their company and title, changed a little or much by every third and sixth posting."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    p = labelled(spark, sf_dir).withColumn("vec_id", (F.regexp_extract("company", r"Acme (\d+)", 1).cast("bigint") * 20 + c("posting_key") % 20) % 500)
+    p = labelled(spark, sf_dir).withColumn("vec_id", (F.regexp_extract("company", r"Acme (\d+)", 1).cast("bigint") * 20 + c("posting_key") % 20) % F.lit(e.count()))
     noise = F.element_at(F.array(F.lit(0.0), F.lit(0.05), F.lit(0.8)), ((c("posting_key") % 24 / 8).cast("int") + 1))
     out = p.join(e, "vec_id").withColumn("vector", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == 0, noise).otherwise(0.0)))
     return out.drop("embedding", "vec_id")
@@ -339,7 +340,7 @@ def t06_hybrid_search(spark, sf_dir):
 
 _V = f"""{P}, v AS (SELECT l.*, {_POINT} AS point_id, {_COMPANY} AS ck, {_TITLE} AS tk, coalesce(country, '') AS land,
     list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = 1 THEN CASE CAST(floor((posting_key % 24) / 8) AS INTEGER) WHEN 0 THEN 0.0 WHEN 1 THEN 0.05 ELSE 0.8 END ELSE 0.0 END) AS vector
-  FROM labelled l JOIN embeddings e ON e.vec_id = (CAST(regexp_extract(company, 'Acme (\\d+)', 1) AS BIGINT) * 20 + posting_key % 20) % 500 WHERE {_LIVE}),
+  FROM labelled l JOIN embeddings e ON e.vec_id = (CAST(regexp_extract(company, 'Acme (\\d+)', 1) AS BIGINT) * 20 + posting_key % 20) % (SELECT count(*) FROM embeddings) WHERE {_LIVE}),
 pairs AS (SELECT a.point_id AS a, b.point_id AS b FROM v a JOIN v b ON a.ck = b.ck AND a.tk = b.tk AND a.land = b.land AND a.remote_status = b.remote_status AND a.point_id < b.point_id
   WHERE {_COS.format(a='a.vector', b='b.vector')} >= 0.98 AND a.ck <> '' AND a.tk <> '')"""
 
@@ -381,10 +382,59 @@ def k01_upsert(spark, sf_dir):
     return ingest.upsert_postings(p, newer).select("external_id", "title", "scraped_at")
 
 
-@query(f"{P} SELECT l.source AS old, l.country AS new, count(*) AS n FROM labelled l GROUP BY ALL")
+#: What is stored before a backfill: wrong, empty, absent or right.
+STORED_SQL = "CASE source WHEN 'workday' THEN 'ZZ' WHEN 'themuse' THEN '' WHEN 'remoteok' THEN NULL ELSE country END"
+
+
+def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose stored country needs a backfill."""
+    return labelled(spark, sf_dir).withColumn("country", F.expr(STORED_SQL))
+
+
+@query(f"{P}, b AS (SELECT {STORED_SQL} AS old, country FROM labelled) SELECT old, coalesce(country, nullif(old, '')) AS new, count(*) AS n FROM b GROUP BY ALL")
 def a04_transition_tally(spark, sf_dir):
-    p = labelled(spark, sf_dir)
-    return stats.transition_tally(p.select("external_id", c("source").alias("label")), p.select("external_id", c("country").alias("label")), "label")
+    before = stale(spark, sf_dir)
+    return stats.transition_tally(before, ingest.backfill_country(before), "country")
+
+
+@query(f"""{P}, b AS (SELECT nullif({STORED_SQL}, '') AS old, country FROM labelled), t AS (SELECT old, coalesce(country, old) AS new FROM b)
+SELECT count(*) FILTER (WHERE old IS DISTINCT FROM new) AS updated, count(*) FILTER (WHERE old = new) AS skipped, count(*) FILTER (WHERE old IS NULL AND new IS NULL) AS unresolvable FROM t""")
+def a04_backfill_totals(spark, sf_dir):
+    before = stale(spark, sf_dir)
+    return stats.backfill_totals(before, ingest.backfill_country(before), "country")
+
+
+@query(f"{P}, b AS (SELECT external_id, {STORED_SQL} AS stored, country FROM labelled) SELECT external_id FROM b WHERE coalesce(stored, '') IN ('', 'US', 'DE') AND coalesce(country, nullif(stored, '')) IN ('US', 'DE')")
+def f03_live_country(spark, sf_dir):
+    """A stored country narrows the search, the one that the location tells decides."""
+    return filters.SearchFilter(country=["US", "DE"]).apply(stale(spark, sf_dir).drop("is_active").withColumn("is_active", F.lit(True)), AS_OF).select("external_id")
+
+
+@query(f"{P} SELECT external_id, country, {QUALITY_SQL} AS quality FROM labelled WHERE posting_key % 7 = 0")
+def j03_get_postings(spark, sf_dir):
+    """Asked for are the postings of every seventh order, and as many ids that do not exist."""
+    p = stale(spark, sf_dir).withColumn("country", F.lit(None).cast("string"))
+    asked = p.filter("posting_key % 7 = 0").select("external_id")
+    ids = asked.unionByName(asked.select(F.concat(F.lit("none:"), "external_id").alias("external_id")))
+    return ingest.get_postings(p, ids, AS_OF).select("external_id", "country", "quality")
+
+
+@query(f"""WITH a AS ({APPLICATIONS}) SELECT app_id, status, list_position({stats.STATUSES}, status) - 1 AS status_place, row_number() OVER (PARTITION BY status ORDER BY last_touched_at DESC, app_id) AS place FROM a""")
+def w10_applications_in_order(spark, sf_dir):
+    return stats.ordered_applications(applications(spark, sf_dir)).select("app_id", "status", "status_place", "place")
+
+
+@query("""WITH u AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS feed, url, page_id AS seq FROM pages), f AS (SELECT DISTINCT feed, CASE WHEN feed LIKE '%.org' THEN 2 WHEN feed LIKE '%.com' THEN 0 ELSE 3 END AS most FROM u)
+SELECT feed, url, seq FROM u JOIN f USING (feed) QUALIFY row_number() OVER (PARTITION BY feed ORDER BY seq, url) <= CASE WHEN most > 0 THEN most ELSE 1000 END""")
+def w08_cap_pages(spark, sf_dir):
+    urls = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("feed"), "url", c("page_id").alias("seq"))
+    feeds_ = urls.select(c("feed").alias("label")).distinct().withColumn("max_pages", F.when(c("label").like("%.org"), 2).when(c("label").like("%.com"), 0).otherwise(3))
+    return ingest.cap_pages(urls, feeds_)
+
+
+@query("SELECT count(*) AS total_users FROM customer")
+def a17_user_count(spark, sf_dir):
+    return stats.user_count(table(spark, sf_dir, "customer"))
 
 
 @query(f"WITH postings AS ({POSTINGS_SQL}) SELECT external_id FROM postings WHERE source <> 'workday'")
@@ -418,6 +468,54 @@ def s01_greenhouse_round_trip(spark, sf_dir):
     return out.select(F.regexp_extract("external_id", r"^greenhouse:(.*):\d+$", 1).alias("external_id"), "title", "location")
 
 
+#: A record of each feed over the columns of the postings: where the records stand in the response, the record, and the location that comes out.
+ROUND_TRIPS = {
+    "lever": ("", "named_struct('id', ref, 'text', title, 'hostedUrl', url, 'categories', named_struct('location', location), 'descriptionPlain', description)", "location"),
+    "ashby": ("jobs", "named_struct('id', ref, 'title', title, 'locationName', location, 'isListed', true, 'applyUrl', url, 'descriptionHtml', description)", "location"),
+    "smartrecruiters": ("content", "named_struct('id', ref, 'name', title, 'ref', url, 'location', named_struct('city', location, 'region', location, 'remote', false))", "location"),
+    "recruitee": ("offers", "named_struct('id', posting_key, 'title', title, 'location', location, 'careers_url', url, 'status', 'published', 'description', description)", "location"),
+    "workable": ("results", "named_struct('id', ref, 'title', title, 'shortlink', url, 'location', named_struct('city', '', 'region', '', 'country', location))", "location"),
+    "breezy": ("", "named_struct('friendly_id', ref, 'name', title, 'url', url, 'locations', array(named_struct('name', location)))", "location"),
+    "pinpoint": ("data", "named_struct('id', ref, 'title', title, 'url', url, 'location', named_struct('name', location), 'description', description)", "location"),
+    "themuse": ("results", "named_struct('id', posting_key, 'name', title, 'refs', named_struct('landing_page', url), 'company', named_struct('name', company), 'locations', array(named_struct('name', location)))", "location"),
+    "adzuna": ("results", "named_struct('id', ref, 'title', title, 'redirect_url', url, 'company', named_struct('display_name', company), 'location', named_struct('display_name', location))", "location"),
+    "jooble": ("jobs", "named_struct('id', posting_key, 'title', title, 'location', location, 'link', url, 'source', company)", "location"),
+    "reed": ("results", "named_struct('jobId', posting_key, 'jobTitle', title, 'employerName', company, 'locationName', location, 'jobUrl', url)", "location"),
+    "careerjet": ("jobs", "named_struct('title', title, 'locations', location, 'company', company, 'url', url)", "location"),
+    "remoteok": ("", "named_struct('slug', ref, 'position', title, 'company', company, 'location', location, 'apply_url', url)", "CASE WHEN location = '' THEN 'Remote' ELSE location END"),
+    "usajobs": ("SearchResult.SearchResultItems", "named_struct('MatchedObjectDescriptor', named_struct('PositionID', ref, 'PositionTitle', title, 'PositionURI', url, 'PositionLocation', array(named_struct('LocationName', location))))", "location"),
+    "amazon": ("jobs", "named_struct('id', ref, 'title', title, 'job_path', url, 'normalized_location', location)", "location"),
+    "workatastartup": ("props.jobs", "named_struct('id', posting_key, 'title', title, 'companyName', company, 'location', location, 'applyUrl', url)", "location"),
+    "weworkremotely": ("<rss><channel><item>", "concat('<title>Acme: ', title, '</title><link>', url, '</link><guid>', ref, '</guid><region>', location, '</region>')", "location"),
+    "rss": ("<rss><channel><item>", "concat('<title>', title, '</title><link>', url, '</link><location>', location, '</location>')", "location"),
+    "personio": ("<workzag-jobs><position>", "concat('<id>', ref, '</id><name>', title, '</name><office>', location, '</office>')", "location"),
+}
+
+
+def _body(path: str, record: str):
+    if path.startswith("<"):
+        return F.concat(F.lit(path), F.expr(record), F.lit("".join("</" + tag[1:] for tag in reversed(path.replace("><", ">|<").split("|")))))
+    out = F.array(F.expr(record))
+    for name in reversed(path.split(".") if path else []):
+        out = F.struct(out.alias(name))
+    return F.to_json(out)
+
+
+def _round_trip(feed: str, path: str, record: str, place: str) -> None:
+    def run(spark, sf_dir):
+        p = postings(spark, sf_dir).withColumn("ref", c("posting_key").cast("string")).withColumn("url", F.concat(F.lit("https://x/"), "ref"))
+        raw = p.select(F.lit(feed).alias("source"), F.concat(F.lit("t"), c("posting_key").cast("string")).alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), _body(path, record).alias("body"))
+        out = feeds.normalize(raw, feed)
+        return out.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("posting_key"), "title", "location", "source")
+
+    run.__name__, run.__doc__ = f"s_{feed}_round_trip", f"Postings written as responses of {feed} and read back by its normaliser."
+    query(f"WITH postings AS ({POSTINGS_SQL}) SELECT posting_key, title, {place} AS location, '{feed}' AS source FROM postings WHERE title <> ''")(run)
+
+
+for _feed, _spec in ROUND_TRIPS.items():
+    _round_trip(_feed, *_spec)
+
+
 @query()
 def t03_cell_topk(spark, sf_dir):
     """Approximate nearest neighbours of every vector whose id is divisible by 50, through cells of k-means."""
@@ -434,10 +532,13 @@ def a16_centroids(spark, sf_dir):
     return means.select(c("label").cast("int").alias("label"), F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 9))
 
 
+RESUMES = ["Python and C++ on Kubernetes", "SQL, React and TypeScript", "EHR systems", "none of these"]
+
+
 @query()
 def a08_skill_gaps(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0")
-    profiles = e.select(F.concat(F.lit("u"), c("vec_id").cast("string")).alias("uid"), F.lit("Python and C++ on Kubernetes").alias("resume_text"), F.lit("tech").alias("industry"), c("embedding").alias("skill_vector"))
+    profiles = e.select(F.concat(F.lit("u"), c("vec_id").cast("string")).alias("uid"), F.element_at(F.array(*[F.lit(x) for x in RESUMES]), ((c("vec_id") / 50).cast("int") % len(RESUMES)) + 1).alias("resume_text"), F.lit("tech").alias("industry"), c("embedding").alias("skill_vector"))
     from hirelake.operators import matching
 
     return matching.skill_gaps(profiles, vectors(spark, sf_dir), lexicon(spark), "1999-01-01 00:00:00")
@@ -466,11 +567,10 @@ def a10_hits_by_adapter(spark, sf_dir):
     return matching.hits_by_adapter(hits, ["greenhouse", "workday", "lever"])
 
 
-@query(f"""{P}, f AS (SELECT external_id, CASE WHEN source = 'workday' THEN country END AS stored, country FROM labelled) SELECT external_id, coalesce(country, stored) AS country FROM f""")
+@query(f"""{P}, f AS (SELECT external_id, {STORED_SQL} AS stored, country FROM labelled) SELECT external_id, coalesce(country, nullif(stored, '')) AS country FROM f""")
 def m01_backfill_country(spark, sf_dir):
-    p = labelled(spark, sf_dir)
-    stored = p.withColumn("country", F.when(c("source") == "workday", c("country")))
-    return ingest.backfill_country(stored).select("external_id", "country")
+    """Wrong and empty values are replaced where the location tells a country; where it does not, what is stored stays."""
+    return ingest.backfill_country(stale(spark, sf_dir)).select("external_id", "country")
 
 
 @query(f"""WITH postings AS ({POSTINGS_SQL}) SELECT external_id, coalesce(posted_at, scraped_at) AS posted_at FROM postings""")
@@ -478,11 +578,13 @@ def m04_backfill_posted_at(spark, sf_dir):
     return ingest.posted_or_scraped(postings(spark, sf_dir)).select("external_id", "posted_at")
 
 
-@query(f"""{P}, b AS (SELECT {_COMPANY} AS ck, {_TITLE} AS tk, coalesce(country, '') AS land, remote_status, count(*) AS n FROM labelled WHERE {_LIVE} GROUP BY ALL)
-SELECT (SELECT count(*) FROM labelled) AS total, (SELECT CAST(sum(CAST({_LIVE} AS INTEGER)) AS BIGINT) FROM labelled) AS active, count(*) AS buckets, CAST(sum(CAST(n > 1 AS INTEGER)) AS BIGINT) AS candidate_buckets FROM b WHERE ck <> '' AND tk <> ''""")
+@query(f"""{_V}, led AS (SELECT b AS member, min(a) AS leader FROM pairs GROUP BY b), cl AS (SELECT member AS point_id, leader FROM led UNION SELECT leader, leader FROM led), r AS (SELECT point_id, row_number() OVER (PARTITION BY leader) AS n FROM cl),
+b AS (SELECT {_COMPANY} AS ck, {_TITLE} AS tk, coalesce(country, '') AS land, remote_status, count(*) AS n FROM labelled WHERE {_LIVE} GROUP BY ALL)
+SELECT (SELECT count(*) FROM labelled) AS total, (SELECT CAST(sum(CAST({_LIVE} AS INTEGER)) AS BIGINT) FROM labelled) AS active, count(*) AS buckets, CAST(sum(CAST(n > 1 AS INTEGER)) AS BIGINT) AS candidate_buckets,
+  (SELECT count(*) FROM r WHERE n > 1) AS duplicates, (SELECT CAST(sum(CAST({_LIVE} AS INTEGER)) AS BIGINT) FROM labelled) - (SELECT count(*) FROM r WHERE n > 1) AS kept FROM b WHERE ck <> '' AND tk <> ''""")
 def a13_dedupe_report(spark, sf_dir):
-    p = labelled(spark, sf_dir)
-    return dedupe.dedupe_report(p, p.limit(0)).select("total", "active", "buckets", "candidate_buckets")
+    p = vectors(spark, sf_dir)
+    return dedupe.dedupe_report(p, dedupe.dedupe_postings(p))
 
 
 @query(f"""WITH postings AS ({POSTINGS_SQL}) SELECT external_id, CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(scraped_at) < 7 * 86400 THEN 'fresh' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(scraped_at) > 45 * 86400 THEN 'stale' END AS pill FROM postings""")

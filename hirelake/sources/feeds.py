@@ -79,8 +79,11 @@ def _keyword(path: str, vocabulary: dict | None = None) -> Callable[[], Column]:
 
 
 # Field vocabularies of the feeds.
-MUSE_LEVELS = {"internship": "intern", "entry level": "junior", "mid level": "mid", "senior level": "senior", "management": "manager"}
-PERSONIO_LEVELS = {"student": "intern", "entry-level": "junior", "experienced": "mid", "executive": "executive", "lead": "senior"}
+MUSE_LEVELS = [("intern", "intern"), ("entry", "junior"), ("mid", "mid"), ("senior", "senior"), ("manager", "manager"), ("management", "manager"), ("executive", "executive")]  # held in the label
+PERSONIO_LEVELS = {
+    "entry-level": "junior", "entry level": "junior", "junior": "junior", "experienced": "mid", "mid": "mid", "professional": "mid", "senior": "senior", "lead": "principal", "principal": "principal",
+    "manager": "manager", "director": "director", "executive": "executive", "c-level": "executive", "intern": "intern", "internship": "intern", "student": "intern",
+}
 BAMBOO_PLACES = {"0": "onsite", "1": "remote", "2": "hybrid"}
 PAY_CODES = {"PA": "annual", "PH": "hourly", "PD": "daily", "BW": "biweekly"}
 PINPOINT_PERIODS = {"year": "annual", "month": "monthly", "week": "weekly", "day": "daily", "hour": "hourly"}
@@ -138,13 +141,13 @@ FEEDS: dict[str, Feed] = {
         "position array<struct<id string, subcompany string, office string, department string, name string, seniority string, createdAt string, jobDescriptions struct<jobDescription array<struct<name string, value string>>>>>", "position",
         id=lambda: s("j.id"), title=lambda: s("j.name"), company=lambda: F.coalesce(text.first_non_empty(c("j.subcompany")), _tenant()), location=lambda: s("j.office"),
         description=lambda: F.array_join(F.transform("j.jobDescriptions.jobDescription", lambda d: F.concat(text.strip_html(d["name"]), F.lit(": "), text.strip_html(d["value"]))), "\n\n"), posted=_date("j.createdAt"), url=lambda: F.concat(F.lit("https://"), F.col("tenant"), F.lit(".jobs.personio.de/job/"), s("j.id")),
-        level=lambda: F.coalesce(pay.lookup(PERSONIO_LEVELS, F.lower("j.seniority")), rules.classify_title_or_body(c("title"), c("description"), c("industry"))), xml=True,
+        level=lambda: F.coalesce(pay.lookup(PERSONIO_LEVELS, F.lower(F.trim("j.seniority"))), rules.classify_title_or_body(c("title"), c("description"), c("industry"))), xml=True,
     ),
     "themuse": Feed(
         "results array<struct<id bigint, name string, contents string, publication_date string, levels array<struct<name string>>, locations array<struct<name string>>, refs struct<landing_page string>, company struct<name string>>>", "results",
         id=lambda: s("j.id"), title=lambda: s("j.name"), company=lambda: s("j.company.name"), location=lambda: F.coalesce(F.try_element_at("j.locations", F.lit(1))["name"], F.lit("")), description=lambda: text.strip_html(s("j.contents")), posted=_date("j.publication_date"),
         url=lambda: F.coalesce(c("j.refs.landing_page"), F.concat(F.lit("https://www.themuse.com/jobs/"), s("j.id"))), remote=lambda: _flag(F.lower("location").contains("flexible"), _free_text()),
-        level=lambda: F.coalesce(pay.lookup(MUSE_LEVELS, F.lower(F.try_element_at("j.levels", F.lit(1))["name"])), rules.classify_title_or_body(c("title"), c("description"), c("industry"))),
+        level=lambda: F.coalesce(*[F.when(F.lower(F.try_element_at("j.levels", F.lit(1))["name"]).contains(word), level) for word, level in MUSE_LEVELS], rules.classify_title_or_body(c("title"), c("description"), c("industry"))),
     ),
     "adzuna": Feed(
         "results array<struct<id string, title string, description string, created string, redirect_url string, salary_min double, salary_max double, salary_is_predicted string, company struct<display_name string>, location struct<display_name string>>>", "results",

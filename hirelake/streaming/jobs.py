@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.operators import ingest
+from hirelake.operators.filters import active_user_events
 
 
 def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str, files: int = 16):
-    """Landed posting files to the table: each batch is validated, cut to unknown ids, enriched and appended. A batch that is replayed writes its own folder again."""
+    """Landed posting files to the table: each batch is validated, cut to ids that the table does not hold, enriched and appended. A batch that
+    is replayed writes its own folder again, and does not count itself as known."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(landing)
 
     def put(batch: DataFrame, number: int) -> None:
         valid, _ = ingest.validate_postings(batch)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            known = spark.read.schema("external_id string, batch long").parquet(table).filter(F.col("batch") != number)
+            valid = ingest.skip_existing(valid, known)
         fresh = ingest.upsert_postings(valid.limit(0), valid)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
@@ -27,16 +33,23 @@ def dedupe_stream(df: DataFrame, delay: str = "2 hours") -> DataFrame:
     return df.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["external_id"])
 
 
-def stream_alerts(df: DataFrame, searches: DataFrame) -> DataFrame:
-    """search_id, external_id of new postings that meet a saved search; the searches are a stated set."""
+def stream_alerts(df: DataFrame, searches: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """search_id, external_id of new postings that meet a saved search, each posting once within ``delay``. The searches are a stated set of a
+    few thousand rows; a larger one is taken in blocks."""
     c = F.col
-    hit = (c("s.country").isNull() | (c("s.country") == c("p.country"))) & (c("s.keyword").isNull() | F.lower("p.title").contains(F.lower("s.keyword")))
-    return df.alias("p").join(F.broadcast(searches).alias("s"), hit).select("s.search_id", "p.external_id", "p.scraped_at")
+    same = lambda name: c(f"s.{name}").isNull() | (c(f"s.{name}") == c(f"p.{name}"))
+    hit = same("country") & same("remote_status") & same("industry") & (c("s.keyword").isNull() | F.lower("p.title").contains(F.lower("s.keyword")))
+    once = dedupe_stream(df, delay) if df.isStreaming else df.dropDuplicates(["external_id"])
+    out = None
+    for part in ingest.in_blocks(searches, "search_id"):
+        found = once.alias("p").join(F.broadcast(part).alias("s"), hit).select("s.search_id", "p.external_id", "p.scraped_at")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def sliding_active(df: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Approximate distinct users in windows of 24 hours every hour."""
-    return df.withWatermark("ts", delay).groupBy(F.window("ts", "24 hours", "1 hour")).agg(F.approx_count_distinct("uid").alias("users"))
+    """Approximate distinct active users in windows of 24 hours every hour."""
+    return active_user_events(df).withWatermark("ts", delay).groupBy(F.window("ts", "24 hours", "1 hour")).agg(F.approx_count_distinct("uid").alias("users"))
 
 
 def tumbling_counts(df: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
