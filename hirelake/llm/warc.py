@@ -225,15 +225,18 @@ def assemble(records: DataFrame) -> DataFrame:
     burden); a kind that is absent is null. ``capture_id`` is the response's identifier, or else the least in the capture. ``copies`` is
     how often responses were found (1 where there is none). Records without an identifier are left out.
     """
-    records = staged(records.filter("record_id is not null"), "records")
-    fields = [c for c in records.columns if c != "type"]
+    records = staged(records.filter("record_id is not null").withColumn("number", F.monotonically_increasing_id()), "records")
+    fields = [c for c in records.columns if c not in ("type", "number")]
     of = lambda kinds: F.max(F.when(F.col("type").isin(*kinds), F.struct(*fields[:1], "type", *fields[1:])))
     answers = F.col("type").isin("response", "revisit")
-    labels = connected_components(records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")))
+    # All records that bear or name an identifier are tied to the first of them, whether or not there is a record of that identifier.
+    names = records.select("number", F.explode(F.array_union(F.array("record_id"), F.coalesce("concurrent_to", F.array().cast("array<string>")))).alias("name"))
+    ties = names.join(names.groupBy("name").agg(F.min("number").alias("first")), "name").filter("number <> first")
+    labels = connected_components(ties.select(F.col("number").alias("a"), F.col("first").alias("b")))
     return (
-        records.join(labels, records["record_id"] == labels["node"], "left").groupBy(F.coalesce("label", "record_id").alias("label"))
-        .agg(of(["request"]).alias("request"), of(["response", "revisit"]).alias("response"), of(["metadata"]).alias("metadata"), F.greatest(F.sum(answers.cast("long")), F.lit(1)).alias("copies"))
-        .select(F.coalesce("response.record_id", "label").alias("capture_id"), "request", "response", "metadata", "copies")
+        records.join(labels, records["number"] == labels["node"], "left").groupBy(F.coalesce("label", "number").alias("label"))
+        .agg(of(["request"]).alias("request"), of(["response", "revisit"]).alias("response"), of(["metadata"]).alias("metadata"), F.min("record_id").alias("least"), F.greatest(F.sum(answers.cast("long")), F.lit(1)).alias("copies"))
+        .select(F.coalesce("response.record_id", "least").alias("capture_id"), "request", "response", "metadata", "copies")
     )
 
 

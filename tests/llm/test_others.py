@@ -169,7 +169,7 @@ def test_captures_come_together_in_any_direction(spark, tmp_path):
     got = {r.capture_id: r for r in warc.assemble(warc.read_archive(spark, str(tmp_path))).collect()}
     name = lambda r: r and r.record_id
     assert {k: (name(r.request), name(r.response), name(r.metadata), r.copies) for k, r in got.items()} == {
-        "p1": ("q1", "p1", "m9", 1), "p2": ("q2", "p2", "m2", 1), "p3": ("q3", "p3", "m3", 1), "gone": ("q4", None, None, 1), "w5": (None, None, None, 1), "p6": (None, "p6", "m6", 2),
+        "p1": ("q1", "p1", "m9", 1), "p2": ("q2", "p2", "m2", 1), "p3": ("q3", "p3", "m3", 1), "q4": ("q4", None, None, 1), "w5": (None, None, None, 1), "p6": (None, "p6", "m6", 2),
     }
     none = warc.read_archive(spark, str(tmp_path)).limit(0)
     assert warc.assemble(none).count() == 0
