@@ -14,13 +14,14 @@ STALE_DAYS = 45
 ACTIVE_EVENTS = ["login", "register", "profile_save", "profile_blob_save"]
 
 
-def per_distinct(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+def per_distinct(df: DataFrame, keys: list[str], columns: dict[str, Column], of: DataFrame | None = None) -> DataFrame:
     """``df`` with ``columns``, which depend on ``keys`` alone, computed once for each distinct combination and joined back.
 
     Locations, titles and texts of postings repeat across feeds and places, and rules cost more than a join. A hot value is combined before it is
-    shuffled; the join reads both sides from exchanges, so adaptive execution can broadcast a small side or split a hot key.
+    shuffled; the join reads both sides from exchanges, so adaptive execution can broadcast a small side or split a hot key. ``of``: a table that
+    holds all combinations and is cheaper to read again than ``df`` (which several calls in a row would else read twice as often each).
     """
-    told = df.select(*keys).distinct()
+    told = (df if of is None else of).select(*keys).distinct()
     told = told.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[v.alias(n) for n, v in columns.items()])
     same = F.lit(True)
     for i, k in enumerate(keys):
@@ -55,7 +56,8 @@ def enriched(df: DataFrame) -> DataFrame:
 class SearchFilter:
     """Empty lists and None do not filter. Stored columns are compared first, so they reach the scan.
 
-    A country is compared twice: the stored one, where there is one, then the one that the location tells."""
+    A country is compared twice: the stored one, where there is one, then the one that the location tells. ``country_is_live`` says that the
+    column holds the latter already, as after :func:`enriched`, so that it is not told again."""
 
     remote_status: list[str] = field(default_factory=list)
     experience_level: list[str] = field(default_factory=list)
@@ -69,14 +71,13 @@ class SearchFilter:
     salary_max_usd: float | None = None
     require_salary: bool = False
     max_age_days: int | None = None
+    country_is_live: bool = False
 
     def apply(self, df: DataFrame, as_of: str) -> DataFrame:
         c = F.col
         df = df.filter(F.coalesce(c("is_active"), F.lit(True)))
         if self.country:
-            stored = F.coalesce(c("country"), F.lit(""))
-            told = per_distinct(df.filter(stored.isin("", *self.country)), ["location", "country"], {"_live": live_country()})
-            df = told.filter(c("_live").isin(*self.country)).drop("_live")
+            df = df.filter(c("country").isin(*self.country) if self.country_is_live else F.coalesce(c("country"), F.lit("")).isin("", *self.country))
         for name in ("source", "remote_status", "industry", "job_family", "experience_level"):
             wanted = getattr(self, name)
             if wanted:
@@ -91,6 +92,8 @@ class SearchFilter:
             df = df.filter(c("salary_max") != 0)
         if self.salary_min_usd is not None or self.salary_max_usd is not None:
             df = df.filter(pay.salary_overlaps(c("salary_min"), c("salary_max"), c("salary_currency"), c("salary_period"), self.salary_min_usd, self.salary_max_usd))
+        if self.country and not self.country_is_live:
+            df = df.filter(live_country().isin(*self.country))  # last, as it costs most
         return df
 
 

@@ -74,9 +74,16 @@ P = f"WITH postings AS ({POSTINGS_SQL}), places AS ({LOCATIONS_SQL}), labelled A
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with the labels that need no body text."""
-    p = filters.per_distinct(postings(spark, sf_dir), ["location"], {"country": location.classify_country(c("location"))})
-    p = filters.per_distinct(p, ["location", "description"], {"remote_status": location.classify_remote(c("location"), c("description"))})
-    return filters.per_distinct(p, ["title", "description"], {"industry": rules.classify_industry(c("title"), c("description")), "job_family": rules.classify_job_family(c("title"), c("description"))})
+    base = postings(spark, sf_dir)
+    p = filters.per_distinct(base, ["location"], {"country": location.classify_country(c("location"))})
+    p = filters.per_distinct(p, ["location", "description"], {"remote_status": location.classify_remote(c("location"), c("description"))}, base)
+    return filters.per_distinct(p, ["title", "description"], {"industry": rules.classify_industry(c("title"), c("description")), "job_family": rules.classify_job_family(c("title"), c("description"))}, base)
+
+
+def filtered_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``labelled``, told row by row: filters on stored columns go below the rules, so a narrow search tells the labels of few rows."""
+    p = postings(spark, sf_dir)
+    return p.withColumn("country", location.classify_country(c("location"))).withColumn("industry", rules.classify_industry(c("title"), c("description")))
 
 
 @query(f"{P} SELECT external_id, country, remote_status FROM labelled")
@@ -280,8 +287,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY stamp DESC, externa
 q AS (SELECT *, row_number() OVER (PARTITION BY day, company ORDER BY pos) AS round, min(pos) OVER (PARTITION BY day, company) AS first FROM r)
 SELECT external_id, title, company, country, industry, row_number() OVER (ORDER BY day DESC, round, first) AS place FROM q""")
 def t07_browse(spark, sf_dir):
-    search = filters.SearchFilter(industry=["tech", "healthcare"], country=["US", "DE", "CA"], salary_min_usd=60_000)
-    return ranking.browse(labelled(spark, sf_dir), search, AS_OF).select("external_id", "title", "company", "country", "industry", "place")
+    search = filters.SearchFilter(industry=["tech", "healthcare"], country=["US", "DE", "CA"], salary_min_usd=60_000, country_is_live=True)
+    return ranking.browse(filtered_first(spark, sf_dir), search, AS_OF).select("external_id", "title", "company", "country", "industry", "place")
 
 
 @query(f"{P} SELECT external_id FROM labelled WHERE {_LIVE} AND scraped_at >= TIMESTAMP '{AS_OF}' - INTERVAL 45 DAY AND contains(lower(location), 'san francisco') AND contains(lower(company), 'acme 1')")
@@ -334,7 +341,7 @@ def t05_keyword_pass(spark, sf_dir):
 @query()
 def t06_hybrid_search(spark, sf_dir):
     asked = table(spark, sf_dir, "embeddings").filter("vec_id = 7").first()["embedding"]
-    found = ranking.hybrid_search(vectors(spark, sf_dir), asked, ["software engineer"], filters.SearchFilter(country=["US"]), AS_OF)
+    found = ranking.hybrid_search(vectors(spark, sf_dir), asked, ["software engineer"], filters.SearchFilter(country=["US"], country_is_live=True), AS_OF)
     return found.select("external_id", F.round("fused", 8).alias("fused"), F.round("score", 6).alias("score"), "quality", "total")
 
 
