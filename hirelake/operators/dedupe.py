@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, text
 from hirelake.functions.pay import lookup
 from hirelake.operators.ranking import cosine
+from hirelake.operators.tables import kept
 
 # How canonical a source is; the lowest number wins.
 PRIORITY = {
@@ -50,38 +48,24 @@ def _near(rows: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, same).select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"), cosine(F.col("a.vector"), F.col("b.vector")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
-def _kept(df: DataFrame, tag: str) -> DataFrame:
-    """A table in the shared checkpoint folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def greedy_leaders(pairs: DataFrame) -> DataFrame:
     """member, leader. In order of id, a point leads unless an earlier leader is its neighbour; others join their earliest leader.
 
     Rounds over edges alone: points without an undecided or leading earlier neighbour become leaders, their neighbours members.
     """
-    edges = _kept(pairs.select("a", "b"), "pairs")
+    edges = kept(pairs.select("a", "b"), "pairs")
     leaders, open_edges = None, edges
     while True:
         later = open_edges.select(F.col("b").alias("id")).distinct()
         fresh = open_edges.select(F.col("a").alias("id")).distinct().join(later, "id", "left_anti")
-        fresh = _kept(fresh, "leaders")
+        fresh = kept(fresh, "leaders")
         if fresh.isEmpty():
             break
         leaders = fresh if leaders is None else leaders.unionByName(fresh)
         members = edges.join(fresh, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-        decided = _kept(fresh.unionByName(members), "decided")
+        decided = kept(fresh.unionByName(members), "decided")
         # Edges that begin or end at a decided point leave; a point left alone leads only if it has later neighbours of its own.
-        open_edges = _kept(open_edges.join(decided, F.col("a") == F.col("id"), "left_anti").join(decided, F.col("b") == F.col("id"), "left_anti"), "open")
+        open_edges = kept(open_edges.join(decided, F.col("a") == F.col("id"), "left_anti").join(decided, F.col("b") == F.col("id"), "left_anti"), "open")
     if leaders is None:
         return edges.limit(0).select(F.col("b").alias("member"), F.col("a").alias("leader"))
     found = edges.join(leaders, F.col("a") == F.col("id"), "left_semi").join(leaders, F.col("b") == F.col("id"), "left_anti")
@@ -95,7 +79,7 @@ def dedupe_postings(postings: DataFrame, threshold: float = THRESHOLD) -> DataFr
     would be marked, read the result (or ``dedupe_report``) and do not pass it on to ``mark_duplicates``.
     """
     rows = bucketed(postings).filter("vector is not null").select(*BUCKET, "vector", "point_id")
-    alike = _kept(rows.groupBy(*BUCKET, "vector").agg(F.min("point_id").alias("first"), F.count("*").alias("many")), "alike")
+    alike = kept(rows.groupBy(*BUCKET, "vector").agg(F.min("point_id").alias("first"), F.count("*").alias("many")), "alike")
     led = greedy_leaders(_near(alike.withColumnRenamed("first", "point_id"), threshold))
     single = alike.filter("many > 1").select(F.col("first").alias("member")).join(led, "member", "left_anti").withColumn("leader", F.col("member"))
     firsts = led.unionByName(led.select(F.col("leader").alias("member"), "leader")).unionByName(single).distinct()

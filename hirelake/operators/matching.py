@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelake.functions import text
 from hirelake.operators import ingest, ranking
 from hirelake.operators.filters import SearchFilter
+from hirelake.operators.tables import kept
 
 #: Texts handed to a model at once.
 BATCH = 64
@@ -36,36 +38,36 @@ def hashed_vectors(texts: list[str], dim: int) -> np.ndarray:
     return out
 
 
-def embed(df: DataFrame, id_col: str, column: str, model: Callable[[list[str]], np.ndarray] | None = None, dim: int = 64) -> DataFrame:
-    """id, vector. ``model`` maps a list of up to 64 texts to as many vectors of ``dim`` numbers; anything else fails the task."""
+def embed(df: DataFrame, id_col: str, column: str, model: Callable[[list[str]], np.ndarray] | None = None, dim: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns in ``keep``, vector. ``model`` maps a list of up to 64 texts to as many vectors of ``dim`` numbers; anything else fails the task."""
     run_model = model or (lambda texts: hashed_vectors(texts, dim))
+    rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("t"), *keep)
+    fields = [rows.schema["id"], *[rows.schema[c] for c in keep], T.StructField("vector", T.ArrayType(T.FloatType()))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, vectors = frame["t"].fillna("").tolist(), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, vectors = [t or "" for t in batch.column(1).to_pylist()], []
             for a in range(0, len(texts), BATCH):
                 part = np.asarray(run_model(texts[a : a + BATCH]))
                 if part.shape != (len(texts[a : a + BATCH]), dim):
                     raise ValueError(f"the model gave {part.shape} for {len(texts[a : a + BATCH])} texts of dimension {dim}")
-                vectors += part.tolist()
-            yield pd.DataFrame({"id": frame["id"], "vector": vectors})
+                vectors += part.astype(np.float32).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(vectors, pa.list_(pa.float32()))], names=[f.name for f in fields])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, vector array<float>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def explain_match(pairs: DataFrame, model: Callable | None = None, k: int = 4, dim: int = 64, limit: int = 25) -> DataFrame:
     """match, resume, job, score: the ``k`` best pairs of the first ``limit`` chunks of each (match, resume_text, job_text), every chunk in one pair at most."""
     sides = {}
     for side in ("resume", "job"):
-        chunks = ingest.chunk_text(pairs, "match", f"{side}_text", limit=limit).withColumn("key", F.concat_ws(":", F.col("match").cast("string"), F.col("pos").cast("string")))
-        vectors = embed(chunks, "key", "chunk", model, dim)
-        sides[side] = chunks.join(vectors, "key").select("match", F.col("pos").alias(side + "_pos"), F.col("chunk").alias(side), F.col("vector").alias(side + "_vector"))
-    cells = sides["resume"].join(sides["job"], "match")  # at most ``limit`` by ``limit`` chunks of one match
-    scores = cells.select("match", F.col("resume_pos").alias("i"), F.col("job_pos").alias("j"), ranking.cosine(F.col("resume_vector"), F.col("job_vector")).alias("score"))
-    best = ranking.greedy_pairs(scores, k)
-    named = best.join(sides["resume"].select("match", F.col("resume_pos").alias("i"), "resume"), ["match", "i"]).join(sides["job"].select("match", F.col("job_pos").alias("j"), "job"), ["match", "j"])
+        chunks = ingest.chunk_text(pairs, "match", f"{side}_text", limit=limit)
+        told = embed(chunks, "match", "chunk", model, dim, ("pos", "chunk"))
+        sides[side] = kept(told.select("match", F.col("pos").alias(side[0]), F.col("chunk").alias(side), F.col("vector").alias(side + "_vector")), side)
+    cells = sides["resume"].select("match", "r", "resume_vector").join(sides["job"].select("match", "j", "job_vector"), "match")  # at most ``limit`` by ``limit`` chunks of one match
+    scores = cells.select("match", F.col("r").alias("i"), "j", ranking.cosine(F.col("resume_vector"), F.col("job_vector")).alias("score"))
+    best = ranking.greedy_pairs(scores, k).withColumnRenamed("i", "r")
+    named = best.join(sides["resume"].select("match", "r", "resume"), ["match", "r"]).join(sides["job"].select("match", "j", "job"), ["match", "j"])
     return named.select("match", "resume", "job", "score")
 
 

@@ -211,10 +211,18 @@ def browse(df: DataFrame, search: SearchFilter, as_of: str, sort: str = "posted_
 
 
 def greedy_pairs(scores: DataFrame, k: int = 4) -> DataFrame:
-    """match, i, j, score: up to ``k`` pairs of each match by falling score, no i or j twice. ``k`` rounds of best-of-match and anti joins."""
-    left, out = scores.dropDuplicates(["match", "i", "j"]), None
-    for _ in range(k):
-        best = first_per_key(left, ["match"], [F.col("score").desc(), F.col("i"), F.col("j")])
-        out = best if out is None else out.unionByName(best)
-        left = left.join(best.select("match", "i"), ["match", "i"], "left_anti").join(best.select("match", "j"), ["match", "j"], "left_anti")
-    return out.withColumn("score", F.round("score", 3))
+    """match, i, j, score: up to ``k`` pairs of each match by falling score, no i or j twice; ties by i, then j.
+
+    At most k - 1 partners of an i or j are taken before it, so its pair is among its k best, by row and then by column. With k cells left
+    to each, a pair taken rules out 2 k - 1 cells, so all k are among the best (k - 1)(2 k - 1) + 1 of the match: a short list that is walked once.
+    """
+    order = [F.col("score").desc(), F.col("i"), F.col("j")]
+    cells = scores.filter("score is not null").groupBy("match", "i", "j").agg(F.max("score").alias("score"))
+    for keys, n in ((["match", "i"], k), (["match", "j"], k), (["match"], (k - 1) * (2 * k - 1) + 1)):
+        cells = top_n_per_group(cells, keys, order, n)
+    cell = F.struct((-F.col("score")).alias("less"), "i", "j")
+    listed = cells.groupBy("match").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    free = lambda taken, x: (F.size(taken) < k) & ~F.exists(taken, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"]))
+    none = F.slice("cells", 1, 0)
+    picked = F.aggregate("cells", none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    return listed.select("match", F.explode(picked).alias("p")).select("match", "p.i", "p.j", F.round(-F.col("p.less"), 3).alias("score"))
