@@ -7,7 +7,7 @@ counts the bytes of the oversized buckets' rows ``ROUND_BITS`` deeper, at most 2
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.shared import staged
@@ -84,11 +84,25 @@ def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_
 def write_shards(df: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``df`` with a ``shard`` column as Parquet, one folder for each shard, and return the directory (one row per shard).
 
-    Rows that repeat an id go where that id goes if one shard holds them all; if the id had to be cut in parts, all its rows go
-    to the first part's folder.
+    An id goes where :func:`assign_shards` puts it. Rows of an id that had to be cut in parts are numbered (by the task that reads them, then
+    in the task, so that none counts them all) and dealt out to the parts in turn; no folder holds more than its entry in the directory says.
+    A column of ``df`` named ``shard`` is replaced; other columns may have any name. An empty table writes no folder.
     """
-    plan = staged(assign_shards(df, limit_bytes, id_col, text_col), "plan")
-    of = plan.groupBy(F.col(id_col).alias("_id")).agg(F.min("shard").alias("shard"))
-    out = df.drop("shard").join(of, df[id_col].eqNullSafe(of["_id"])).drop("_id")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    plan = staged(assign_shards(df, limit_bytes, id_col, text_col).withColumnRenamed(id_col, "id"), "plan")
+    cut = F.col("shard").contains("/")
+    rows = df.drop("shard").select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n"))
+    of = plan.filter(~cut).select("id", "shard").distinct()
+    out = rows.join(of, rows["i"].eqNullSafe(of["id"])).select("row", "shard")
+    stem = F.regexp_replace("shard", "/[0-9]+$", "")
+    parts = staged(plan.filter(cut).groupBy("id", "n_bytes").agg(F.max("shard_rows").alias("each"), F.min(stem).alias("stem")), "parts")
+    if not parts.isEmpty():
+        hot = rows.join(parts, rows["i"].eqNullSafe(parts["id"]) & (rows["n"] == parts["n_bytes"])).select("row", "stem", "each", F.monotonically_increasing_id().alias("k"))
+        hot = staged(hot, "hot-rows").withColumn("task", F.shiftright("k", 33))
+        before = Window.partitionBy("stem").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+        starts = hot.groupBy("stem", "task").count().select("stem", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+        own = F.row_number().over(Window.partitionBy("stem", "task").orderBy("k")) - 1
+        part = F.floor((F.col("start") + F.col("own")) / F.col("each")).cast("string")
+        dealt = hot.withColumn("own", own).join(starts, ["stem", "task"]).select("row", F.concat_ws("/", "stem", part).alias("shard"))
+        out = out.unionByName(dealt)
+    out.select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
     return plan.groupBy("shard", "depth").agg(F.max("shard_bytes").alias("shard_bytes"), F.max("shard_rows").alias("shard_rows"))

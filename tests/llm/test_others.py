@@ -218,6 +218,21 @@ def test_shards_fit(spark, limit):
     assert sharding.assign_shards(df.limit(0), limit).count() == 0
 
 
+def test_written_shards_are_those_of_the_directory(spark, tmp_path):
+    rows = [(i, "é" * (i % 30), "s", 1) for i in range(300)] + [(1000, "x" * 25, "s", k) for k in range(90)] + [(1000, "z" * 7, "s", 0)] * 40 + [(None, None, "s", 2), (None, "n" * 50, "s", 3), (1001, "y" * 500, "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, each int").repartition(5)
+    path = str(tmp_path / "shards")
+    told = {r.shard: (r.shard_bytes, r.shard_rows) for r in sharding.write_shards(df, path, 200).collect()}
+    back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").schema("doc_id long, text string, each int, shard string").parquet(path).collect()
+    assert sorted((str(r.doc_id), r.text or "", r.each) for r in back) == sorted((str(i), t or "", e) for i, t, _, e in rows)
+    sums = {}
+    for r in back:
+        b, n = sums.get(r.shard, (0, 0))
+        sums[r.shard] = b + len((r.text or "").encode()), n + 1
+    assert sums == told and all(b <= 200 or n == 1 for b, n in sums.values())
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), 200)
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(language_id.learned_rows(docs))
