@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.shared import discard, staged, text_or_empty
+from hirelake.llm.shared import discard, staged, staged_alone, text_or_empty
 
 #: Fixed value: what is deleted before texts are compared, ASCII white space.
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -140,10 +140,12 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = lambda i, sha, n: F.concat_ws(":", sha, n.cast("string"), i.cast("string")).alias("key")
     chars = F.char_length(text_or_empty(text_col)).cast("long")
     rows = df.select(F.struct("*").alias("row"), key(F.col(id_col), F.sha2(normalised(text_col), 256), chars))
-    groups = exact_groups(df.select(id_col, text_col), id_col, text_col, block_chars).filter("group_size > 1")
-    marks = staged(
-        groups.groupBy(key(F.col(id_col), F.col("text_sha256"), F.col("n_chars"))).agg(F.max(F.col("kept").cast("int")).alias("keep"), F.max("copies").alias("copies")), "marks"
-    )
+
+    def found():
+        groups = exact_groups(df.select(id_col, text_col), id_col, text_col, block_chars).filter("group_size > 1")
+        return groups.groupBy(key(F.col(id_col), F.col("text_sha256"), F.col("n_chars"))).agg(F.max(F.col("kept").cast("int")).alias("keep"), F.max("copies").alias("copies"))
+
+    marks = staged_alone(df.sparkSession, found, "marks")
     # A merge join whatever the number of copies, so that the plan is the same at every size.
     joined = rows.hint("merge").join(marks, "key", "left").filter("keep is null or keep = 1")
     if marks.filter("keep = 1 and copies > 1").isEmpty():

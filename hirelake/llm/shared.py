@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -75,6 +75,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def staged_alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Stage what ``make`` returns; what it staged on the way is deleted."""
+    path = new_path(spark, tag)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
