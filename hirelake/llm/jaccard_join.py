@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.llm.components import connected_components
-from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, small_batches, staged, utf8_slices
+from hirelake.llm.shared import arrow_type, discard, give_back, parts_for, small_batches, staged, staged_alone, utf8_slices
 from hirelake.llm.shingles import Shingler, fingerprint
 
 #: Percent of the union that the intersection has to reach.
@@ -188,13 +188,17 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _full_sets(batches):
-    """Sets of the texts that still have the fingerprint asked for."""
-    shingler = Shingler()
+    """Sets of the texts that still have the fingerprint asked for; of rows in a row with one class, the first."""
+    shingler, last_class = Shingler(), None
     for batch in batches:
         for first, last, data, offsets in utf8_slices(batch.column(1)):
             sets = shingler.sets(data, offsets)
             classes, fps = (batch.column(k).slice(first, last - first).to_pylist() for k in (0, 2))
-            keep = [(c, s) for c, f, s in zip(classes, fps, sets) if fingerprint(s) == f]
+            keep = []
+            for c, f, s in zip(classes, fps, sets):
+                if c != last_class and fingerprint(s) == f:
+                    keep.append((c, s))
+                    last_class = c
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["class", "n", "tokens"])
     give_back()
 
@@ -430,8 +434,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = staged(left, "survivors").withColumnRenamed("mark", "_mark")
     # Texts are read again rather than kept as sets; by a merge join whatever the number of survivors.
     texts = rows.hint("merge").join(left, rows["id"].eqNullSafe(F.col("rep")) & (rows["mark"] == F.col("_mark")))
-    sets = texts.select("class", "text", "fp").mapInArrow(_full_sets, "class long, n long, tokens binary").dropDuplicates(["class"])
-    sets = staged(sets, "sets")
+    sets = staged(texts.select("class", "text", "fp").mapInArrow(_full_sets, "class long, n long, tokens binary"), "sets")
+    # Rows that repeat id and text meet in one task, unless a hot id was split; only then are whole sets dealt out again.
+    if not sets.groupBy("class").count().filter("count > 1").isEmpty():
+        once = staged(sets.dropDuplicates(["class"]), "sets")
+        discard(sets)
+        sets = once
     n_buckets = parts_for(sets, "n", BUCKET_ENTRIES)
     packed = sets.select("class", "tokens").mapInArrow(_bucketed(n_buckets), "bucket int, tokens binary, owners binary")
     freq = packed.groupBy("bucket").applyInArrow(_frequencies(n_buckets), "dest int, classes binary, tokens binary, many binary")
@@ -461,7 +469,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     If ids repeat, an id's rows stay if one of them is its component's smallest. Rows with a null id stay.
     """
-    told = jaccard_components(df.select(id_col, text_col), id_col, text_col, percent)
-    stays = F.max((F.col(id_col) == F.col("component_id")).cast("int"))
-    gone = staged(told.groupBy(id_col).agg(stays.alias("stays")).filter("stays = 0").select(F.col(id_col).alias("gone_id")), "gone")
+    def found():
+        told = jaccard_components(df.select(id_col, text_col), id_col, text_col, percent)
+        stays = F.max((F.col(id_col) == F.col("component_id")).cast("int"))
+        return told.groupBy(id_col).agg(stays.alias("stays")).filter("stays = 0").select(F.col(id_col).alias("gone_id"))
+
+    gone = staged_alone(df.sparkSession, found, "gone")
     return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
