@@ -108,3 +108,21 @@ def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     labels = {r.node: r.label for r in connected_components(edges).collect()}
     assert {labels[i] for i in range(61)} == {0} and labels[101] == 100
+
+
+def test_sets_that_come_twice(spark, rows, monkeypatch):
+    """Repeated rows in one task, and the same sets from several tasks, as after the split of a hot id."""
+    few = rows[:40]
+    many = few + few[:3] * 20
+    table = spark.createDataFrame(many, "doc_id long, text string")
+    want = brute(many)
+    assert sorted(map(tuple, jaccard_components(table).collect())) == want
+    plain = jaccard_join._full_sets
+
+    def twice(batches):
+        batches = list(batches)
+        yield from plain(iter(batches))
+        yield from plain(iter(batches))
+
+    monkeypatch.setattr(jaccard_join, "_full_sets", twice)
+    assert sorted(map(tuple, jaccard_components(table).collect())) == want
