@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontamination, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from hirelake.llm import conversations, decontamination, exact_dedup, fill_middle, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from hirelake.llm.shared import new_path
 
 #: The rules of op6 as host, path, verdict.
@@ -96,7 +96,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_sharding, op10_jaccard_join)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_sentencepiece, op4_warc, op5_secret_scan, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_sharding, op10_jaccard_join, op11_conversation_repair, op12_fill_middle, op13_packing)}
 
 OP2_SQL = r"""
 WITH t AS (
@@ -157,4 +175,26 @@ SELECT doc_id, substr(bits, 1, CAST(leaf.depth AS INTEGER)) AS shard, CAST(leaf.
 FROM d JOIN leaf USING (doc_id) JOIN s ON s.depth = leaf.depth AND s.shard = substr(d.bits, 1, CAST(leaf.depth AS INTEGER))
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_url_filter": OP6_SQL, "op9_sharding": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha
+  FROM documents
+), h AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(sha, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(sha, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(sha, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(sha, 25, 8) AS BIGINT) AS h4
+  FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle, coalesce(array_to_string(units[high + 1:n], ''), '') AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL = {"op12_fill_middle": OP12_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op6_url_filter": OP6_SQL, "op9_sharding": OP9_SQL}
