@@ -27,17 +27,34 @@ from hirelake.llm.shared import arrow_type, give_back, small_batches, staged
 WINDOW, UNIT, DEPTH, END_ID = 2048, 32, 4, 1
 CLASSES = WINDOW // UNIT
 #: Words whose ids a worker process keeps, characters of text that it takes at a time, words that it encodes at a time.
-KEPT_WORDS, SLICE_CHARS, ENCODED_WORDS = 400_000, 4_000_000, 4_000
+KEPT_WORDS, SLICE_CHARS, ENCODED_WORDS = 600_000, 4_000_000, 4_000
 #: Positions of the greedy order in a bucket of the interval join, and windows whose open places are summed in one task.
 BUCKET, BLOCK = 4096, 8192
 #: Words that lower-casing and the tokenizer's own splitting treat alike wherever they stand: letters of Latin-1, then marks without apostrophes.
-SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+class Lists:
+    """Lists of ids, one behind the other."""
+
+    def __init__(self):
+        self.ids, self.begins, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.begins = np.r_[self.begins, len(self.ids) + np.cumsum(counts) - counts]
+        self.ids, self.counts = np.r_[self.ids, ids.astype(np.int32)], np.r_[self.counts, counts]
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the lists ``at``."""
+        counts = self.counts[at]
+        total = np.r_[0, np.cumsum(counts)]
+        return self.ids[np.repeat(self.begins[at] - total[:-1], counts) + np.arange(total[-1])]
 
 
 class WordEncoder:
     """Ids of texts by the library's tokenizer, word by word: its own splitting never joins what white space separates.
 
-    Words of Latin letters are given to it in long lines and told apart by the ids that end a word; all other words one by one."""
+    Words of Latin letters, and marks behind them, are given to it in long lines and told apart by the ids that end a word; all other words one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,12 +67,15 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.table: dict[str, int] = {}
-        self.known, self.begins, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.stems: dict[str, int] = {}
+        self.words, self.bases = Lists(), Lists()
 
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.table.update(zip(words, range(len(self.table), len(self.table) + len(words))))
-        self.begins = np.r_[self.begins, len(self.known) + np.cumsum(counts) - counts]
-        self.known, self.counts = np.r_[self.known, ids.astype(np.int32)], np.r_[self.counts, counts]
+    def _learn_bases(self, bases: list[str]) -> None:
+        """Ids of lower-case words and of marks, each one piece of the tokenizer's splitting."""
+        for first in range(0, len(bases), ENCODED_WORDS):
+            some = bases[first : first + ENCODED_WORDS]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            self.bases.add(ids, np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])]))
 
     def learn(self, words: list[str]) -> None:
         simple, other, parts = [], [], []
@@ -63,18 +83,20 @@ class WordEncoder:
             m = SIMPLE.fullmatch(w)
             if m:
                 simple.append(w)
-                parts.append(2 if m.group(1) else 1)
+                parts += m.groups()
             else:
                 other.append(w)
-        for first in range(0, len(simple), ENCODED_WORDS):
-            some = simple[first : first + ENCODED_WORDS]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, np.int64)
-            last = np.flatnonzero(self.ends[ids])[np.cumsum(parts[first : first + ENCODED_WORDS]) - 1]
-            self._add(some, ids, np.diff(np.r_[-1, last]))
+        parts = [x.lower() for x in parts]
+        fresh = [x for x in dict.fromkeys(parts) if x and x not in self.stems]
+        self.stems.update(zip(fresh, range(len(self.stems), len(self.stems) + len(fresh))))
+        self._learn_bases(fresh)
+        at = np.fromiter((self.stems[x] for x in parts if x), np.int64)
+        of = np.flatnonzero(np.fromiter(map(bool, parts), bool, len(parts))) // 2
+        self.words.add(self.bases.joined(at), np.bincount(of, self.bases.counts[at], len(simple)).astype(np.int64))
         for first in range(0, len(other), ENCODED_WORDS):
-            some = other[first : first + ENCODED_WORDS]
-            each = [e.ids for e in self.full.encode_batch_fast(some, add_special_tokens=False)]
-            self._add(some, np.array([i for x in each for i in x], np.int64), np.fromiter(map(len, each), np.int64, len(each)))
+            each = [e.ids for e in self.full.encode_batch_fast(other[first : first + ENCODED_WORDS], add_special_tokens=False)]
+            self.words.add(np.array([i for x in each for i in x], np.int64), np.fromiter(map(len, each), np.int64, len(each)))
+        self.table.update(zip(simple + other, range(len(self.table), len(self.table) + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text ends)."""
@@ -87,11 +109,9 @@ class WordEncoder:
         if fresh:
             self.learn(fresh)
         at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))[places.indices.to_numpy(zero_copy_only=False)]
-        counts = self.counts[at]
-        total = np.r_[0, np.cumsum(counts)]
-        flat = self.known[np.repeat(self.begins[at] - total[:-1], counts) + np.arange(total[-1])]
+        total = np.r_[0, np.cumsum(self.words.counts[at])]
         offsets = lists.offsets.to_numpy(zero_copy_only=False)
-        return flat, total[offsets[1:] - offsets[0]]
+        return self.words.joined(at), total[offsets[1:] - offsets[0]]
 
 
 @cache
