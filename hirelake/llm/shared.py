@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,8 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Staged tables of the scopes that are open, innermost last.
-_SCOPES: list[list[str]] = []
+#: Folders that :func:`new_path` has handed out: nothing else is ever deleted.
+_OWN: set[str] = set()
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Staged tables of the scopes that this thread has open, innermost last."""
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _OWN.add(_qualified(spark, path)[0])
+    return path
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -45,33 +56,41 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _qualified(spark: SparkSession, folder: str):
+    """(the folder's name with its file system, path, file system)."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString(), path, store
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this process; any other stays."""
+    name, path, store = _qualified(spark, folder)
+    if name in _OWN:
+        store.delete(path, True)
+        _OWN.discard(name)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of staged tables that no later step reads."""
+    """Delete the files of staged tables that no later step reads. Tables that were not staged here stay, wherever they lie."""
     for df in tables:
-        root = shared_folder(df.sparkSession).split("://")[-1].removeprefix("file:")
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in folder:
-                _delete(df.sparkSession, folder)
+            _delete(df.sparkSession, folder)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are deleted at the end; results that need them have to be written before."""
-    _SCOPES.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path in _scopes().pop():
             _delete(spark, path)
 
 
@@ -81,8 +100,8 @@ def staged_alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -
     with scratch(spark):
         df = make()
         df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 
 import public_tokenizers
 import sentencepiece
@@ -9,6 +10,7 @@ from test_others import folded
 import corpus_pipeline
 from hirelake.llm import language_id
 from hirelake.llm.decontamination import ERROR_RATE, best_match
+from hirelake.llm.shared import shared_folder
 
 ITEM = "Completely unlikely benchmark passage number one about violet turbines and hollow lanterns by the estuary."
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,3 +58,10 @@ def test_empty_tables_and_repeated_rows(spark, tmp_path):
     text = "The old house stood at the end of the road and nobody had lived there for years. " * 4
     got = written(spark, [(1, text, "en", "s", 1)] * 3 + [(None, text + "x", "en", "s", 1)], [(1, ITEM)], tmp_path / "b")
     assert sorted(str(r.doc_id) for r in got) in (["1"], ["None"], ["1", "None"]) and len(got) <= 2
+
+
+def test_input_under_the_checkpoint_folder_stays(spark):
+    folder = f"{shared_folder(spark)}/input-{uuid.uuid4().hex}"
+    text = "The old house stood at the end of the road and nobody had lived there for years. " * 4
+    written(spark, [(1, text, "en", "s", 1), (2, text + "more", "en", "s", 1)], [(1, ITEM)], folder)
+    assert spark.read.parquet(f"{folder}/documents.parquet").count() == 2 and spark.read.parquet(f"{folder}/benchmark.parquet").count() == 1
