@@ -23,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest, then that with the smallest id stays. Null and empty texts are equal."""
     return exact_dedup.drop_exact_copies(docs)
 
 
@@ -32,11 +33,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark within its error budget go; null and empty items are in no document."""
     found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("hits") == 0).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, decoded; a null or empty text has no ids."""
     both = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), queries.piece_model())
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
@@ -54,12 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``. What a stage stages, and what it read, is deleted once its result is written."""
+    """All stages on ``documents``, which stay. What a stage stages, and the results that it read, are deleted once its own are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         path = new_path(spark, name.replace(" ", "-"))
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        discard(docs)
+        if i:
+            discard(docs)
         docs = spark.read.parquet(path)
     return docs
