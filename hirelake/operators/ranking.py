@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelake.functions import pay
 from hirelake.operators.filters import SearchFilter
@@ -16,8 +11,6 @@ from hirelake.operators.filters import SearchFilter
 #: Rank constant of reciprocal rank fusion, score of hits found by keyword alone.
 RRF_K = 60
 KEYWORD_SCORE = 0.55
-#: Cells of the approximate index, and how many of them a query searches: with these, no query of the test has a recall below 0.9.
-CELLS, PROBES = 64, 56
 SORTS = {"posted_desc": ("posted_at", False), "posted_asc": ("posted_at", True), "scraped_desc": ("scraped_at", False)}
 
 
@@ -73,65 +66,6 @@ def quantised_topk(df: DataFrame, vector: list[float], k: int, column: str = "ve
     return vector_topk(pool.drop("_dot", "_unit"), vector, k, column, id_col)
 
 
-def _unit(vectors) -> np.ndarray:
-    """Rows of length 1; a vector without length stays 0."""
-    x = np.array(vectors, np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
-def cell_centroids(df: DataFrame, cells: int = CELLS, column: str = "vector", id_col: str = "external_id", sample_rows: int = 4096, rounds: int = 8) -> np.ndarray:
-    """Centroids by spherical k-means, fitted on the ``sample_rows`` rows with the least hash of the id."""
-    rows = df.filter(F.col(column).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(column).alias("v")).orderBy("h", "id").limit(sample_rows).collect()  # a bounded sample
-    x = _unit([r["v"] for r in rows]) if rows else np.zeros((0, 0))
-    centres = x[:cells]
-    for _ in range(rounds if len(x) else 0):
-        own = (x @ centres.T).argmax(axis=1)
-        centres = _unit([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
-    return centres
-
-
-def cell_topk(queries: DataFrame, df: DataFrame, centroids: np.ndarray, k: int, query_id: str, query_vector: str, id_col: str, column: str = "vector", probes: int = PROBES, block_rows: int = 20_000) -> DataFrame:
-    """Approximate top k for each of a stated set of queries, ties by id: rows belong to the cell of their nearest centroid, a query searches
-    the ``probes`` cells nearest to it, both by cosine. Each task keeps k rows of a query. Rows or queries without a vector are left out.
-
-    Queries are taken in blocks of about ``block_rows``."""
-    asked_rows = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"))
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("v"))
-    blocks, out = max(1, -(-asked_rows.count() // block_rows)), None
-    schema = T.StructType([T.StructField("query_id", asked_rows.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    for block in range(blocks):
-        asked = asked_rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # one block of a stated set
-        names, vectors = [r["query_id"] for r in asked], _unit([r["v"] for r in asked]) if asked else None
-
-        def run(frames: Iterator[pd.DataFrame], names=names, vectors=vectors) -> Iterator[pd.DataFrame]:
-            if not names:
-                return
-            probed = np.zeros((len(centroids), len(names)), bool)
-            near = np.argsort(-(centroids @ vectors.T), axis=0, kind="stable")[:probes]
-            np.put_along_axis(probed, near, True, axis=0)
-            best = [[] for _ in names]
-            for frame in frames:
-                for first in range(0, len(frame), 2048):
-                    part = frame.iloc[first : first + 2048]
-                    x, ids = _unit(part["v"].tolist()), part["id"].tolist()
-                    searched = probed[(x @ centroids.T).argmax(axis=1)]
-                    # Equal vectors get equal scores, whichever rows they are multiplied with.
-                    scores = np.where(searched, np.round(x @ vectors.T, 12), -np.inf)
-                    for q in range(len(names)):
-                        s = scores[:, q]
-                        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                        if len(best[q]) == k:
-                            least = max(least, -best[q][-1][0])
-                        fresh = [(-s[i], ids[i]) for i in np.flatnonzero((s >= least) & (s > -np.inf)).tolist()]
-                        if fresh:
-                            best[q] = sorted(best[q] + fresh)[:k]
-            yield pd.DataFrame([(n, i, -s) for n, b in zip(names, best) for s, i in b], columns=["query_id", "id", "score"])
-
-        found = top_n_per_group(rows.mapInPandas(run, schema), ["query_id"], [F.col("score").desc(), F.col("id")], k)
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score")
-
-
 def rrf_fuse(a: DataFrame, b: DataFrame, id_col: str = "external_id", k: int = RRF_K) -> DataFrame:
     """Sum of 1 / (k + rank) over two rankings (id, rank from 1)."""
     one = lambda d, name: d.select(id_col, F.col("rank").alias(name))

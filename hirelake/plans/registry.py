@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, pay, rules, text
-from hirelake.operators import dedupe, filters, ingest, ranking, stats
+from hirelake.operators import dedupe, filters, ingest, quantised, ranking, stats
 from hirelake.plans.postings import AS_OF, POSTINGS_SQL, postings, table
 from hirelake.sources import feeds
 
@@ -525,10 +525,11 @@ for _feed, _spec in ROUND_TRIPS.items():
 
 @query()
 def t03_cell_topk(spark, sf_dir):
-    """Approximate nearest neighbours of every vector whose id is divisible by 50, through cells of k-means."""
+    """Approximate nearest neighbours of every vector whose id is divisible by 50, through codes of 16 bytes."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query_vector"))
-    found = ranking.cell_topk(asked, e, ranking.cell_centroids(e, column="embedding", id_col="vec_id"), 20, "query_id", "query_vector", "vec_id", "embedding")
+    books, codes = quantised.index_vectors(e, "embedding", "vec_id")
+    found = quantised.quantised_search(asked, e, codes, books, 20, "query_id", "query_vector", "vec_id", "embedding")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
