@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import location, rules, text
 from hirelake.functions.pay import lookup
 from hirelake.functions import pay
+from hirelake.operators import text_index
 from hirelake.operators.filters import enriched, live_country
 
 # Enumerations and limits of the posting schema.
@@ -236,28 +237,31 @@ def chunk_text(df: DataFrame, id_col: str, column: str, low: int = 40, high: int
 
 
 def extract_skills(df: DataFrame, id_col: str, column: str, industry: Column, lexicon: DataFrame) -> DataFrame:
-    """id, name, category, place of each lexicon skill in the text. The lexicon (industry, place, name, category, term) is joined on the industry
-    (tech where it has none), first by plain containment, then by the bounded pattern."""
+    """id, name, category, place of each lexicon skill in the text, as whole words. The lexicon (industry, place, name, category, term) may be of any
+    size: runs of as many words and marks as its terms have are joined with it by industry (tech where it has none) and spelling."""
+    terms = lexicon.select("industry", "place", "name", "category", F.lower("term").alias("gram"), text_index.phrase_length(F.col("term")).alias("pieces"))
     banks = [r[0] for r in lexicon.select("industry").distinct().collect()]  # a handful of industries
-    rows = df.select(id_col, F.col(column).alias("_text"), F.lower(column).alias("_low"), F.when(industry.isin(*banks), industry).otherwise("tech").alias("industry"))
-    term = F.regexp_replace("term", r"([.+*?()|\[\]{}^$\\#])", r"\\$1")
-    left = F.when(F.col("term").rlike(r"^\w"), F.lit(r"\b")).otherwise(F.lit(r"(?:^|[^\w])"))
-    right = F.when(F.col("term").rlike(r"\w$"), F.lit(r"\b")).otherwise(F.lit(r"(?:[^\w]|$)"))
-    terms = lexicon.withColumn("lower_term", F.lower("term")).withColumn("pattern", F.concat(F.lit("(?i)"), left, term, right))
-    hits = rows.join(small(terms), "industry").filter(F.col("_low").contains(F.col("lower_term")) & F.expr("_text rlike pattern"))
+    lengths = sorted(r[0] for r in terms.select("pieces").distinct().collect() if r[0] > 0)  # as many as the longest term has pieces, at most
+    rows = df.select(F.col(id_col), F.col(column).alias("_text"), F.when(industry.isin(*banks), industry).otherwise("tech").alias("industry"))
+    hits = text_index.phrase_grams(rows, "_text", lengths).drop("_text").join(terms.drop("pieces"), ["industry", "gram"])
     return hits.groupBy(id_col, "name").agg(F.min("place").alias("place"), F.min("category").alias("category"))
 
 
 def expand_queries(queries: DataFrame, banks: DataFrame) -> DataFrame:
     """query, embed_text, keywords: the best entry of the industry's bank, else the common one, else tech.
 
-    ``banks``: bank, key, embed_text, keywords. An exact key wins, else the longest key held as words.
+    ``banks``: bank, key, embed_text, keywords. An exact key wins, else the longest key held as words. Runs of words of a query, as long as the
+    banks' keys, are joined with the keys; the longest that is found is kept.
     """
     norm = text.normalize_query(F.col("query"))
     asked = queries.withColumn("norm", norm).withColumn("bank_of", F.coalesce("industry", rules.classify_industry(F.col("query"), F.lit("")))).select("query", "norm", F.when(F.col("bank_of") == "food_service", "retail").otherwise(F.col("bank_of")).alias("bank_of"))
-    held = F.concat(F.lit(" "), F.col("norm"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))
+    words = F.split("norm", " ")
+    lengths = sorted(r[0] for r in banks.select(F.size(F.split("key", " "))).distinct().collect())  # as many as the longest key has words, at most
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i.cast("int"), F.lit(n)), " "))
+    runs = [F.when(F.size(words) >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
     rank = F.when(F.col("bank") == F.col("bank_of"), 0).when(F.col("bank") == "common", 1).when(F.col("bank") == "tech", 2)
-    hits = asked.join(small(banks), held).withColumn("r", rank).filter("r is not null")
+    held = asked.withColumn("key", F.explode(F.array_distinct(F.concat(*runs)))) if runs else asked.withColumn("key", F.lit(None).cast("string")).limit(0)
+    hits = held.join(banks, "key").withColumn("r", rank).filter("r is not null")
     best = Window.partitionBy("query").orderBy("r", (F.col("key") == F.col("norm")).desc(), F.length("key").desc(), "key")
     top = hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("query", "embed_text", "keywords")
     return queries.select("query").join(top, "query", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, pay, rules, text
-from hirelake.operators import dedupe, filters, ingest, quantised, ranking, stats
+from hirelake.operators import dedupe, filters, ingest, quantised, ranking, stats, text_index
 from hirelake.plans.postings import AS_OF, POSTINGS_SQL, postings, table
 from hirelake.sources import feeds
 
@@ -197,6 +197,22 @@ def p40_extract_skills(spark, sf_dir):
     return ingest.extract_skills(labelled(spark, sf_dir), "external_id", "description", c("industry"), lexicon(spark))
 
 
+BANKS = [("tech", "software engineer", "software engineer developer", "programmer|coder"), ("tech", "engineer", "engineer builder", "maker"), ("healthcare", "nurse", "nurse care", "rn"), ("healthcare", "charge nurse", "charge nurse ward lead", "rn|ward"), ("common", "manager", "manager lead", "head"), ("tech", "staff", "staff level", "principal"), ("retail", "line cook", "line cook kitchen", "chef")]
+_BANK_ROWS = ", ".join(f"('{b}', '{k}', '{e}', '{w}')" for b, k, e, w in BANKS)
+
+
+@query(rf"""WITH postings AS ({POSTINGS_SQL}), q AS (SELECT DISTINCT title || ' at ' || company AS query FROM postings), banks(bank, key, embed_text, words) AS (VALUES {_BANK_ROWS}),
+n AS (SELECT query, trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9\s+\-#.]', ' ', 'g'), '\s+', ' ', 'g')) AS norm, coalesce({rule_sql("trim(query)", rules.INDUSTRY_RULES)}, 'other') AS industry FROM q),
+m AS (SELECT query, norm, key, embed_text, words, CASE bank WHEN CASE industry WHEN 'food_service' THEN 'retail' ELSE industry END THEN 0 WHEN 'common' THEN 1 WHEN 'tech' THEN 2 END AS r FROM n JOIN banks ON contains(' ' || norm || ' ', ' ' || key || ' ')),
+f AS (SELECT * FROM m WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY r, key = norm DESC, length(key) DESC, key) = 1)
+SELECT n.query, f.embed_text, f.words FROM n LEFT JOIN f ON f.query = n.query""")
+def p42_expand_query(spark, sf_dir):
+    """Titles with their companies as queries, expanded by banks of phrases."""
+    asked = postings(spark, sf_dir).select(F.concat("title", F.lit(" at "), "company").alias("query")).distinct().withColumn("industry", F.lit(None).cast("string"))
+    banks = spark.createDataFrame(BANKS, "bank string, key string, embed_text string, words string").select("bank", "key", "embed_text", F.split("words", r"\|").alias("keywords"))
+    return ingest.expand_queries(asked, banks).select("query", "embed_text", F.array_join("keywords", "|").alias("words"))
+
+
 @query(f"{P} SELECT industry, count(*) AS n FROM labelled GROUP BY industry")
 def a03_industry_distribution(spark, sf_dir):
     return stats.counts_by(labelled(spark, sf_dir), "industry")
@@ -334,8 +350,10 @@ def t04_quantised_topk(spark, sf_dir):
 k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY token ORDER BY external_id) <= 50), f AS (SELECT external_id, min(token) AS token FROM k GROUP BY external_id)
 SELECT external_id, row_number() OVER (ORDER BY token, external_id) AS rank FROM f QUALIFY rank <= 100""")
 def t05_keyword_pass(spark, sf_dir):
-    live = filters.SearchFilter().apply(labelled(spark, sf_dir), AS_OF)
-    return ranking.keyword_pass(live, ["Nurse", "software engineer", "x"], 100)
+    """From an index of the live postings' titles by token and place."""
+    live = filters.SearchFilter().apply(postings(spark, sf_dir), AS_OF)
+    index = spark.read.parquet(text_index.write_title_index(live))
+    return text_index.keyword_lookup(index, ["Nurse", "software engineer", "x"], 100)
 
 
 @query()
