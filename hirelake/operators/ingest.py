@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import location, rules, text
 from hirelake.functions.pay import lookup
 from hirelake.functions import pay
-from hirelake.operators import text_index
+from hirelake.operators import saved_searches, text_index
 from hirelake.operators.filters import enriched, live_country
 
 # Enumerations and limits of the posting schema.
@@ -24,21 +24,6 @@ UNITS = {"annual": "YEAR", "monthly": "MONTH", "weekly": "WEEK", "daily": "DAY",
 SOURCE_NAMES = {"greenhouse": "Greenhouse", "lever": "Lever", "ashby": "Ashby", "workday": "Workday", "themuse": "The Muse", "remoteok": "Remote OK", "hackernews": "Hacker News", "weworkremotely": "We Work Remotely", "usajobs": "USAJobs", "workatastartup": "Work at a Startup"}
 
 
-#: Rows of a table that is sent to every task.
-BROADCAST_ROWS = 20_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked to be broadcast if it has no more than ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def in_blocks(df: DataFrame, key: str, most: int = BROADCAST_ROWS) -> list[DataFrame]:
-    """A stated set in parts of about ``most`` rows."""
-    n = max(1, -(-df.count() // most))
-    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-
-
 def validation_reasons() -> Column:
     c = F.col
     checks = [
@@ -268,19 +253,8 @@ def expand_queries(queries: DataFrame, banks: DataFrame) -> DataFrame:
 
 
 def match_saved_searches(postings: DataFrame, searches: DataFrame, as_of: str, k: int = 60) -> DataFrame:
-    """search_id, external_id, rank: each saved search's newest matches. Filters are columns of ``searches``; null filters nothing."""
-    c = F.col
-    hit = (
-        (c("s.country").isNull() | (c("s.country") == c("p.country"))) & (c("s.remote_status").isNull() | (c("s.remote_status") == c("p.remote_status")))
-        & (c("s.industry").isNull() | (c("s.industry") == c("p.industry"))) & (c("s.keyword").isNull() | F.lower("p.title").contains(F.lower("s.keyword")))
-    )
-    live = postings.filter(F.coalesce("is_active", F.lit(True)))
-    order, out = Window.partitionBy("search_id").orderBy(F.col("stamp").desc(), "external_id"), None
-    for part in in_blocks(searches, "search_id"):  # searches are a stated set; each task keeps k rows of a search
-        pairs = live.alias("p").join(F.broadcast(part).alias("s"), hit).select("s.search_id", "p.external_id", F.coalesce("p.posted_at", "p.scraped_at").alias("stamp"))
-        best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("search_id", "external_id", "rank")
-        out = best if out is None else out.unionByName(best)
-    return out
+    """search_id, external_id, rank: each saved search's newest matches among active postings. Filters are columns of ``searches``; null filters nothing."""
+    return saved_searches.newest_matches(postings.filter(F.coalesce("is_active", F.lit(True))), searches, k)
 
 
 def new_since(matches: DataFrame, searches: DataFrame) -> DataFrame:

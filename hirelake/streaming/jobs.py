@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.operators import ingest
+from hirelake.operators import ingest, saved_searches
 from hirelake.operators.filters import active_user_events
 
 
@@ -34,17 +34,10 @@ def dedupe_stream(df: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 
 def stream_alerts(df: DataFrame, searches: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """search_id, external_id of new postings that meet a saved search, each posting once within ``delay``. The searches are a stated set of a
-    few thousand rows; a larger one is taken in blocks."""
-    c = F.col
-    same = lambda name: c(f"s.{name}").isNull() | (c(f"s.{name}") == c(f"p.{name}"))
-    hit = same("country") & same("remote_status") & same("industry") & (c("s.keyword").isNull() | F.lower("p.title").contains(F.lower("s.keyword")))
+    """search_id, external_id, scraped_at of new postings that meet a saved search, each posting once within ``delay``. Searches are filed by key, and
+    a posting meets those of its keys; those that ask nothing meet every posting."""
     once = dedupe_stream(df, delay) if df.isStreaming else df.dropDuplicates(["external_id"])
-    out = None
-    for part in ingest.in_blocks(searches, "search_id"):
-        found = once.alias("p").join(F.broadcast(part).alias("s"), hit).select("s.search_id", "p.external_id", "p.scraped_at")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return saved_searches.matches(once, searches, ["scraped_at"])
 
 
 def sliding_active(df: DataFrame, delay: str = "2 hours") -> DataFrame:
