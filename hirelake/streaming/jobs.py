@@ -35,6 +35,10 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: State of streams on local disk instead of memory; timers need it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def replay(df: DataFrame, job: Callable[[DataFrame], DataFrame], order: str, files: int = 4) -> DataFrame:
     """What ``job`` gives for ``df`` as a stream: its rows are landed in ``files`` files by ranges of ``order``, oldest first, each file is a batch, and
     the results are appended to a table in the shared folder until all is read."""
@@ -48,7 +52,13 @@ def replay(df: DataFrame, job: Callable[[DataFrame], DataFrame], order: str, fil
         df.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(landing)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     result = job(stream)
-    query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)  # a query keeps the setting that it starts with
+    try:
+        query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
 

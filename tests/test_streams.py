@@ -4,7 +4,6 @@ import datetime as d
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from hirelake.streaming import jobs
@@ -33,20 +32,12 @@ def test_a_new_checkpoint_keeps_what_is_there(spark, tmp_path):
     assert held() == ["a", "b", "c", "d"]
 
 
-@pytest.fixture()
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield spark
-    spark.conf.unset(key)
-
-
-def test_ghosts_are_told_once_and_touches_reset_them(rocks):
+def test_ghosts_are_told_once_and_touches_reset_them(spark):
     rng, start = random.Random(5), d.datetime(2024, 1, 1)
     rows = [(f"a{rng.randrange(40)}", rng.choice(["applied", "applied", "interviewing", "rejected"]), start + d.timedelta(hours=i * 6, seconds=rng.randrange(60))) for i in range(300)]
     end = start + d.timedelta(days=90)
     rows.append(("clock", "rejected", end))
-    got = [(r.app_id, r.last_touched_at) for r in jobs.replay(rocks.createDataFrame(rows, "app_id string, status string, last_touched_at timestamp_ntz"), jobs.ghost_applications, "last_touched_at", 5).collect()]
+    got = [(r.app_id, r.last_touched_at) for r in jobs.replay(spark.createDataFrame(rows, "app_id string, status string, last_touched_at timestamp_ntz"), jobs.ghost_applications, "last_touched_at", 5).collect()]
     want = []
     for name in {r[0] for r in rows}:
         own = sorted((r[2], r[1]) for r in rows if r[0] == name)
