@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hirelake.functions.patterns import ascii_borders
+
 # Country names, cities, state, province and country codes.
 COUNTRY_NAMES = {
     "US": "united states of america|united states|u.s.a.|u.s.|usa|america",
@@ -94,8 +96,8 @@ def classify_country(location: Column) -> Column:
 def classify_remote(location: Column, description: Column) -> Column:
     loc, desc = F.coalesce(location, F.lit("")), F.coalesce(description, F.lit(""))
     return (
-        F.when(F.regexp_replace(loc, REMOTE_FALSE, "").rlike(REMOTE_LOCATION) | desc.rlike(REMOTE_DESCRIPTION), "remote")
-        .when(loc.rlike(HYBRID) | desc.rlike(HYBRID), "hybrid")
+        F.when(F.regexp_replace(loc, REMOTE_FALSE, "").rlike(ascii_borders(REMOTE_LOCATION)) | desc.rlike(ascii_borders(REMOTE_DESCRIPTION)), "remote")
+        .when(loc.rlike(ascii_borders(HYBRID)) | desc.rlike(ascii_borders(HYBRID)), "hybrid")
         .when(loc != "", "onsite")
         .otherwise("unknown")
     )

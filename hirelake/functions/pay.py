@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.functions.patterns import ascii_borders
+
 # Exchange rates, periods, symbols, patterns, reliability and weights.
 FX = {"USD": 1.0, "CAD": 0.74, "AUD": 0.66, "NZD": 0.62, "SGD": 0.74, "EUR": 1.08, "GBP": 1.26, "CHF": 1.1, "SEK": 0.094, "NOK": 0.094, "DKK": 0.145, "PLN": 0.25, "INR": 0.012, "JPY": 0.0066, "CNY": 0.14, "HKD": 0.128, "ILS": 0.27, "AED": 0.272, "ZAR": 0.054, "BRL": 0.20, "MXN": 0.058}
 PERIODS = {"annual": 1.0, "year": 1.0, "yearly": 1.0, "monthly": 12.0, "month": 12.0, "weekly": 52.0, "week": 52.0, "biweek": 26.0, "biweekly": 26.0, "daily": 260.0, "day": 260.0, "hourly": 2080.0, "hour": 2080.0}
@@ -54,9 +56,9 @@ def parse_salary(*texts: Column) -> Column:
     for text in texts:
         for code, sign in (("USD", r"\$"), ("GBP", "£"), ("EUR", "€"), ("INR", "₹")):
             found.append(_range_in(text, rf"{sign}\s*{AMOUNT}{BETWEEN}{sign}?\s*{AMOUNT}", 1, F.lit(code)))
-        before = rf"\b({CODES})\s*{AMOUNT}{BETWEEN}{AMOUNT}"
+        before = ascii_borders(rf"\b({CODES})\s*{AMOUNT}{BETWEEN}{AMOUNT}")
         found.append(_range_in(text, before, 2, F.upper(F.regexp_extract(text, f"(?i){before}", 1))))
-        behind = rf"\$?\s*{AMOUNT}{BETWEEN}\$?\s*{AMOUNT}\s*({CODES})\b"
+        behind = ascii_borders(rf"\$?\s*{AMOUNT}{BETWEEN}\$?\s*{AMOUNT}\s*({CODES})\b")
         found.append(_range_in(text, behind, 1, F.upper(F.regexp_extract(text, f"(?i){behind}", 5))))
     return F.coalesce(*found)
 

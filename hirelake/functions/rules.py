@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hirelake.functions.patterns import ascii_borders, plain_spaces
+
 # Rules in order; the first group with a matching pattern wins. Patterns ignore case except those after ``(?-i)``.
 INDUSTRY_RULES = [
     ("healthcare", [
@@ -219,13 +221,13 @@ def first_rule(text: Column, rules: list) -> Column:
     """Label of the first rule that matches; null if none does."""
     out = None
     for label, patterns in rules:
-        hit = text.rlike(any_of(patterns))
+        hit = text.rlike(ascii_borders(any_of(patterns)))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out
 
 
 def haystack(title: Column, description: Column) -> Column:
-    return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(description, F.lit("")), 1, SAMPLE_CHARS)))
+    return F.trim(plain_spaces(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(description, F.lit("")), 1, SAMPLE_CHARS))))
 
 
 def classify_industry(title: Column, description: Column) -> Column:
@@ -238,7 +240,7 @@ def classify_job_family(title: Column, description: Column) -> Column:
 
 def classify_title_level(title: Column, industry: Column) -> Column:
     """Rules for all, then those of the industry, then those of tech."""
-    t = F.trim(title)
+    t = F.trim(plain_spaces(title))
     own = None
     for name, rules in INDUSTRY_LEVELS.items():
         if name != "tech":
@@ -252,12 +254,12 @@ def years_level(years: Column) -> Column:
 
 def body_text(description: Column) -> Column:
     plain = F.replace(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" "))
-    return F.substring(plain, 1, BODY_CHARS)
+    return plain_spaces(F.substring(plain, 1, BODY_CHARS))
 
 
 def _at(text: Column, pattern: str) -> Column:
     """Place of the first match, from 1; null if there is none."""
-    return F.nullif(F.regexp_instr(text, F.lit(f"(?i){pattern}")), F.lit(0))
+    return F.nullif(F.regexp_instr(text, F.lit(f"(?i){ascii_borders(pattern)}")), F.lit(0))
 
 
 def body_level_section(text: Column) -> Column:
@@ -266,7 +268,7 @@ def body_level_section(text: Column) -> Column:
 
     def told(pos: Column) -> Column:
         window = F.substring(text, pos, F.lit(WINDOW_CHARS))
-        ways = [F.struct(_at(window, p).alias("at"), F.lit(k).alias("k"), F.regexp_extract(window, f"(?i){p}", 1).try_cast("int").alias("years")) for k, p in enumerate([SECTION_RANGE, *SECTION_YEARS])]
+        ways = [F.struct(_at(window, p).alias("at"), F.lit(k).alias("k"), F.regexp_extract(window, f"(?i){ascii_borders(p)}", 1).try_cast("int").alias("years")) for k, p in enumerate([SECTION_RANGE, *SECTION_YEARS])]
         best = F.array_min(F.filter(F.array(*ways), lambda w: w["at"].isNotNull()))
         return F.struct(pos.alias("pos"), years_level(best["years"]).alias("level"))
 

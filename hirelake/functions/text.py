@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hirelake.functions.patterns import ascii_borders, plain_spaces
+
 # Words, hints, formats and suffixes.
 COMPANY_WORDS = r"\b(inc|incorporated|llc|ltd|limited|gmbh|s\.a\.|sa|ag|plc|co|corp|corporation|company|holdings|group|technologies|technology|tech|labs|studios|systems)\b\.?"
 TITLE_WORDS = (
@@ -58,15 +60,15 @@ def pretty_company(slug: Column) -> Column:
 
 
 def normalize_company(c: Column) -> Column:
-    out = F.regexp_replace(F.lower(_empty(c)), "[,.()]", " ")
-    out = F.regexp_replace(out, COMPANY_WORDS, " ")
+    out = F.regexp_replace(F.lower(plain_spaces(_empty(c))), "[,.()]", " ")
+    out = F.regexp_replace(out, ascii_borders(COMPANY_WORDS), " ")
     return _collapsed(F.regexp_replace(out, "[^a-z0-9 ]", " "))
 
 
 def normalize_title(c: Column) -> Column:
-    out = F.lower(_empty(c))
+    out = F.lower(plain_spaces(_empty(c)))
     for pattern in (r"\([^)]*\)", r"\[[^\]]*\]", r"[,./|\\:_-]", TITLE_WORDS, r"\s(?:[ivx]+|[1-9])\b", "[^a-z0-9 ]"):
-        out = F.regexp_replace(out, pattern, " ")
+        out = F.regexp_replace(out, ascii_borders(pattern), " ")
     return _collapsed(out)
 
 

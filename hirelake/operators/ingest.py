@@ -87,7 +87,15 @@ def backfill_country(postings: DataFrame) -> DataFrame:
 
 
 def backfill_industry(postings: DataFrame, force: bool = False) -> DataFrame:
-    return backfill(postings, "industry", rules.classify_industry(F.col("title"), F.col("description")), force)
+    """Industry and job family where the industry is missing (or everywhere); postings without a title stay as they are, and a family that
+    the rules do not tell stays too."""
+    titled, c = F.length(F.trim(F.coalesce("title", F.lit("")))) > 0, F.col
+    for name in ("industry", "job_family"):
+        if name not in postings.columns:
+            postings = postings.withColumn(name, F.lit(None).cast("string"))
+    due = titled & (F.lit(force) | (F.coalesce("industry", F.lit("")) == ""))
+    family = F.coalesce(rules.classify_job_family(c("title"), c("description")), c("job_family"))
+    return postings.withColumns({"industry": F.when(due, rules.classify_industry(c("title"), c("description"))).otherwise(c("industry")), "job_family": F.when(due, family).otherwise(c("job_family"))})
 
 
 def backfill_level(postings: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stands between the words of some titles; others begin with an accent. Rules have to see through both.
+NO_BREAK_SPACE = "\u00a0"
 AS_OF = "2001-08-02 00:00:00"
 
 TITLES = [
@@ -31,7 +33,7 @@ def _case(key: str, options: list[str]) -> str:
 
 POSTINGS_SQL = f"""
 SELECT concat(s.v, ':t', CAST(o.o_custkey % 50 AS VARCHAR(10)), ':', CAST(o.o_orderkey AS VARCHAR(20))) AS external_id, o.o_orderkey AS posting_key,
-  t.v AS title,
+  CASE WHEN o.o_orderkey % 13 = 5 THEN replace(t.v, ' ', '{NO_BREAK_SPACE}') WHEN o.o_orderkey % 17 = 3 THEN concat('é', t.v) ELSE t.v END AS title,
   concat('Acme ', CAST(o.o_custkey % 97 AS VARCHAR(10)), CASE o.o_custkey % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ', LLC' ELSE '' END) AS company,
   l.v AS location, s.v AS source, b.v AS description,
   CASE WHEN o.o_orderkey % 4 = 3 THEN NULL ELSE floor(o.o_totalprice / 4) END AS salary_min,

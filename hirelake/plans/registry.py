@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import location, pay, rules, text
 from hirelake.operators import dedupe, filters, ingest, quantised, ranking, stats, text_index
-from hirelake.plans.postings import AS_OF, POSTINGS_SQL, postings, table
+from hirelake.plans.postings import AS_OF, NO_BREAK_SPACE, POSTINGS_SQL, postings, table
 from hirelake.sources import feeds
 from hirelake.streaming import jobs
 
@@ -42,11 +42,12 @@ def map_sql(subject: str, mapping: dict) -> str:
     return f"CASE {subject} " + " ".join(f"WHEN {_text(k)} THEN {v if not isinstance(v, str) else _text(v)}" for k, v in mapping.items()) + " END"
 
 
-HAYSTACK = "trim(title || ' ' || substr(description, 1, 300))"
+TITLE = f"trim(replace(title, '{NO_BREAK_SPACE}', ' '))"
+HAYSTACK = f"trim(replace(title || ' ' || substr(description, 1, 300), '{NO_BREAK_SPACE}', ' '))"
 INDUSTRY_SQL = f"coalesce({rule_sql(HAYSTACK, rules.INDUSTRY_RULES)}, 'other')"
 FAMILY_SQL = rule_sql(HAYSTACK, rules.FAMILY_RULES)
-_OWN = " ".join(f"WHEN '{k}' THEN {rule_sql('trim(title)', v)}" for k, v in rules.INDUSTRY_LEVELS.items() if k != "tech")
-TITLE_LEVEL_SQL = f"coalesce({rule_sql('trim(title)', rules.COMMON_LEVELS)}, CASE industry {_OWN} END, {rule_sql('trim(title)', rules.TECH_LEVELS)})"
+_OWN = " ".join(f"WHEN '{k}' THEN {rule_sql(TITLE, v)}" for k, v in rules.INDUSTRY_LEVELS.items() if k != "tech")
+TITLE_LEVEL_SQL = f"coalesce({rule_sql(TITLE, rules.COMMON_LEVELS)}, CASE industry {_OWN} END, {rule_sql(TITLE, rules.TECH_LEVELS)})"
 REMOTE_SQL = (
     f"CASE WHEN regexp_matches(regexp_replace(location, {_text(location.REMOTE_FALSE)}, '', 'g'), {_text(location.REMOTE_LOCATION)}) OR regexp_matches(description, {_text(location.REMOTE_DESCRIPTION)}) THEN 'remote' "
     f"WHEN regexp_matches(location, {_text(location.HYBRID)}) OR regexp_matches(description, {_text(location.HYBRID)}) THEN 'hybrid' WHEN location <> '' THEN 'onsite' ELSE 'unknown' END"
@@ -143,8 +144,8 @@ def p17_quality(spark, sf_dir):
     return pay.with_quality(labelled(spark, sf_dir), AS_OF).select("external_id", "quality")
 
 
-_COMPANY = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(company), '[,.()]', ' ', 'g'), {_text(text.COMPANY_WORDS)}, ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_TITLE = "lower(title)"
+_COMPANY = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(company), '{NO_BREAK_SPACE}', ' '), '[,.()]', ' ', 'g'), {_text(text.COMPANY_WORDS)}, ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_TITLE = f"replace(lower(title), '{NO_BREAK_SPACE}', ' ')"
 for _p in (r"\([^)]*\)", r"\[[^\]]*\]", r"[,./|\\:_-]", text.TITLE_WORDS, r"\s(?:[ivx]+|[1-9])\b", "[^a-z0-9 ]", r"\s+"):
     _TITLE = f"regexp_replace({_TITLE}, {_text(_p)}, ' ', 'g')"
 _TITLE = f"trim({_TITLE})"
@@ -203,7 +204,7 @@ _BANK_ROWS = ", ".join(f"('{b}', '{k}', '{e}', '{w}')" for b, k, e, w in BANKS)
 
 
 @query(rf"""WITH postings AS ({POSTINGS_SQL}), q AS (SELECT DISTINCT title || ' at ' || company AS query FROM postings), banks(bank, key, embed_text, words) AS (VALUES {_BANK_ROWS}),
-n AS (SELECT query, trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9\s+\-#.]', ' ', 'g'), '\s+', ' ', 'g')) AS norm, coalesce({rule_sql("trim(query)", rules.INDUSTRY_RULES)}, 'other') AS industry FROM q),
+n AS (SELECT query, trim(regexp_replace(regexp_replace(lower(query), '[^\p{{L}}\p{{N}}\s+\-#.]', ' ', 'g'), '\s+', ' ', 'g')) AS norm, coalesce({rule_sql(f"trim(replace(query, '{NO_BREAK_SPACE}', ' '))", rules.INDUSTRY_RULES)}, 'other') AS industry FROM q),
 m AS (SELECT query, norm, key, embed_text, words, CASE bank WHEN CASE industry WHEN 'food_service' THEN 'retail' ELSE industry END THEN 0 WHEN 'common' THEN 1 WHEN 'tech' THEN 2 END AS r FROM n JOIN banks ON contains(' ' || norm || ' ', ' ' || key || ' ')),
 f AS (SELECT * FROM m WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY r, key = norm DESC, length(key) DESC, key) = 1)
 SELECT n.query, f.embed_text, f.words FROM n LEFT JOIN f ON f.query = n.query""")
@@ -654,3 +655,11 @@ def r07_ghost_stream(spark, sf_dir):
     touched = applications(spark, sf_dir).select("app_id", "status", "last_touched_at").filter(c("last_touched_at") <= F.expr(f"timestamp_ntz '{AS_OF}'"))
     clock = spark.range(1).select(F.lit("clock").alias("app_id"), F.lit("rejected").alias("status"), F.expr(f"timestamp_ntz '{AS_OF}'").alias("last_touched_at"))
     return jobs.replay(touched.unionByName(clock), jobs.ghost_applications, "last_touched_at")
+
+
+@query(f"""{P}, b AS (SELECT external_id, title, CASE posting_key % 3 WHEN 0 THEN '' WHEN 1 THEN 'legal' END AS stored, CASE posting_key % 5 WHEN 0 THEN '' ELSE title END AS given, industry, job_family FROM labelled)
+SELECT external_id, CASE WHEN given = '' OR coalesce(stored, '') <> '' THEN stored ELSE industry END AS industry, CASE WHEN given = '' OR coalesce(stored, '') <> '' THEN NULL ELSE job_family END AS job_family FROM b""")
+def m02_backfill_industry(spark, sf_dir):
+    """Postings of which a third has an industry, a third an empty one, a fifth no title."""
+    before = postings(spark, sf_dir).withColumn("industry", F.expr("CASE posting_key % 3 WHEN 0 THEN '' WHEN 1 THEN 'legal' END")).withColumn("title", F.expr("CASE posting_key % 5 WHEN 0 THEN '' ELSE title END"))
+    return ingest.backfill_industry(before).select("external_id", "industry", "job_family")

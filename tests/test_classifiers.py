@@ -98,3 +98,34 @@ def test_text_columns(spark):
     assert one("C++ / Node.js, \"x\"", text.normalize_query) == "c++ node.js x"
     assert one("engineer, Software", lambda v: text.query_cache_key(v, F.lit(True))) == "x:engineer software"
     assert one("junior", text.suggest_related) == ["new grad", "associate", "entry level"]
+
+
+def test_borders_are_ascii_and_no_break_spaces_are_blanks(spark):
+    import random
+    import re
+
+    from hirelake.functions import patterns, rules
+    from hirelake.functions import text as texts
+
+    rows = [("Software\u00a0Engineer", "tech"), ("Registered\u00a0Nurse", "healthcare"), ("éintern", "tech"), ("Senior\u00a0Engineer", "tech"), ("internship é", "tech")]
+    df = spark.createDataFrame(rows, "title string, industry string")
+    told = {r.title: (r.f, r.i, r.l, r.k) for r in df.select("title", rules.classify_job_family(F.col("title"), F.lit("")).alias("f"), rules.classify_industry(F.col("title"), F.lit(None)).alias("i"), rules.classify_title_level(F.col("title"), F.col("industry")).alias("l"), texts.normalize_title(F.col("title")).alias("k")).collect()}
+    assert told["Software\u00a0Engineer"][:2] == ("software_engineering", "tech") and told["Registered\u00a0Nurse"][1] == "healthcare"
+    assert told["éintern"][2] == "intern" and told["Senior\u00a0Engineer"][2:] == ("senior", "engineer")
+    rng, alphabet = random.Random(1), ["a", "é", "_", " ", ".", "1", "x", "ñ"]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(6))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i long, t string")
+    for pattern in (r"\ba", r"a\b", r"\b(?:a|\.x)\b", r"\ba?x\b", r"x\b\.", r"\s\b1*", r"\bx\.a\.\b"):
+        want = {i for i, t in enumerate(cases) if re.search(pattern, t, re.ASCII)}
+        assert {r.i for r in df.filter(F.col("t").rlike(patterns.ascii_borders(pattern))).collect()} == want, pattern
+
+
+def test_backfill_leaves_postings_without_a_title(spark):
+    from hirelake.operators import ingest
+
+    rows = [("", None, None), (None, "", None), ("Nurse", "", None), ("Nurse", "legal", "law"), ("zzz", None, "kept"), (" ", None, None)]
+    df = spark.createDataFrame(rows, "title string, industry string, job_family string").withColumn("description", F.lit(""))
+    got = [(r.industry, r.job_family is not None) for r in ingest.backfill_industry(df).collect()]
+    assert got == [(None, False), ("", False), ("healthcare", True), ("legal", True), ("other", True), (None, False)]
+    forced = [r.industry for r in ingest.backfill_industry(df, force=True).collect()]
+    assert forced == [None, "", "healthcare", "healthcare", "other", None]
