@@ -133,22 +133,46 @@ def parse_pipe_header(c: Column) -> Column:
     )
 
 
+def variant_text(value: Column, path: str = "$") -> Column:
+    """The text of what stands at ``path`` of a VARIANT, numbers as text; null for objects, lists and what is not there."""
+    told = F.try_variant_get(value, path, "string")
+    return F.when(~F.schema_of_variant(F.try_variant_get(value, path, "variant")).rlike("^(OBJECT|ARRAY|VOID)"), told)
+
+
+def variant_items(value: Column) -> Column:
+    """The documents of a VARIANT: the members of a list or of ``@graph``, else the value itself."""
+    listed = lambda path: F.try_variant_get(value, path, "array<variant>")
+    return F.coalesce(listed("$"), listed("$['@graph']"), F.array(value))
+
+
+def is_typed(value: Column, kind: str) -> Column:
+    """Whether ``@type`` is ``kind`` or a list that holds it."""
+    path = "$['@type']"
+    return F.coalesce(F.try_variant_get(value, path, "string") == kind, F.lit(False)) | F.coalesce(F.array_contains(F.try_variant_get(value, path, "array<string>"), kind), F.lit(False))
+
+
+def _first(doc: Column, path: str) -> Column:
+    """What stands at ``path``, of a list the first member."""
+    return F.coalesce(F.try_variant_get(doc, path + "[0]", "variant"), F.try_variant_get(doc, path, "variant"))
+
+
 def json_org_name(doc: Column, path: str = "$.hiringOrganization") -> Column:
-    """An organisation that is a text or an object with a name."""
-    raw = F.get_json_object(doc, path)
-    return F.coalesce(F.get_json_object(doc, path + ".name"), F.when(~raw.startswith("{"), raw))
+    """An organisation of a VARIANT that is a text or an object with a name, or a list of such."""
+    org = _first(doc, path)
+    return F.coalesce(variant_text(org, "$.name"), variant_text(org))
 
 
 def json_location(doc: Column, path: str = "$.jobLocation") -> Column:
-    """``City, Region, Country`` of a place that is an object or the first of a list."""
-    part = lambda k: F.nullif(F.coalesce(F.get_json_object(doc, f"{path}.address.{k}"), F.get_json_object(doc, f"{path}[0].address.{k}")), F.lit(""))
-    land = F.coalesce(F.get_json_object(doc, f"{path}.address.addressCountry.name"), part("addressCountry"))
-    return F.concat_ws(", ", part("addressLocality"), part("addressRegion"), land)
+    """``City, Region, Country`` of a place of a VARIANT that is an object or the first of a list; an address may be a text, a country an object."""
+    place = _first(doc, path)
+    part = lambda k: F.nullif(variant_text(place, f"$.address.{k}"), F.lit(""))
+    land = F.coalesce(variant_text(place, "$.address.addressCountry.name"), part("addressCountry"))
+    return F.coalesce(variant_text(place, "$.address"), F.concat_ws(", ", part("addressLocality"), part("addressRegion"), land))
 
 
 def json_identifier(doc: Column, path: str = "$.identifier") -> Column:
-    raw = F.get_json_object(doc, path)
-    return F.coalesce(F.get_json_object(doc, path + ".value"), F.when(~raw.startswith("{"), raw))
+    given = _first(doc, path)
+    return F.coalesce(variant_text(given, "$.value"), variant_text(given))
 
 
 def sanitize_id(c: Column) -> Column:

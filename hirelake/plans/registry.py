@@ -663,3 +663,16 @@ def m02_backfill_industry(spark, sf_dir):
     """Postings of which a third has an industry, a third an empty one, a fifth no title."""
     before = postings(spark, sf_dir).withColumn("industry", F.expr("CASE posting_key % 3 WHEN 0 THEN '' WHEN 1 THEN 'legal' END")).withColumn("title", F.expr("CASE posting_key % 5 WHEN 0 THEN '' ELSE title END"))
     return ingest.backfill_industry(before).select("external_id", "industry", "job_family")
+
+
+@query(f"{P} SELECT posting_key, title, company, concat_ws(', ', nullif(location, ''), country) AS location FROM labelled WHERE title <> ''")
+def s25_jsonld_round_trip(spark, sf_dir):
+    """Postings written as landed pages, as one document, in a list, in a graph or behind a broken block, and read back."""
+    p = labelled(spark, sf_dir)
+    docs = ingest.to_jobposting_jsonld(p).join(p.select("external_id", "posting_key", "scraped_at"), "external_id")
+    shape = lambda before, behind: F.concat(F.lit(before), "jsonld", F.lit(behind))
+    block = F.element_at(F.array(c("jsonld"), shape('[{"@type": "BreadcrumbList"}, ', "]"), shape('{"@context": "x", "@graph": [{"@type": ["WebPage", "Thing"]}, ', "]}"), shape('{"@type": "JobPosting", broken</script><script type="application/ld+json">', "")), (c("posting_key") % 4 + 1).cast("int"))
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), block, F.lit("</script></head></html>"))
+    pages = docs.select(F.lit("site").alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), F.concat(F.lit("https://x/jobs/"), "posting_key").alias("url"), html.alias("html"))
+    out = feeds.normalize_jsonld(pages)
+    return out.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("posting_key"), "title", "company", "location")

@@ -343,10 +343,12 @@ def normalize_teamtailor(raw: DataFrame) -> DataFrame:
 
 
 def normalize_jsonld(pages: DataFrame) -> DataFrame:
-    """Postings from the first JobPosting block of html pages (tenant, fetched_at, url, html)."""
-    block = F.try_element_at(F.filter(text.jsonld_blocks(s("html")), lambda b: b.rlike(r'"@type"\s*:\s*"JobPosting"')), F.lit(1))
-    rows = pages.withColumn("doc", block).filter("doc is not null").withColumn("pos", F.lit(0)).withColumn("j", F.struct("doc", "url"))
-    get = lambda k: F.coalesce(F.get_json_object("j.doc", f"$.{k}"), F.lit(""))
+    """Postings from the first JobPosting of html pages (tenant, fetched_at, url, html). A page may hold several blocks, a block one document, a list
+    or an ``@graph``; each block is parsed once. Blocks that are no JSON are passed over."""
+    parsed = F.array_compact(F.transform(text.jsonld_blocks(s("html")), F.try_parse_json))
+    docs = F.filter(F.flatten(F.transform(parsed, text.variant_items)), lambda d: text.is_typed(d, "JobPosting"))
+    rows = pages.withColumn("doc", F.explode(F.slice(docs, 1, 1))).withColumn("pos", F.lit(0)).withColumn("j", F.struct("doc", "url"))
+    get = lambda k: F.coalesce(text.variant_text(c("j.doc"), f"$.{k}"), F.lit(""))
     feed = Feed(
         "", None, id=lambda: text.sanitize_id(text.first_non_empty(text.json_identifier(c("j.doc")), text.stable_key(c("j.url")))), title=lambda: get("title"), company=lambda: F.coalesce(text.first_non_empty(text.json_org_name(c("j.doc"))), _tenant()), location=lambda: text.json_location(c("j.doc")),
         description=lambda: text.strip_html(get("description")), posted=lambda: text.parse_posted_date(get("datePosted")), url=lambda: F.coalesce(text.first_non_empty(get("url")), c("j.url")), salary=lambda: [],

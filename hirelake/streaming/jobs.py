@@ -39,27 +39,23 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def replay(df: DataFrame, job: Callable[[DataFrame], DataFrame], order: str, files: int = 4) -> DataFrame:
-    """What ``job`` gives for ``df`` as a stream: its rows are landed in ``files`` files by ranges of ``order``, oldest first, each file is a batch, and
-    the results are appended to a table in the shared folder until all is read."""
-    spark = df.sparkSession
+def replay(df: DataFrame, job: Callable[[DataFrame], DataFrame], order: str, batches: int = 4) -> DataFrame:
+    """What ``job`` gives for ``df`` as a stream: rows are landed in ``batches`` ranges of ``order``, oldest first (nulls with them), and after each
+    landing the stream, which goes on from its checkpoint, reads what has come. Results are appended to a table in the shared folder."""
+    spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     landing, out, checkpoint = (shared_path(spark, f"replay-{x}") for x in ("landing", "out", "checkpoint"))
-    bounds = df.select(F.col(order).cast("timestamp").cast("double").alias("t")).agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
-    if bounds["low"] is None:
-        return spark.createDataFrame([], job(df).schema)
-    part = F.least(F.floor((F.col(order).cast("timestamp").cast("double") - bounds["low"]) / max(bounds["high"] - bounds["low"], 1.0) * files), F.lit(files - 1))
-    for i in range(files):  # a file's time decides when a stream reads it
-        df.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    result = job(stream)
-    key = "spark.sql.streaming.stateStore.providerClass"
+    seconds = F.col(order).cast("timestamp").cast("double")
+    low, high = df.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.coalesce(F.least(F.floor((seconds - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1.0)) * batches), F.lit(batches - 1)), F.lit(0))
     before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)  # a query keeps the setting that it starts with
+    spark.conf.set(key, STATE_STORE)
     try:
-        query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        for i in range(batches):
+            df.filter(part == i).write.mode("append").parquet(landing)
+            result = job(spark.readStream.schema(df.schema).parquet(landing))
+            result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
 
 

@@ -91,3 +91,22 @@ def test_pages_sitemaps_and_tables_of_companies(spark):
 def test_numeric_entities(spark):
     df = spark.createDataFrame([("&#72;&#x69;&#x1F642; &amp;#65; &#0; &#xD800; &lt;b&gt; caf&#233;",)], "t string")
     assert one(df, text.strip_html(F.col("t"))) == ("Hi🙂 &#65; &#0; &#xD800; <b> café",)
+
+
+def test_json_documents_of_any_shape(spark):
+    rows = [
+        ("a", '{"@type": "JobPosting", "title": "T", "hiringOrganization": "Acme", "identifier": 12, "jobLocation": [{"address": {"addressLocality": "Bonn", "addressCountry": {"name": "DE"}}}]}'),
+        ("b", '[1, {"@type": ["Thing", "JobPosting"], "title": "T", "hiringOrganization": [{"name": "Acme"}], "identifier": {"value": "x 1"}, "jobLocation": {"address": "Bonn"}}]'),
+        ("c", '{"@graph": [{"@type": "Org"}, {"@type": "JobPosting", "title": "T", "hiringOrganization": {"name": "Acme"}}, {"@type": "JobPosting", "title": "second"}]}'),
+        ("d", '{"@type": "JobPosting", broken'), ("e", '{"@type": "Other", "note": "JobPosting"}'), ("f", ""), ("g", None), ("h", '"JobPosting"'), ("i", "null"),
+    ]
+    pages = spark.createDataFrame([(t, None if b is None else f'<script type="application/ld+json">{b}</script>') for t, b in rows], "tenant string, html string")
+    pages = pages.withColumn("url", F.concat(F.lit("u/"), "tenant")).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    out = feeds.normalize_jsonld(pages)
+    got = {r.source_url: (r.title, r.company, r.location) for r in out.collect()}
+    assert got == {"u/a": ("T", "Acme", "Bonn, DE"), "u/b": ("T", "Acme", "Bonn"), "u/c": ("T", "Acme", "")}
+    assert {r.external_id for r in out.collect() if r.source_url < "u/c"} == {"sitemap:a:12", "sitemap:b:x_1"}
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    plan = feeds.normalize_jsonld(pages)._jdf.queryExecution().optimizedPlan().toString().lower()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("parsejson") + plan.count("parse_json") == 1, plan
