@@ -35,11 +35,15 @@ def event_spikes(events: DataFrame, factor: float = 3.0, days: int = 7) -> DataF
 
 def cumulative_history(postings: DataFrame, as_of: str, countries: list[str], days: int = 90) -> DataFrame:
     """series, day, n: active postings scraped before the end of each of the last ``days`` days, in total and by country."""
-    spark = postings.sparkSession
-    last = F.to_date(F.lit(as_of))
     rows = postings.filter(F.coalesce("is_active", F.lit(True))).select(F.to_date("scraped_at").alias("day"), "country")
+    return rolled_history(rows.groupBy("day", "country").agg(F.count("*").alias("n")), as_of, countries, days)
+
+
+def rolled_history(deltas: DataFrame, as_of: str, countries: list[str], days: int = 90) -> DataFrame:
+    """As :func:`cumulative_history`, from counts by day and country and what has been added to them or taken back since (day, country, n)."""
+    spark, last = deltas.sparkSession, F.to_date(F.lit(as_of))
     first = F.date_sub(last, days - 1)
-    daily = rows.filter(F.col("day") <= last).groupBy(F.greatest("day", first).alias("day"), "country").agg(F.count("*").alias("k"))
+    daily = deltas.filter(F.col("day") <= last).groupBy(F.greatest("day", first).alias("day"), "country").agg(F.sum("n").alias("k"))
     series = daily.select(F.lit("total").alias("series"), "day", "k").unionByName(daily.filter(F.col("country").isin(*countries)).select(F.col("country").alias("series"), "day", "k"))
     spine = spark.createDataFrame([(s,) for s in ["total", *countries]], "series string").select("series", F.explode(F.sequence(first, last)).alias("day"))
     sums = spine.join(series.groupBy("series", "day").agg(F.sum("k").alias("k")), ["series", "day"], "left")
@@ -114,3 +118,12 @@ def industry_centroids(df: DataFrame, label: str = "industry", column: str = "ve
     parts = df.filter(F.col(label) != "other").select(label, F.posexplode(column).alias("i", "x"))
     means = parts.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centroid"))  # one value for each dimension
+
+
+def history_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """day, country, n: what changes in the counts of active postings when the rows ``before`` (of the changed ids alone) become ``after``.
+
+    A posting counts on its scraped day for its country while it is active; changes that cancel out leave no row."""
+    live = lambda d, sign: d.filter(F.coalesce("is_active", F.lit(True))).select(F.to_date("scraped_at").alias("day"), "country", F.lit(sign).alias("n"))
+    both = live(before, -1).unionByName(live(after, 1))
+    return both.groupBy("day", "country").agg(F.sum("n").alias("n")).filter("n <> 0")

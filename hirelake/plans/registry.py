@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import location, pay, rules, text
 from hirelake.operators import dedupe, filters, ingest, quantised, ranking, stats, text_index
+from hirelake.operators.tables import shared_path
 from hirelake.plans.postings import AS_OF, NO_BREAK_SPACE, POSTINGS_SQL, postings, table
 from hirelake.sources import feeds
 from hirelake.streaming import jobs
@@ -676,3 +677,20 @@ def s25_jsonld_round_trip(spark, sf_dir):
     pages = docs.select(F.lit("site").alias("tenant"), c("scraped_at").cast("timestamp").alias("fetched_at"), F.concat(F.lit("https://x/jobs/"), "posting_key").alias("url"), html.alias("html"))
     out = feeds.normalize_jsonld(pages)
     return out.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("long").alias("posting_key"), "title", "company", "location")
+
+
+@query(f"""{P}, now AS (SELECT CASE posting_key % 9 WHEN 0 THEN 'FR' ELSE country END AS country, CAST(scraped_at AS DATE) AS d FROM labelled WHERE posting_key % 7 <> 0 AND {_LIVE}),
+days AS (SELECT CAST(unnest(generate_series(DATE '2001-08-02' - INTERVAL 89 DAY, DATE '2001-08-02', INTERVAL 1 DAY)) AS DATE) AS day), series(series) AS (VALUES ('total'), {', '.join(f"('{x}')" for x in HISTORY)}),
+daily AS (SELECT d, country, count(*) AS k FROM now GROUP BY ALL)
+SELECT series, day, CAST(coalesce(sum(k) FILTER (WHERE d <= day AND (series = 'total' OR country = series)), 0) AS BIGINT) AS n FROM series, days, daily GROUP BY series, day""")
+def a07_maintained_history(spark, sf_dir):
+    """History from deltas of a stream: all postings, then those that moved to another country, then those that went inactive."""
+    p = labelled(spark, sf_dir).select("external_id", "posting_key", "country", "is_active", "scraped_at")
+    moved = p.filter("posting_key % 9 = 0").withColumn("country", F.lit("FR"))
+    gone = p.filter("posting_key % 7 = 0").withColumn("country", F.expr("CASE posting_key % 9 WHEN 0 THEN 'FR' ELSE country END")).withColumn("is_active", F.lit(False))
+    landing, folder = shared_path(spark, "changes"), shared_path(spark, "history")
+    for part in (p, moved, gone):
+        part.drop("posting_key").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(part.drop("posting_key").schema).parquet(landing)
+        jobs.maintain_history(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    return stats.rolled_history(spark.read.parquet(f"{folder}/deltas"), AS_OF, HISTORY)

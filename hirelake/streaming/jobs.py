@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,8 +25,7 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
         session = batch.sparkSession
         query = session.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
         valid, _ = ingest.validate_postings(batch)
-        path = session._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
+        if _folder_exists(session, table):
             known = session.read.schema("external_id string, query string, batch long").parquet(table)
             valid = ingest.skip_existing(valid, known.filter((F.col("query") != query) | (F.col("batch") != number)))
         fresh = ingest.upsert_postings(valid.limit(0), valid)
@@ -35,6 +34,37 @@ def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+#: What a rollup keeps of each version of a posting.
+VERSION = "external_id string, country string, is_active boolean, scraped_at timestamp_ntz, version long"
+
+
+def maintain_history(changes: DataFrame, folder: str, checkpoint: str):
+    """Keep counts of active postings by day and country up to date with a stream of new and changed postings (external_id, country, is_active,
+    scraped_at): ``folder/deltas`` gets what each batch adds and takes back, ``folder/versions`` the batch's rows. Of one posting's rows in a
+    batch the latest scrape stands, ties by activity, then country; rows of later batches replace those of earlier ones.
+
+    Batches of one checkpoint are numbered in order; a replayed batch writes its folders again and sees only the versions before it."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = F.row_number().over(Window.partitionBy("external_id").orderBy(F.col("scraped_at").desc(), "is_active", "country"))
+        after = batch.select("external_id", "country", "is_active", F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"), F.lit(number).cast("long").alias("version")).withColumn("_n", last).filter("_n = 1").drop("_n")
+        before = spark.createDataFrame([], VERSION)
+        if _folder_exists(spark, f"{folder}/versions"):
+            known = spark.read.schema(f"{VERSION}, batch long").parquet(f"{folder}/versions").filter(F.col("batch") < number).drop("batch")
+            newest = F.row_number().over(Window.partitionBy("external_id").orderBy(F.col("version").desc()))
+            before = known.join(after.select("external_id"), "external_id", "left_semi").withColumn("_n", newest).filter("_n = 1").drop("_n")
+        stats.history_deltas(before, after).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
+        after.write.mode("overwrite").parquet(f"{folder}/versions/batch={number}")
+
+    return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: State of streams on local disk instead of memory; timers need it.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

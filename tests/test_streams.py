@@ -70,3 +70,27 @@ def test_hours_are_counted_once_and_merged(spark):
 def test_a_sketch_is_within_its_error(spark):
     events = spark.range(60_000).select(F.lit("login").alias("event"), F.concat(F.lit("u"), F.col("id") % 20_000).alias("uid"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 3000).alias("ts"))
     assert {abs(r.users / 20_000 - 1) < 0.06 for r in jobs.sliding_active(events).collect()} == {True}
+
+
+def test_rollups_take_back_what_changes(spark, tmp_path):
+    from hirelake.operators import stats
+
+    rng = random.Random(9)
+    now, folder, landing = {}, str(tmp_path / "history"), str(tmp_path / "in")
+    schema = "external_id string, country string, is_active boolean, scraped_at timestamp_ntz"
+    for k in range(4):
+        rows = {f"p{rng.randrange(60)}": (rng.choice(["US", "DE", None]), rng.choice([True, None, False]), d.datetime(2024, 1, 1) + d.timedelta(days=rng.randrange(40), hours=k)) for _ in range(40)}
+        now |= rows
+        late = [(i, "US", True, d.datetime(2020, 1, 1)) for i in rows]  # older rows of the same batch do not stand
+        spark.createDataFrame([(i, *v) for i, v in rows.items()] + late, schema).coalesce(2).write.mode("append").parquet(landing)
+        jobs.maintain_history(spark.readStream.schema(schema).parquet(landing), folder, str(tmp_path / "cp")).awaitTermination()
+        if k == 2:  # the batch is lost after its folders were written, and replayed
+            (tmp_path / "cp" / "commits" / "2").unlink()
+            for crc in (tmp_path / "cp" / "commits").glob(".2.crc"):
+                crc.unlink()
+            jobs.maintain_history(spark.readStream.schema(schema).parquet(landing), folder, str(tmp_path / "cp")).awaitTermination()
+    deltas = spark.read.parquet(f"{folder}/deltas")
+    got = {(r.series, r.day): r.n for r in stats.rolled_history(deltas, "2024-02-05 00:00:00", ["US", "FR"], 30).collect()}
+    table = spark.createDataFrame([(i, *v) for i, v in now.items()], schema)
+    want = {(r.series, r.day): r.n for r in stats.cumulative_history(table, "2024-02-05 00:00:00", ["US", "FR"], 30).collect()}
+    assert got == want and len(got) == 90 and max(got.values()) > 10
