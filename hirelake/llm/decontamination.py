@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -56,15 +57,15 @@ def _origins(text: str) -> list[int]:
     return out
 
 
-def best_match(pattern: str, text: str) -> tuple[int, int]:
-    """(distance, end) of the substring of ``text`` nearest to ``pattern``; of equals the first end. Myers' bit vectors."""
+def scores(pattern: str, text: str) -> Iterator[int]:
+    """For each end in ``text`` the distance of ``pattern`` to the nearest substring that ends there. Myers' bit vectors."""
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         masks[c] |= 1 << i
-    vp, vn, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(text, 1):
+    vp, vn, score = full, 0, m
+    for c in text:
         eq = masks.get(c, 0)
         x = eq | vn
         d0 = ((((x & vp) + vp) ^ vp) | x) & full
@@ -77,11 +78,32 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
         shifted = (hp << 1) & full
         vn = shifted & d0
         vp = ((hn << 1) | ~(shifted | d0)) & full
+        yield score
+
+
+def best_match(pattern: str, text: str) -> tuple[int, int]:
+    """(distance, end) of the substring of ``text`` nearest to ``pattern``; of equals the first end."""
+    best, end = len(pattern), 0
+    for j, score in enumerate(scores(pattern, text), 1):
         if score < best:
             best, end = score, j
     return best, end
 
 
+def matches(pattern: str, text: str, budget: int) -> list[tuple[int, int]]:
+    """(distance, end) of every occurrence within ``budget``: ends at most ``budget`` apart are of one, which has its least distance and that one's first end."""
+    found: list[tuple[int, int]] = []
+    last = -1
+    for j, score in enumerate(scores(pattern, text), 1):
+        if score <= budget:
+            if found and j - last <= budget:
+                found[-1] = min(found[-1], (score, j))
+            else:
+                found.append((score, j))
+            last = j
+    return found
+
+
 def pieces_of(item: str, budget: int) -> list[tuple[int, str]]:
     """(offset, piece): ``budget`` + 1 pieces of nearly equal length."""
     n = budget + 1
@@ -108,7 +130,7 @@ class Matcher:
         return self
 
     def hits(self, text: str) -> list[dict]:
-        """The occurrences of each item within its budget, by item order, then place; of those that lie within an item's length of each other the nearest."""
+        """The occurrences of each item within its budget, by item order, then place; ends that lie at most the budget apart are of one occurrence."""
         if not self.pieces or not text:
             return []
         low = folded(text)
@@ -121,9 +143,8 @@ class Matcher:
             item_id, item = self.items[k]
             budget = self.budgets[k]
             for a, b in _windows(begins[k], budget, len(item), len(low)):
-                distance, end = best_match(item, low[a:b])
-                if distance <= budget:
-                    _, back = best_match(item[::-1], low[a : a + end][::-1])
+                for distance, end in matches(item, low[a:b], budget):
+                    _, back = best_match(item[::-1], low[max(a, a + end - len(item) - budget) : a + end][::-1])
                     origins = origins or _origins(text)
                     found.append({"item_id": item_id, "distance": distance, "start": origins[a + end - back], "end": origins[a + end - 1] + 1})
         return found

@@ -6,7 +6,7 @@ import urllib.parse
 import pytest
 
 from hirelake.llm import language_id, sharding, url_filter, warc
-from hirelake.llm.decontamination import best_match, find_leaks, folded, pieces_of
+from hirelake.llm.decontamination import Matcher, best_match, find_leaks, folded, matches, pieces_of, scores
 from hirelake.llm.secret_scan import find_secrets, spans_of
 
 
@@ -27,6 +27,27 @@ def test_edit_distance_equals_table():
         assert best_match(p, t) == distance_by_table(p, t)
 
 
+def test_items_side_by_side_are_each_found():
+    rng = random.Random(3)
+    item = "the quick brown fox jumps over the lazy dog near a quiet river bank"
+    edited = item.replace("brown", "brwn").replace("river", "rivver")
+    matcher = Matcher([("a", item), ("b", "zz"), ("c", item[10:50])], 0.08).ready()
+    for copies in ([item, item], [item, edited, item], [edited] * 4, [item + item], ["x", item, "y z", edited, "q"]):
+        text = " ".join(copies)
+        n = text.count("lazy")
+        for name, size in (("a", len(item)), ("c", 40)):
+            hits = [h for h in matcher.hits(text) if h["item_id"] == name]
+            assert len(hits) == n, (name, copies)
+            assert all(abs(h["end"] - h["start"] - size) <= 8 for h in hits) and all(x["end"] <= y["start"] + 6 for x, y in zip(hits, hits[1:]))
+    assert [(h["start"], h["end"]) for h in matcher.hits("zzz zz") if h["item_id"] == "b"] == [(0, 2), (1, 3), (4, 6)]
+    for _ in range(200):  # every end within the budget belongs to an occurrence that is told
+        p, t = ("".join(rng.choice("ab") for _ in range(n)) for n in (6, 40))
+        ends = [j for j, s in enumerate(scores(p, t), 1) if s <= 1]
+        told = matches(p, t, 1)
+        runs = sum(j - i > 1 for i, j in zip([-9, *ends], ends))
+        assert len(told) == runs and {j for _, j in told} <= set(ends)
+
+
 def test_leaks_with_edits_are_found_and_only_those(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(500)]
