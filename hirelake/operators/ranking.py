@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import pay
 from hirelake.operators.filters import SearchFilter
+from hirelake.operators.tables import kept
 
 #: Rank constant of reciprocal rank fusion, score of hits found by keyword alone.
 RRF_K = 60
@@ -118,24 +119,36 @@ def hybrid_search(df: DataFrame, vector: list[float], keywords: list[str], searc
     return pay.with_quality(hits, as_of).orderBy(F.col("fused").desc(), "external_id")
 
 
-def interleaved(df: DataFrame, stamp: Column, ascending: bool = False) -> DataFrame:
-    """``df`` with ``place``, the position in browsing order: by day of ``stamp``; within a day companies take turns, in the
-    order in which they first appear (by stamp, then id).
+def _numbered(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """``df`` in the order of ``keys`` as a stored table with ``part`` and ``at``: its range of the order, and the row's place there from 0.
+    Ranges are cut by rows, so equal leading keys are spread over as many ranges as they fill."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    return kept(ordered, tag).withColumn("part", F.shiftright("_id", 33)).withColumn("at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
 
-    Ranks are counted within days, so days are the unit of work; where a day begins follows from the days' counts.
-    """
-    company = F.coalesce(F.nullif(F.col("company"), F.lit("")), F.lit("__unknown__"))
-    rows = df.withColumn("_stamp", stamp).withColumn("_day", F.to_date(stamp)).withColumn("_company", company)
-    order = [F.col("_stamp") if ascending else F.col("_stamp").desc(), F.col("external_id")]
-    ranked = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
-    own = Window.partitionBy("_day", "_company").orderBy("_pos")
-    ranked = ranked.withColumn("_round", F.row_number().over(own)).withColumn("_first", F.min("_pos").over(own))
-    placed = ranked.withColumn("_place", F.row_number().over(Window.partitionBy("_day").orderBy("_round", "_first")))
-    day = F.col("_day").asc_nulls_last() if ascending else F.col("_day").desc_nulls_last()
-    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("_day").agg(F.count("*").alias("_rows")).select("_day", F.coalesce(F.sum("_rows").over(so_far), F.lit(0)).alias("_before"))  # one row for each day
-    out = placed.join(before, placed["_day"].eqNullSafe(before["_day"]))
-    return out.select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_place")).alias("place"))
+
+def interleaved(df: DataFrame, stamp: Column, ascending: bool = False) -> DataFrame:
+    """``df`` with ``place``, the position in browsing order: by day of ``stamp``, days without one last; within a day companies take turns, in the
+    order in which they first appear (by stamp, then id). Ids are unique.
+
+    Nothing is ranked in one task: rows are put in order by ranges, and a count for each range (and company of a day in it) is carried on to
+    the ranges behind. First by day, company and stamp, which tells the turn of each row; then by day, turn and company, which tells its place."""
+    c = F.col
+    company = F.coalesce(F.nullif(c("company"), F.lit("")), F.lit("__unknown__"))
+    sign = 1 if ascending else -1
+    at = stamp.cast("timestamp")
+    day = F.coalesce(sign * F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")), F.lit((1 << 31) - 1))
+    rows = df.select("external_id", day.alias("day"), company.alias("company"), F.coalesce(sign * F.unix_micros(at), F.lit(0)).alias("stamp"))
+    ordered = _numbered(rows, ["day", "company", "stamp", "external_id"], "turns")
+    heads = ordered.groupBy("day", "company", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"), F.min(F.struct("stamp", "external_id")).alias("head"))
+    own = Window.partitionBy("day", "company").orderBy("part")  # one row for each range that a company's day reaches
+    carried = heads.select("day", "company", "part", "low", F.first("head").over(own).alias("head"), (F.sum("n").over(own) - c("n")).alias("before"))
+    turns = ordered.join(carried, ["day", "company", "part"]).select("external_id", "day", (c("at") - c("low") + c("before")).alias("turn"), c("head.stamp").alias("first"), c("head.external_id").alias("head"))
+    placed = _numbered(turns, ["day", "turn", "first", "head"], "places")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    offset = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("offset"))  # one row for each range
+    place = placed.join(offset, "part").select("external_id", (c("offset") + c("at") + 1).alias("place"))
+    return df.join(place, "external_id").select(*df.columns, "place")
 
 
 def browse(df: DataFrame, search: SearchFilter, as_of: str, sort: str = "posted_desc") -> DataFrame:

@@ -92,3 +92,33 @@ def test_quantised_search_of_vectors_of_any_length(spark):
     exact = [r.external_id for r in ranking.vector_topk(df, asked, 10).collect()]
     assert len(set(exact) & {r.external_id for r in ranking.quantised_topk(df, asked, 10).collect()}) >= 9
     assert ranking.candidates(25, filters.SearchFilter()) == 100 and ranking.candidates(25, filters.SearchFilter(country=["US"])) == 200 and ranking.candidates(80, filters.SearchFilter(location="x")) == 300
+
+
+def test_a_day_of_any_size_is_browsed_in_turns(spark):
+    import datetime as d
+    import random
+
+    rng, start = random.Random(4), d.datetime(2024, 5, 1)
+    days = [0] * 8 + [1, 2, None]
+    rows = [(f"p{i:04}", rng.choice(["Hot"] * 6 + ["B", "C", "", None, *[f"x{k}" for k in range(20)]]), None if (k := rng.choice(days)) is None else start + d.timedelta(days=k, minutes=rng.randrange(90))) for i in range(900)]
+    df = spark.createDataFrame(rows, "external_id string, company string, at timestamp_ntz")
+    for ascending in (False, True):
+        sign, by_day = (1 if ascending else -1), {}
+        for i, company, at in rows:
+            by_day.setdefault(None if at is None else at.date(), []).append((0 if at is None else sign * at.timestamp(), i, company or "__unknown__"))
+        want = []
+        for day in sorted(by_day, key=lambda x: (x is None, 0 if x is None else sign * x.toordinal())):
+            seen, first, turns = {}, {}, []
+            for pos, (_, i, company) in enumerate(sorted(by_day[day])):
+                first.setdefault(company, pos)
+                seen[company] = seen.get(company, -1) + 1
+                turns.append((seen[company], first[company], i))
+            want += [i for _, _, i in sorted(turns)]
+        got = ranking.interleaved(df, F.col("at"), ascending)
+        assert [r.external_id for r in got.orderBy("place").collect()] == want and got.columns == [*df.columns, "place"]
+        assert sorted(r.place for r in got.collect()) == list(range(1, 901))
+    one_day = df.filter("cast(at as date) = '2024-05-01'")
+    ordered = ranking._numbered(one_day.select("external_id", "company"), ["company", "external_id"], "test")
+    sizes = [r["count"] for r in ordered.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)  # as many tasks as the session has partitions
+    assert ranking.interleaved(df.limit(0), F.col("at")).count() == 0
