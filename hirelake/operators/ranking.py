@@ -139,6 +139,7 @@ def interleaved(df: DataFrame, stamp: Column, ascending: bool = False) -> DataFr
     at = stamp.cast("timestamp")
     day = F.coalesce(sign * F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date")), F.lit((1 << 31) - 1))
     rows = df.select("external_id", day.alias("day"), company.alias("company"), F.coalesce(sign * F.unix_micros(at), F.lit(0)).alias("stamp"))
+    rows = kept(rows, "browsed")  # putting rows in order reads them twice
     ordered = _numbered(rows, ["day", "company", "stamp", "external_id"], "turns")
     heads = ordered.groupBy("day", "company", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"), F.min(F.struct("stamp", "external_id")).alias("head"))
     own = Window.partitionBy("day", "company").orderBy("part")  # one row for each range that a company's day reaches

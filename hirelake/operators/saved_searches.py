@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelake.operators.tables import kept
+
 #: Filters by equality, characters of a run, and the key of searches that ask nothing.
 EQUALITIES, RUN, ANY = ("country", "remote_status", "industry"), 3, "*"
 
@@ -71,6 +73,7 @@ def newest_matches(live: DataFrame, searches: DataFrame, k: int) -> DataFrame:
     rows = live.select("external_id", *EQUALITIES, F.lower("title").alias("_title"), F.coalesce("posted_at", "scraped_at").alias("stamp"))
     rows = rows.withColumn("combo", F.to_json(F.struct(*EQUALITIES, "_title"), {"ignoreNullFields": "false"}))
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("combo").orderBy(*order))).filter(c("_r") <= k)
+    rows = kept(rows, "alike")  # at most k rows of each group, read three times
     combos = rows.filter("_r = 1").select("combo", *EQUALITIES, "_title", "stamp", "external_id")
     newest = combos.orderBy(*order).limit(k).select("combo", F.lit(True).alias("_new"))  # k rows
     keys = posting_keys(c("_title"), short_lengths(searches))
