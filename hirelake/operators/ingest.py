@@ -172,10 +172,12 @@ def filter_feed_urls(urls: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def cap_pages(urls: DataFrame, feeds: DataFrame) -> DataFrame:
-    """The first ``max_pages`` URLs of each feed in the order of ``seq`` (1,000 where the feed states none); a task keeps no more than that of a feed before they meet."""
+    """The first ``max_pages`` URLs of each feed in the order of ``seq`` (1,000 where the feed states none). Before a feed's URLs meet, every task keeps
+    as many of them as the largest of all limits."""
     limits = feeds.select(F.col("label").alias("feed"), F.when(F.col("max_pages") > 0, F.col("max_pages")).otherwise(1000).alias("_most"))
+    largest = limits.agg(F.max("_most")).first()[0] or 0
     order = F.row_number().over(Window.partitionBy("feed").orderBy("seq", "url"))
-    return urls.join(limits, "feed").withColumn("_n", order).filter(F.col("_n") <= F.col("_most")).drop("_n", "_most")
+    return urls.join(limits, "feed").withColumn("_n", order).filter((F.col("_n") <= largest) & (F.col("_n") <= F.col("_most"))).drop("_n", "_most")
 
 
 #: Landed answers of a slug probe.

@@ -122,3 +122,13 @@ def test_a_day_of_any_size_is_browsed_in_turns(spark):
     sizes = [r["count"] for r in ordered.groupBy("part").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)  # as many tasks as the session has partitions
     assert ranking.interleaved(df.limit(0), F.col("at")).count() == 0
+
+
+def test_a_feed_is_cut_in_its_tasks(spark):
+    urls = spark.range(500).select(F.concat(F.lit("f"), F.col("id") % 3).alias("feed"), F.concat(F.lit("u"), "id").alias("url"), (F.col("id") * 7 % 500).alias("seq"))
+    feeds = spark.createDataFrame([("f0", 4), ("f1", 9), ("f9", 5)], "label string, max_pages int")
+    out = ingest.cap_pages(urls, feeds)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    want = [(f, u) for f, n in (("f0", 4), ("f1", 9)) for _, u in sorted((i * 7 % 500, f"u{i}") for i in range(500) if f"f{i % 3}" == f)[:n]]
+    assert sorted((r.feed, r.url) for r in out.collect()) == sorted(want)
+    assert ingest.cap_pages(urls, feeds.limit(0)).count() == 0
