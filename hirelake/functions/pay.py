@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,31 @@ def format_salary(low: Column, high: Column, currency: Column, period: Column) -
     return F.when((high > 0) & (currency != ""), F.concat(sign, _short(low), F.lit(" – "), sign, _short(high), end))
 
 
+#: Of thousandths that end in 50, those whose nearest double lies above them; 750 is a tie and goes to the even tenth.
+_ROUND_UP = [r for r in range(50, 1000, 100) if Fraction(r / 1000) > Fraction(r, 1000)] + [750]
+
+
+def _thousands(n: Column) -> Column:
+    """``$110k``, ``$110.5k`` or ``$900``; tenths are those of the double nearest to n / 1000, ties go to the even one."""
+    whole = n.cast("bigint")
+    part, double = whole % 1000, whole / F.lit(1000.0)
+    above = double - F.floor(double) - part / F.lit(1000.0)
+    up = F.when(whole % 100 != 50, whole % 100 > 50).when(above != 0, above > 0).otherwise(part.isin(_ROUND_UP))
+    tenths = F.floor(whole / 100) + up.cast("bigint")
+    short = F.concat(F.lit("$"), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))
+    return F.when(whole == 0, "0").when(whole < 1000, F.concat(F.lit("$"), whole.cast("string"))).when(part == 0, F.concat(F.lit("$"), F.floor(whole / 1000).cast("string"), F.lit("k"))).otherwise(short)
+
+
+def format_salary_range(low: Column, high: Column, currency: Column) -> Column:
+    """The style of feeds that state pay as numbers: ``$110k – $140.5k USD``, ``from …`` or ``up to …`` where one end is missing or 0, null without both."""
+    low, high = F.coalesce(low, F.lit(0)), F.coalesce(high, F.lit(0))
+    told = lambda *parts: F.concat(*parts, F.lit(" "), currency)
+    return (
+        F.when((low == 0) & (high == 0), None).when(low == 0, told(F.lit("up to "), _thousands(high))).when(high == 0, told(F.lit("from "), _thousands(low)))
+        .otherwise(told(_thousands(low), F.lit(" – "), _thousands(high)))
+    )
+
+
 def to_usd_annual(amount: Column, currency: Column, period: Column) -> Column:
     rate = F.coalesce(lookup(FX, F.upper(F.coalesce(currency, F.lit("USD")))), F.lit(1.0))
     times = F.coalesce(lookup(PERIODS, F.coalesce(period, F.lit("annual"))), F.lit(1.0))

@@ -21,7 +21,17 @@ LENGTHS = {"title": 512, "company": 256, "location": 512, "salary_range": 128, "
 PERIODS = ["hourly", "daily", "weekly", "monthly", "annual"]
 INDUSTRIES = ["tech", "healthcare", "retail", "food_service", "trades", "government", "education", "finance", "manufacturing", "logistics", "legal", "nonprofit", "media", "science", "other"]
 UNITS = {"annual": "YEAR", "monthly": "MONTH", "weekly": "WEEK", "daily": "DAY", "hourly": "HOUR"}
-SOURCE_NAMES = {"greenhouse": "Greenhouse", "lever": "Lever", "ashby": "Ashby", "workday": "Workday", "themuse": "The Muse", "remoteok": "Remote OK", "hackernews": "Hacker News", "weworkremotely": "We Work Remotely", "usajobs": "USAJobs", "workatastartup": "Work at a Startup"}
+SOURCE_NAMES = {
+    "greenhouse": "Greenhouse", "lever": "Lever", "ashby": "Ashby", "workday": "Workday", "smartrecruiters": "SmartRecruiters", "recruitee": "Recruitee", "workable": "Workable", "bamboohr": "BambooHR",
+    "breezy": "Breezy", "pinpoint": "Pinpoint", "personio": "Personio", "teamtailor": "Teamtailor", "hackernews": "HN Hiring", "workatastartup": "Y Combinator", "themuse": "The Muse", "adzuna": "Adzuna",
+    "jooble": "Jooble", "reed": "Reed", "careerjet": "Careerjet", "remoteok": "RemoteOK", "weworkremotely": "We Work Remotely", "usajobs": "USAJobs",
+}
+#: What applying at a source takes: steps, minutes, whether an account is needed.
+HANDOFF = {
+    "greenhouse": ("single-page", "3-5", "no"), "ashby": ("single-page", "5-8", "no"), "lever": ("single-page", "5-8", "maybe"), "smartrecruiters": ("multi-step portal", "10-15", "yes"),
+    "recruitee": ("per-company hosted", "5-10", "maybe"), "workable": ("multi-step portal", "8-12", "yes"),
+}
+ACCOUNT = {"no": "No account required", "maybe": "Account may be required", "yes": "Account required"}
 
 
 def validation_reasons() -> Column:
@@ -129,7 +139,16 @@ def to_jobposting_jsonld(df: DataFrame) -> DataFrame:
 
 
 def with_source_info(df: DataFrame) -> DataFrame:
-    return df.withColumn("source_name", F.coalesce(lookup(SOURCE_NAMES, F.col("source")), F.initcap("source")))
+    """``df`` with source_name: the display name, else the source with a capital first letter; ``Unknown`` where there is none."""
+    source = F.coalesce("source", F.lit(""))
+    shown = F.coalesce(lookup(SOURCE_NAMES, source), F.concat(F.upper(F.substring(source, 1, 1)), F.expr("substring(source, 2)")))
+    return df.withColumn("source_name", F.when(source == "", "Unknown").otherwise(shown))
+
+
+def with_apply_handoff(df: DataFrame) -> DataFrame:
+    """``df`` with apply_steps, apply_minutes and apply_account of its source; null where nothing is known of it."""
+    part = lambda i: lookup({k: v[i] for k, v in HANDOFF.items()}, F.coalesce("source", F.lit("")))
+    return df.withColumns({"apply_steps": part(0), "apply_minutes": part(1), "apply_account": lookup(ACCOUNT, F.coalesce(part(2), F.lit("")))})
 
 
 def write_feeds(df: DataFrame, path: str) -> None:

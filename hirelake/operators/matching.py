@@ -19,8 +19,12 @@ from hirelake.operators.tables import kept
 #: Texts handed to a model at once.
 BATCH = 64
 # Shapes of a job board's answer that prove a slug, by adapter.
-PROOF = {"greenhouse": r'"jobs"\s*:\s*\[\s*\{', "lever": r'"hostedUrl"\s*:', "ashby": r'"jobUrl"\s*:', "smartrecruiters": r'"totalFound"\s*:\s*[1-9]', "recruitee": r'"offers"\s*:\s*\[\s*\{', "workable": r'"total"\s*:\s*[1-9]'}
+PROOF_KEY = {"greenhouse": "jobs", "ashby": "jobs", "recruitee": "offers", "bamboohr": "result", "pinpoint": "data"}
+PROOF_START = {"lever": "[{", "breezy": "[", "pinpoint": "["}
+PROOF_COUNT = {"smartrecruiters": "totalFound"}
 PROOF_BYTES = 4096
+#: Job pages of a site that are looked at for a posting.
+SAMPLES = 2
 
 
 def hashed_vectors(texts: list[str], dim: int) -> np.ndarray:
@@ -121,11 +125,19 @@ def probe_plan(seeds: DataFrame, adapters: list[str]) -> DataFrame:
 
 
 def verify_hits(probed: DataFrame) -> DataFrame:
-    """Of landed answers (company, adapter, slug, variant, body) those that prove a board, the first variant of each company and adapter."""
-    head, ok = F.substring("body", 1, PROOF_BYTES), F.lit(False)
-    for adapter, pattern in PROOF.items():
-        ok = ok | ((F.col("adapter") == adapter) & head.rlike(pattern))
-    return ranking.first_per_key(probed.filter(ok), ["company", "adapter"], [F.col("variant")]).select("company", "adapter", "slug")
+    """Of landed answers (company, adapter, slug, variant, body; status, if there is one, must be 200) those that prove a board, the first variant of
+    each company and adapter. A proof is a key or a count above 0 in the first bytes, or the character that the body begins with."""
+    head = F.decode(F.substring(F.encode(F.coalesce("body", F.lit("")), "UTF-8"), 1, PROOF_BYTES), "ISO-8859-1")
+    ok = F.lit(False)
+    for adapter, key in PROOF_KEY.items():
+        ok = ok | ((F.col("adapter") == adapter) & head.contains(f'"{key}"'))
+    for adapter, starts in PROOF_START.items():
+        ok = ok | ((F.col("adapter") == adapter) & F.substring(head, 1, 1).isin(*starts))
+    for adapter, key in PROOF_COUNT.items():  # the first place of the key decides
+        ok = ok | ((F.col("adapter") == adapter) & F.regexp_extract(head, f'(?s)"{key}":[ \t]*(.)', 1).rlike("[1-9]"))
+    if "status" in probed.columns:
+        ok = ok & F.coalesce(F.col("status") == 200, F.lit(False))
+    return ranking.first_per_key(probed.filter(ok), ["company", "adapter"], [F.col("variant"), F.col("slug")]).select("company", "adapter", "slug")
 
 
 def hits_by_adapter(hits: DataFrame, adapters: list[str]) -> DataFrame:
@@ -134,11 +146,14 @@ def hits_by_adapter(hits: DataFrame, adapters: list[str]) -> DataFrame:
 
 
 def discover_feeds(pages: DataFrame) -> DataFrame:
-    """site, pattern, pages of sites whose job pages carry a posting: (site, url, html)."""
+    """site, pattern, pages of sites whose job pages carry a posting: (site, url, html; seq, if there is one, is the order of a site's URLs). Of each
+    site the first two job pages are looked at."""
     from hirelake.operators.stats import derive_url_patterns
 
     hinted = pages.filter(text.has_job_hint(F.col("url")))
-    proven = hinted.filter(text.has_jobposting_jsonld(F.col("html"))).select("site").distinct()
+    order = [F.col(x) for x in ("seq", "url") if x in hinted.columns]
+    samples = ranking.top_n_per_group(hinted, ["site"], order, SAMPLES)
+    proven = samples.filter(text.has_jobposting_jsonld(F.col("html"))).select("site").distinct()
     urls = hinted.join(proven, "site", "left_semi")
     return derive_url_patterns(urls.select("site", "url")).join(urls.groupBy("site").agg(F.count("*").alias("pages")), "site")
 
@@ -167,6 +182,6 @@ def ingest_counters(outcomes: DataFrame) -> DataFrame:
 
 
 def read_crawl_log(df: DataFrame) -> DataFrame:
-    """seq, ts, line of log lines (seq, value) that begin with a time."""
-    stamp = F.regexp_extract("value", r"^(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2})", 1)
-    return df.select("seq", F.try_to_timestamp(F.translate(stamp, "/T", "- "), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), F.regexp_replace("value", r"^\S+\s+\S+\s+", "").alias("line")).filter("ts is not null")
+    """seq, ts, line of the log lines (seq, value) that are not empty; ts is null where a line does not begin with a time."""
+    stamp = F.regexp_extract("value", r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})", 1)
+    return df.filter("value <> ''").select("seq", F.try_to_timestamp(stamp, F.lit("yyyy/MM/dd HH:mm:ss")).alias("ts"), F.col("value").alias("line"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.functions import pay
-from hirelake.operators.filters import SearchFilter
+from hirelake.functions import pay, rules
+from hirelake.operators.filters import SearchFilter, live_country
 from hirelake.operators.tables import kept
 
 #: Rank constant of reciprocal rank fusion, score of hits found by keyword alone.
@@ -108,7 +108,8 @@ def candidates(k: int, search: SearchFilter) -> int:
 
 
 def hybrid_search(df: DataFrame, vector: list[float], keywords: list[str], search: SearchFilter, as_of: str, k: int = 25, offset: int = 0, pool: int | None = None) -> DataFrame:
-    """Vector and keyword passes over the filtered postings, fused; quality is computed for the page alone. ``pool``: candidates of each pass."""
+    """Vector and keyword passes over the filtered postings, fused; quality is computed and country and level are told anew for the page alone (a country
+    that the location does not tell stays as stored; a level that is not told is null). ``pool``: candidates of each pass."""
     pool = pool or candidates(k, search)
     base = search.apply(df, as_of)
     near = vector_topk(base.select("external_id", "vector"), vector, pool)
@@ -116,6 +117,8 @@ def hybrid_search(df: DataFrame, vector: list[float], keywords: list[str], searc
     fused = rrf_fuse(ranked, keyword_pass(base, keywords, pool)).join(ranked.select("external_id", "score"), "external_id", "left")
     page = paginate(fused.withColumn("score", F.coalesce("score", F.lit(KEYWORD_SCORE))), [F.col("fused").desc(), F.col("external_id")], k, offset)
     hits = page.join(base.drop("vector"), "external_id")
+    told = rules.classify_title_or_body(F.col("title"), F.col("description"), F.col("industry"))
+    hits = hits.withColumns({"country": live_country(), "experience_level": told})
     return pay.with_quality(hits, as_of).orderBy(F.col("fused").desc(), "external_id")
 
 

@@ -90,16 +90,39 @@ def user_count(users: DataFrame) -> DataFrame:
     return users.agg(F.count("*").alias("total_users"))
 
 
-def crawl_runs(log: DataFrame) -> DataFrame:
-    """run, started, sources, ok, failed, done from log lines (seq, ts, line); a run begins at a start line."""
-    start = F.col("line").contains("crawl started")
-    # Lines before and up to each start are counted per day first, so the running count is over days, then within one.
-    w = Window.partitionBy(F.to_date("ts")).orderBy("seq")
-    rows = log.withColumn("day", F.to_date("ts")).withColumn("_k", F.sum(start.cast("int")).over(w))
-    base = rows.groupBy("day").agg(F.sum(start.cast("int")).alias("c")).withColumn("_before", F.coalesce(F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    told = rows.join(base.select("day", "_before"), "day").withColumn("run", F.col("_before") + F.col("_k")).filter("run > 0")
-    n = lambda p: F.sum(F.col("line").rlike(p).cast("long"))
-    return told.groupBy("run").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), n("(?i)ok:").alias("ok"), n("(?i)failed:").alias("failed"), n("(?i)done").alias("done"))
+#: Lines of a log that share a window; counts are carried from one such block to the next.
+LOG_BLOCK = 100_000
+#: Lines before a run's start in which the summary of the run before it is looked for.
+SUMMARY_LINES = 10
+
+
+def crawl_runs(log: DataFrame, as_of: str) -> DataFrame:
+    """One row for each run of a crawl log (seq, ts, line): run (from 1), started, elapsed_minutes at ``as_of``, sources, concurrency, ok,
+    skipped_or_done, embed_failures, latest_log_line, previous_run_summary. The last run is the current one.
+
+    A run begins at a line of a starting crawler, which is not counted itself; what precedes the first is of none. Lines are numbered and runs told
+    by blocks of ``seq`` with counts carried on, so no window holds the whole log."""
+    c = F.col
+    flags = log.select("seq", "ts", "line", c("line").contains("starting crawler").cast("long").alias("head"), c("line").contains("done - ingested=").cast("long").alias("summary")).withColumn("block", F.floor(c("seq") / LOG_BLOCK))
+    within, before = Window.partitionBy("block").orderBy("seq"), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = flags.groupBy("block").agg(F.count("*").alias("_lines"), F.sum("head").alias("_heads"))
+    sums = sums.select("block", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("_lines", "_heads")])  # one row for a block
+    rows = flags.join(sums, "block").withColumn("n", c("_lines") + F.row_number().over(within)).withColumn("run", c("_heads") + F.sum("head").over(within))
+    kind = F.when(c("head") == 1, "head").when(c("line").rlike(r"\[w\d+\] ok "), "ok").when(c("line").contains("context deadline exceeded"), "late").when(c("line").rlike(r"(^|[^A-Za-z0-9_])jobs$"), "jobs")
+    rows = rows.withColumn("kind", kind)
+    n = lambda k: F.count(F.when(c("kind") == k, 1)).alias(k)
+    runs = rows.filter("run > 0").groupBy("run").agg(
+        F.min(F.when(c("kind") == "head", F.struct("n", "ts", "line"))).alias("start"), n("ok"), n("jobs"), n("late"), F.max_by("line", "n").alias("latest_log_line"),
+    )
+    # The lines before a start are those of the run before it.
+    near = rows.filter("summary = 1").select((c("run") + 1).alias("run"), c("n").alias("at"), "line")
+    last = near.groupBy("run").agg(F.max(F.struct("at", "line")).alias("last"))
+    listed = F.filter(F.split(F.regexp_extract("start.line", r"sources=\[([^\]]+)\]", 1), r"\s+"), lambda x: x != "")
+    minutes = F.floor((F.lit(as_of).cast("timestamp_ntz").cast("timestamp").cast("double") - c("start.ts").cast("double")) / 60 + 0.5)
+    return runs.join(last, "run", "left").select(
+        "run", c("start.ts").alias("started"), F.coalesce(minutes, F.lit(0)).cast("long").alias("elapsed_minutes"), listed.alias("sources"), F.regexp_extract("start.line", r"concurrency=(\d+)", 1).try_cast("long").alias("concurrency"),
+        "ok", c("jobs").alias("skipped_or_done"), c("late").alias("embed_failures"), "latest_log_line", F.when(c("last.at") >= c("start.n") - SUMMARY_LINES, c("last.line")).alias("previous_run_summary"),
+    )
 
 
 def derive_url_patterns(urls: DataFrame) -> DataFrame:

@@ -694,3 +694,74 @@ def a07_maintained_history(spark, sf_dir):
         stream = spark.readStream.schema(part.drop("posting_key").schema).parquet(landing)
         jobs.maintain_history(stream, folder, f"{folder}/checkpoint").awaitTermination()
     return stats.rolled_history(spark.read.parquet(f"{folder}/deltas"), AS_OF, HISTORY)
+
+
+_K1 = lambda n: f"CASE WHEN {n} = 0 THEN '0' WHEN {n} < 1000 THEN '$' || {n} WHEN {n} % 1000 = 0 THEN '$' || {n} // 1000 || 'k' ELSE '$' || printf('%.1f', {n} / 1000.0::DOUBLE) || 'k' END"
+#: Pay as feeds state it: either end may be 0 or missing.
+STATED_PAY = f"SELECT external_id, CASE WHEN posting_key % 7 = 0 THEN 0 ELSE CAST(salary_min AS BIGINT) END AS low, CASE WHEN posting_key % 7 = 1 THEN 0 ELSE CAST(salary_max AS BIGINT) END AS high, salary_currency AS currency FROM ({POSTINGS_SQL}) AS p"
+
+
+@query(f"""WITH s AS ({STATED_PAY}), n AS (SELECT external_id, coalesce(low, 0) AS low, coalesce(high, 0) AS high, currency FROM s)
+SELECT external_id, CASE WHEN low = 0 AND high = 0 THEN NULL WHEN low = 0 THEN 'up to ' || {_K1('high')} || ' ' || currency WHEN high = 0 THEN 'from ' || {_K1('low')} || ' ' || currency
+  ELSE {_K1('low')} || ' – ' || {_K1('high')} || ' ' || currency END AS shown FROM n""")
+def p15_stated_pay(spark, sf_dir):
+    """Pay that a feed states as numbers, as it is shown."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(STATED_PAY).select("external_id", pay.format_salary_range(c("low"), c("high"), c("currency")).alias("shown"))
+
+
+#: Sources of postings, with others that have no name or no look-up.
+SHOWN_SOURCES = f"SELECT external_id, CASE posting_key % 9 WHEN 0 THEN 'smartrecruiters' WHEN 1 THEN 'lever' WHEN 2 THEN 'jobBank' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE source END AS source FROM ({POSTINGS_SQL}) AS p"
+
+
+@query(f"""WITH s AS ({SHOWN_SOURCES})
+SELECT external_id, CASE WHEN coalesce(source, '') = '' THEN 'Unknown' ELSE coalesce({map_sql('source', ingest.SOURCE_NAMES)}, upper(source[1]) || source[2:]) END AS source_name,
+  {map_sql('source', {k: v[0] for k, v in ingest.HANDOFF.items()})} AS apply_steps, {map_sql('source', {k: v[1] for k, v in ingest.HANDOFF.items()})} AS apply_minutes,
+  {map_sql('source', {k: ingest.ACCOUNT[v[2]] for k, v in ingest.HANDOFF.items()})} AS apply_account FROM s""")
+def p46_source_info(spark, sf_dir):
+    """Display name of each posting's source and what applying there takes."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return ingest.with_apply_handoff(ingest.with_source_info(spark.sql(SHOWN_SOURCES))).drop("source")
+
+
+#: Landed answers of a board probe: right and wrong shapes for every adapter.
+PROBED = f"""SELECT company, CASE posting_key % 9 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'smartrecruiters' WHEN 4 THEN 'recruitee' WHEN 5 THEN 'bamboohr'
+    WHEN 6 THEN 'breezy' WHEN 7 THEN 'pinpoint' ELSE 'workable' END AS adapter, external_id AS slug, posting_key % 4 AS variant, CASE WHEN posting_key % 5 = 4 THEN 404 ELSE 200 END AS status,
+  CASE posting_key % 11 WHEN 0 THEN concat('{{"jobs":', CAST(posting_key AS VARCHAR(20)), '}}') WHEN 1 THEN '{{"totalFound":0,"totalFound":5}}' WHEN 2 THEN '{{"totalFound": 12}}' WHEN 3 THEN '[1]' WHEN 4 THEN '{{"offers":[]}}'
+    WHEN 5 THEN '{{"result":[]}}' WHEN 6 THEN '{{"data":[]}}' WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN concat(repeat('é', 2048), '"jobs" "offers" "totalFound":3') ELSE '<html>' END AS body FROM ({POSTINGS_SQL}) AS p"""
+
+
+@query(f"""WITH probed AS ({PROBED}), p AS (SELECT company, adapter, slug, variant, CASE WHEN starts_with(body, 'é') THEN 'é' ELSE coalesce(body, '') END AS head FROM probed WHERE status = 200),
+ok AS (SELECT * FROM p WHERE (adapter IN ('greenhouse', 'ashby') AND contains(head, '"jobs"')) OR (adapter = 'recruitee' AND contains(head, '"offers"')) OR (adapter = 'bamboohr' AND contains(head, '"result"'))
+  OR (adapter = 'lever' AND head[1] IN ('[', '{{')) OR (adapter = 'breezy' AND head[1] = '[') OR (adapter = 'pinpoint' AND (head[1] = '[' OR contains(head, '"data"')))
+  OR (adapter = 'smartrecruiters' AND regexp_extract(head, '"totalFound":[ \\t]*(.)', 1) BETWEEN '1' AND '9'))
+SELECT company, adapter, slug FROM ok QUALIFY row_number() OVER (PARTITION BY company, adapter ORDER BY variant, slug) = 1""".replace("{{", "{").replace("}}", "}"))
+def m06_verify_hits(spark, sf_dir):
+    """Boards that landed answers prove, the first variant of each company and adapter."""
+    from hirelake.operators import matching
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return matching.verify_hits(spark.sql(PROBED.replace("{{", "{").replace("}}", "}")))
+
+
+#: A crawl log: a line for each order.
+CRAWL_LOG = """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 12 THEN '' WHEN o_orderkey % 997 = 5 THEN concat(t, ' starting crawler sources=[greenhouse  lever x', CAST(o_custkey AS VARCHAR(20)), ']',
+    CASE WHEN o_orderkey % 2 = 0 THEN concat(' concurrency=', CAST(o_custkey % 16 AS VARCHAR(20))) ELSE '' END) WHEN o_orderkey % 1994 IN (0, 991) THEN concat(t, ' done - ingested=', CAST(o_orderkey AS VARCHAR(20)))
+    WHEN o_custkey % 5 = 1 THEN concat(t, ' [w3] ok greenhouse:x') WHEN o_custkey % 5 = 2 THEN concat(t, ' [w1] embed: context deadline exceeded') WHEN o_custkey % 5 = 3 THEN concat(t, ' [lever] 12 jobs') ELSE ' 12xjobs' END AS value
+FROM (SELECT o_orderkey, o_custkey, replace(substr(CAST(o_orderdate AS VARCHAR(30)), 1, 19), '-', '/') AS t FROM orders) AS o"""
+
+
+@query(rf"""WITH log AS (SELECT seq, value, contains(value, 'starting crawler') AS head, row_number() OVER (ORDER BY seq) AS n, sum(CAST(contains(value, 'starting crawler') AS INTEGER)) OVER (ORDER BY seq) AS run FROM ({CRAWL_LOG}) WHERE value <> ''),
+s AS (SELECT run, n, value, strptime(value[1:19], '%Y/%m/%d %H:%M:%S') AS ts FROM log WHERE head),
+r AS (SELECT run, count(*) FILTER (NOT head AND regexp_matches(value, '\[w\d+\] ok ')) AS ok, count(*) FILTER (NOT head AND regexp_matches(value, ' \d+ jobs$')) AS skipped_or_done,
+  count(*) FILTER (NOT head AND contains(value, 'context deadline exceeded')) AS embed_failures, arg_max(value, n) AS latest_log_line FROM log WHERE run > 0 GROUP BY run)
+SELECT CAST(run AS BIGINT) AS run, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS started, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - s.ts) / 60 + 0.5) AS BIGINT) AS elapsed_minutes, array_to_string(list_filter(regexp_split_to_array(regexp_extract(s.value, 'sources=\[([^\]]+)\]', 1), '\s+'), lambda x: x <> ''), ' ') AS sources,
+  TRY_CAST(regexp_extract(s.value, 'concurrency=(\d+)', 1) AS BIGINT) AS concurrency, ok, skipped_or_done, embed_failures, latest_log_line,
+  (SELECT max_by(value, n) FROM log l WHERE l.n < s.n AND l.n >= s.n - 10 AND contains(l.value, 'done - ingested=')) AS previous_run_summary FROM r JOIN s USING (run)""")
+def a11_crawl_runs(spark, sf_dir):
+    """Every run of a crawl log with its counts."""
+    from hirelake.operators import matching
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    runs = stats.crawl_runs(matching.read_crawl_log(spark.sql(CRAWL_LOG)), AS_OF)
+    return runs.withColumns({"started": F.date_format("started", "yyyy-MM-dd HH:mm:ss"), "sources": F.array_join("sources", " ")})

@@ -6,7 +6,7 @@ classification, pay and dates follow one way. Bodies or records that do not pars
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +31,8 @@ def s(path: str) -> Column:
 
 @dataclass
 class Feed:
-    """How a feed's record ``j`` becomes a posting. ``salary``: texts to parse, in order; ``pay``: (min, max, currency, period) stated by the feed."""
+    """How a feed's record ``j`` becomes a posting. ``salary``: texts to parse, in order; ``pay``: (min, max, currency, period) stated by the feed;
+    ``open_pay``: one of its ends is enough, and it is shown in the style of stated pay."""
 
     schema: str
     records: str | None
@@ -48,6 +49,7 @@ class Feed:
     level: Callable[[], Column] | None = None
     industry: Callable[[], Column] | None = None
     pay: Callable[[], tuple] | None = None
+    open_pay: bool = False
     salary: Callable[[], list[Column]] | None = field(default=None)
     xml: bool = False
     cap: int | None = None
@@ -173,7 +175,7 @@ FEEDS: dict[str, Feed] = {
         "array<struct<id string, slug string, company string, position string, tags array<string>, description string, location string, salary_min double, salary_max double, url string, apply_url string, date string, epoch bigint, legal string>>", None,
         id=lambda: text.sanitize_id(text.first_non_empty(c("j.id"), c("j.slug"))), title=lambda: s("j.position"), company=lambda: s("j.company"), location=lambda: F.coalesce(text.first_non_empty(c("j.location")), F.lit("Remote")),
         description=lambda: text.join_present(" ", text.strip_html(s("j.description")), F.when(F.size("j.tags") > 0, F.concat(F.lit("Tags: "), F.array_join("j.tags", ", ")))), posted=lambda: F.coalesce(text.parse_posted_date(c("j.date")), F.timestamp_seconds(c("j.epoch"))), url=lambda: text.first_non_empty(c("j.url"), c("j.apply_url")),
-        keep=lambda: s("j.legal") == "", remote=lambda: F.lit("remote"), pay=lambda: (c("j.salary_min"), c("j.salary_max"), F.lit("USD"), F.lit("annual")),
+        keep=lambda: s("j.legal") == "", remote=lambda: F.lit("remote"), pay=lambda: (c("j.salary_min"), c("j.salary_max"), F.lit("USD"), F.lit("annual")), open_pay=True,
     ),
     "weworkremotely": Feed(
         "channel struct<item array<struct<title string, link string, guid string, pubDate string, region string, description string>>>", "channel.item",
@@ -223,7 +225,8 @@ def _parsed(raw: DataFrame, feed: Feed) -> DataFrame:
     top = feed.schema if feed.records is None else f"struct<{_struct(feed.schema)}>"
     doc = F.from_xml("body", F.lit(feed.schema)) if feed.xml else F.from_json("body", top)
     rows = raw.withColumn("doc", doc)
-    return rows.select("tenant", "fetched_at", F.posexplode(F.col("doc") if feed.records is None else F.col(f"doc.{feed.records}")).alias("pos", "j"))
+    page = c("page") if "page" in raw.columns else F.lit(0)
+    return rows.select("tenant", "fetched_at", page.alias("_page"), F.posexplode(F.col("doc") if feed.records is None else F.col(f"doc.{feed.records}")).alias("pos", "j"))
 
 
 def _struct(ddl: str) -> str:
@@ -238,8 +241,8 @@ def _struct(ddl: str) -> str:
     return ", ".join(out)
 
 
-def to_postings(rows: DataFrame, source: str, feed: Feed) -> DataFrame:
-    """Records ``j`` to postings by the feed's fields; a record without an id or title is dropped."""
+def to_postings(rows: DataFrame, source: str, feed: Feed, also: Sequence[str] = ()) -> DataFrame:
+    """Records ``j`` to postings by the feed's fields, with the columns ``also`` of ``rows``; a record without an id or title is dropped."""
     if feed.keep:
         rows = rows.filter(F.coalesce(feed.keep(), F.lit(False)))
     rows = rows.withColumn("title", F.trim(feed.title())).withColumn("company", F.trim(feed.company())).withColumn("location", F.trim(feed.location())).withColumn("description", feed.description())
@@ -256,28 +259,39 @@ def to_postings(rows: DataFrame, source: str, feed: Feed) -> DataFrame:
     money = pay.parse_salary(*texts) if texts else F.lit(None).cast(kind)
     if feed.pay:
         low, high, currency, period = feed.pay()
-        stated = F.when(high > 0, F.struct(F.coalesce(low, high).alias("min"), high.alias("max"), currency.alias("currency"), period.alias("period")))
-        money = F.coalesce(stated.cast(kind), money)
+        if feed.open_pay:
+            given = lambda x: F.when(x >= 1, F.floor(x).cast("double"))
+            stated = F.when(F.coalesce(given(low), given(high)).isNotNull(), F.struct(given(low).alias("min"), given(high).alias("max"), currency.alias("currency"), period.alias("period")))
+        else:
+            stated = F.when(high > 0, F.struct(F.coalesce(low, high).alias("min"), high.alias("max"), currency.alias("currency"), period.alias("period")))
+        rows = rows.withColumn("_stated", stated.cast(kind))
+        money = F.coalesce("_stated", money)
     rows = rows.withColumn("_pay", money)
     rows = rows.withColumn("salary_min", c("_pay.min")).withColumn("salary_max", c("_pay.max")).withColumn("salary_currency", c("_pay.currency")).withColumn("salary_period", c("_pay.period"))
-    rows = rows.withColumn("salary_range", pay.format_salary(c("salary_min"), c("salary_max"), c("salary_currency"), c("salary_period")))
+    shown = pay.format_salary(c("salary_min"), c("salary_max"), c("salary_currency"), c("salary_period"))
+    if feed.open_pay:
+        shown = F.when(c("_stated").isNotNull(), pay.format_salary_range(c("salary_min"), c("salary_max"), c("salary_currency"))).otherwise(shown)
+    rows = rows.withColumn("salary_range", shown)
     rows = rows.withColumn("posted_at", feed.posted()).withColumn("source_url", feed.url()).withColumn("source", F.lit(source)).withColumn("scraped_at", c("fetched_at")).withColumn("is_active", F.lit(True))
-    return rows.select(*POSTING_COLUMNS)
+    return rows.select(*POSTING_COLUMNS, *also)
 
 
+#: Where a record stood in its fetch.
+PLACE = ["_page", "pos"]
 #: Sources whose ids need no tenant.
 SINGLE_TENANT = {"hackernews", "workatastartup", "themuse", "adzuna", "jooble", "reed", "careerjet", "remoteok", "weworkremotely", "usajobs", "amazon", "rss"}
 
 
 def normalize(raw: DataFrame, source: str) -> DataFrame:
-    """Postings of one source from its raw responses. Ids that repeat across pages keep the first of the latest fetch."""
+    """Postings of one source from its raw responses. Of an id that repeats, the record of the latest fetch stays; in one fetch that of the first page
+    (column ``page``, if the responses have it), then the first on its page. ``fetched_at`` is the time of the fetch, not of each page."""
     feed = FEEDS[source]
     if source == "workatastartup":
         page = F.regexp_extract("body", 'data-page="([^"]*)"', 1)
         raw = raw.withColumn("body", F.when(page != "", F.replace(F.replace(page, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))).otherwise(c("body")))
-    out = to_postings(_parsed(raw.filter(F.col("source") == source), feed), source, feed)
-    newest = Window.partitionBy("external_id").orderBy(F.col("scraped_at").desc(), "source_url")
-    return out.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    out = to_postings(_parsed(raw.filter(F.col("source") == source), feed), source, feed, PLACE)
+    newest = Window.partitionBy("external_id").orderBy(F.col("scraped_at").desc(), *PLACE, "source_url")
+    return out.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", *PLACE)
 
 
 def quarantined(raw: DataFrame, source: str) -> DataFrame:
