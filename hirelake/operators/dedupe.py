@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import location, text
 from hirelake.functions.pay import lookup
-from hirelake.operators.ranking import cosine
+from hirelake.operators import near
 from hirelake.operators.tables import kept
 
 # How canonical a source is; the lowest number wins.
@@ -35,17 +35,38 @@ def bucketed(postings: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a < b (point ids) of one bucket with cosine at or above ``threshold``. The join is on the bucket's columns; adaptive execution splits a hot one."""
-    rows = bucketed(postings).filter("vector is not null").select(*BUCKET, "point_id", "vector")
-    return _near(rows, threshold)
+    """a < b (point ids), cosine: all pairs of one bucket with cosine at or above ``threshold``. Their number is the square of a bucket of copies;
+    :func:`duplicate_links` tells the same of each posting in one row."""
+    rows = bucketed(postings).filter("vector is not null").select(_key().alias("bucket"), F.col("point_id").alias("id"), "vector")
+    return near.near_pairs(rows, threshold)
 
 
-def _near(rows: DataFrame, threshold: float) -> DataFrame:
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.point_id") < F.col("b.point_id"))
+def duplicate_links(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """point_id, class_id, links of every posting with a vector: the least posting of its bucket with an equal vector, and how many others of its
+    bucket are duplicates of it. A vector without direction (null or NaN in it, all 0) is in a class but has no links."""
+    rows, alike = _classes(postings)
+    counts = near.near_counts(alike.select(_key().alias("bucket"), F.col("first").alias("id"), "vector", "many"), threshold)
+    own = F.when(near.sound("vector") & _key().isNotNull(), F.col("many") - 1).otherwise(0)
+    told = alike.join(counts, alike["first"] == counts["id"], "left").select(*BUCKET, "vector", F.col("first").alias("class_id"), (own + F.coalesce("n", F.lit(0))).alias("links"))
+    return _with_class(rows, told).select("point_id", "class_id", "links")
+
+
+def _key():
+    """The bucket's columns in one, null where one of them is."""
+    return F.to_json(F.when(F.expr(" and ".join(f"{k} is not null" for k in BUCKET)), F.array(*BUCKET)))
+
+
+def _classes(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active postings with a vector, and their classes of equal bucket and vector: first (the least id), many."""
+    rows = kept(bucketed(postings).filter("vector is not null").select(*BUCKET, "vector", "point_id"), "vectors")
+    return rows, kept(rows.groupBy(*BUCKET, "vector").agg(F.min("point_id").alias("first"), F.count("*").alias("many")), "alike")
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    same = rows["vector"].eqNullSafe(classes["vector"])
     for k in BUCKET:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, same).select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"), cosine(F.col("a.vector"), F.col("b.vector")).alias("cosine")).filter(F.col("cosine") >= threshold)
+        same = same & rows[k].eqNullSafe(classes[k])
+    return rows.join(classes, same)
 
 
 def greedy_leaders(pairs: DataFrame) -> DataFrame:
@@ -78,15 +99,11 @@ def dedupe_postings(postings: DataFrame, threshold: float = THRESHOLD) -> DataFr
     Postings of a bucket with equal vectors have the same neighbours, so the least stands for all of them while leaders are looked for. To see what
     would be marked, read the result (or ``dedupe_report``) and do not pass it on to ``mark_duplicates``.
     """
-    rows = bucketed(postings).filter("vector is not null").select(*BUCKET, "vector", "point_id")
-    alike = kept(rows.groupBy(*BUCKET, "vector").agg(F.min("point_id").alias("first"), F.count("*").alias("many")), "alike")
-    led = greedy_leaders(_near(alike.withColumnRenamed("first", "point_id"), threshold))
-    single = alike.filter("many > 1").select(F.col("first").alias("member")).join(led, "member", "left_anti").withColumn("leader", F.col("member"))
+    rows, alike = _classes(postings)
+    led = greedy_leaders(near.near_pairs(alike.select(_key().alias("bucket"), F.col("first").alias("id"), "vector"), threshold))
+    single = alike.filter((F.col("many") > 1) & near.sound("vector") & _key().isNotNull()).select(F.col("first").alias("member")).join(led, "member", "left_anti").withColumn("leader", F.col("member"))
     firsts = led.unionByName(led.select(F.col("leader").alias("member"), "leader")).unionByName(single).distinct()
-    same = rows["vector"] == alike["vector"]
-    for k in BUCKET:
-        same = same & (rows[k] == alike[k])
-    cluster = rows.join(alike, same).select("point_id", "first").join(firsts, F.col("first") == F.col("member")).select("point_id", "leader")
+    cluster = _with_class(rows, alike).select("point_id", "first").join(firsts, F.col("first") == F.col("member")).select("point_id", "leader")
     hint = F.when(F.col("salary_max") > 0, 1.0).otherwise(0.0) + F.least(F.lit(2.0), F.coalesce(F.length("description"), F.lit(0)) / 1500.0)
     rows = postings.select("external_id", text.point_id(F.col("external_id")).alias("point_id"), F.coalesce(lookup(PRIORITY, F.col("source")), F.lit(99)).alias("prio"), hint.alias("hint")).join(cluster, "point_id")
     order = Window.partitionBy("leader").orderBy("prio", F.col("hint").desc(), "point_id")

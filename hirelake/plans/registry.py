@@ -378,6 +378,13 @@ def j06_duplicate_pairs(spark, sf_dir):
     return dedupe.duplicate_pairs(vectors(spark, sf_dir)).select("a", "b")
 
 
+@query(f"""{_V}, n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id)
+SELECT point_id, min(point_id) OVER (PARTITION BY ck, tk, land, remote_status, vector) AS class_id, coalesce(n.n, 0) AS links FROM v LEFT JOIN n ON n.id = v.point_id WHERE ck <> '' AND tk <> ''""")
+def j06_duplicate_links(spark, sf_dir):
+    """Every posting with its class of equal vectors and the number of its duplicates; no pairs are written."""
+    return dedupe.duplicate_links(vectors(spark, sf_dir))
+
+
 @query(f"""{_V}, led AS (SELECT b AS member, min(a) AS leader FROM pairs GROUP BY b), cl AS (SELECT member AS point_id, leader FROM led UNION SELECT leader, leader FROM led),
 r AS (SELECT v.external_id, cl.leader, row_number() OVER w AS n, first_value(external_id) OVER w AS canonical_id FROM v JOIN cl USING (point_id)
   WINDOW w AS (PARTITION BY cl.leader ORDER BY {map_sql('source', dedupe.PRIORITY)}, CASE WHEN salary_max > 0 THEN 1.0 ELSE 0.0 END + least(2.0, length(description) / 1500.0) DESC, point_id))
