@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is the first layer. URL escapes, Unicode escapes, base64 and compressed bytes inside base64 are unwrapped into further layers;
+Each text is the first layer. URL escapes, Unicode escapes, base64 and compressed bytes inside any of them are unwrapped into further layers;
 each layer is scanned and unwrapped in turn, until no layer is new. A set of the layers seen, each at its place, ends cycles; equal
 layers at different places all count. Every finding carries a span of the original text: escapes and base64 map character by character, a
-compressed layer maps to the run that held it.
+compressed layer maps to the base64 run that held it, or to what its compressed bytes are written as in escapes.
 
 What is searched for, and every encoding, is written in ASCII; so bytes that are no ASCII text part a decoded run into layers, and compressed
 bytes are read as Latin-1.
@@ -44,6 +44,25 @@ WRAPPED_PART = re.compile(r"(?:\\r\\n|\\n|[\s]+)+|[A-Za-z0-9+/_-]+")
 #: Decoded bytes that can hold a secret or a further layer: the shortest is an assignment of eight characters.
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Bytes as they stand between escapes: escaped or as the character itself. Groups: in hexadecimal, decimal, by a letter, itself.
+URL_BYTE = re.compile(r"%(?:25)*(?P<hex>[0-9A-Fa-f]{2})|(?P<own>[!-$&-~])")
+UNICODE_BYTE = re.compile(
+    r"(?:\\x|\\u00|\\U000000)(?P<hex>[0-9A-Fa-f]{2})|\\u\{0*(?P<hex2>[0-9A-Fa-f]{1,2})\}|&#[Xx]0*(?P<hex3>[0-9A-Fa-f]{1,2});|&#0*(?P<dec>[0-9]{1,3});|\\(?P<short>[abfnrtv0\\'\"/])|(?P<own>[^\\\u0100-\U0010ffff])"
+)
+SHORT = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+
+
+def _written(code: int) -> str:
+    """A pattern of a byte in Unicode escapes."""
+    h = "".join(f"[{d}{d.upper()}]" for d in f"{code:02x}")
+    least = h if code > 15 else f"[{code:x}{code:X}]"
+    named = "".join(rf"|\\{k}" for k, v in SHORT.items() if v == code)
+    return rf"(?:\\x{h}|\\u00{h}|\\U000000{h}|\\u\{{0*{least}\}}|&#[Xx]0*{least};|&#0*{code};|{re.escape(chr(code))}{named})"
+
+
+#: How compressed bytes begin in URL and in Unicode escapes.
+URL_PACKED = re.compile(r"%(?:25)*1[Ff]%(?:25)*8[Bb]%(?:25)*08|(?:x|%(?:25)*78)(?:%(?:25)*(?:01|5[Ee]|9[Cc]|[Dd][Aa])|\^)")
+UNICODE_PACKED = re.compile("".join(_written(x) for x in (0x1F, 0x8B, 0x08)) + "|" + _written(0x78) + "(?:" + "|".join(_written(x) for x in (0x01, 0x5E, 0x9C, 0xDA)) + ")")
 #: No secret and no encoded run goes across one of these; an unpacked stream is cut only there.
 BORDER = re.compile(rb"[^A-Za-z0-9+/_.=\"':\x20%\\&#;{}\r\n\t-]")
 #: Bytes unpacked at a time.
@@ -171,6 +190,63 @@ def _base64_layers(run: str, at: np.ndarray) -> Iterator[tuple[str, np.ndarray]]
                 yield text, np.stack([np.full(len(text), at[0, 0]), np.full(len(text), at[1, -1])])
 
 
+def _bytes_from(layer: str, start: int, unit: re.Pattern, plus: str) -> Iterator[tuple[int, int]]:
+    """Each byte that is written from ``start`` on, and where it ends. plus: what a plus sign of its own stands for."""
+    while m := unit.match(layer, start):
+        kind, told = m.lastgroup, m.group(m.lastgroup)
+        start = m.end()
+        if kind == "own":
+            code = ord(plus if told == "+" else told)
+        elif kind == "short":
+            code = SHORT.get(told, ord(told))
+        else:
+            code = int(told, 10 if kind == "dec" else 16)
+        if code > 255:
+            return
+        yield code, start
+
+
+def _packed_run(units: Iterator[tuple[int, int]]) -> tuple[bytes, int]:
+    """The compressed members (or streams) that the bytes begin with, and where the last of them ends or breaks; nothing if nothing comes out of them."""
+    data, ends, some = bytearray(), [], False
+    unpack, begin = None, 0
+    for code, end in units:
+        data.append(code)
+        ends.append(end)
+        if unpack is None:
+            if len(data) - begin < 3:
+                continue
+            if not COMPRESSED.match(data, begin):
+                break
+            unpack, fresh = zlib.decompressobj(47), bytes(data[begin:])
+        else:
+            fresh = bytes((code,))
+        try:
+            while fresh:
+                some = bool(unpack.decompress(fresh, PIECE_BYTES)) or some
+                fresh = b"" if unpack.eof else unpack.unconsumed_tail
+        except zlib.error:
+            break
+        if unpack.eof:
+            unpack, begin = None, len(data)
+    else:
+        begin = len(data) if unpack is not None else begin  # cut off
+    if unpack is not None:
+        begin = len(data)
+    return (bytes(data[:begin]), ends[begin - 1]) if some and begin else (b"", 0)
+
+
+def _packed_layers(layer: str, base: np.ndarray, heads: re.Pattern, unit: re.Pattern) -> Iterator[tuple[str, np.ndarray]]:
+    """Layers of compressed bytes that are written in escapes. A plus sign is one or, as in forms, a blank."""
+    at = 0
+    while head := heads.search(layer, at):
+        at = head.end()
+        for plus in "+ " if unit is URL_BYTE else "+":
+            data, end = _packed_run(_bytes_from(layer, head.start(), unit, plus))
+            for text in _texts_in(_unpacked(data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES))) if data else ():
+                yield text, np.stack([np.full(len(text), base[0, head.start()]), np.full(len(text), base[1, end - 1])])
+
+
 def _key(layer: str, at: np.ndarray) -> bytes:
     """A layer's content and place. A cycle comes back to the same place: only compressed layers grow, and their characters all
     stand for the run that held them."""
@@ -183,8 +259,10 @@ def _layers(layer: str, base: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """The layers one step below."""
     if "%" in layer and URL_RUN.search(layer):
         yield _replaced(layer, base, _url_escapes(layer))
+        yield from _packed_layers(layer, base, URL_PACKED, URL_BYTE)
     if ("\\" in layer or "&#" in layer) and UNICODE_RUN.search(layer):
         yield _replaced(layer, base, _unicode_escapes(layer))
+        yield from _packed_layers(layer, base, UNICODE_PACKED, UNICODE_BYTE)
 
     def places(at: np.ndarray) -> np.ndarray:
         """Of characters of a run; the last goes on over the padding."""
