@@ -81,8 +81,24 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def _one_place(begin: int, end: int, n: int) -> np.ndarray:
+    """Places of ``n`` characters that all stand for the same run, held as one."""
+    return np.broadcast_to(np.array([[begin], [end]], np.int64), (2, n))
+
+
+def _is_one(at: np.ndarray) -> bool:
+    return at.strides[1] == 0
+
+
 def _replaced(layer: str, base: np.ndarray, found: Iterator[tuple[int, int, str, list[int], list[int]]]) -> tuple[str, np.ndarray]:
     """``layer`` with parts replaced; found: begin, end, new characters, and where in the layer the source of each begins and stops."""
+    if _is_one(base):
+        parts, last = [], 0
+        for begin, end, fresh, _, _ in found:
+            parts += [layer[last:begin], fresh]
+            last = end
+        text = "".join([*parts, layer[last:]])
+        return text, _one_place(base[0, 0], base[1, 0], len(text))
     parts, starts, stops, last = [], [], [], 0
     for begin, end, fresh, at, to in found:
         parts += [layer[last:begin], fresh]
@@ -183,11 +199,15 @@ def _base64_layers(run: str, at: np.ndarray) -> Iterator[tuple[str, np.ndarray]]
         body = body[: len(body) - (len(body) % 4 == 1)]
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
         for m in READABLE.finditer(raw):
+            text = m.group().decode("ascii")
+            if _is_one(at):
+                yield text, at[:, : len(text)]
+                continue
             k = np.arange(m.start(), m.end())  # three bytes come from four characters
-            yield m.group().decode("ascii"), np.stack([at[0, shift + k * 4 // 3], at[1, np.minimum(shift + (k * 4 + 3) // 3, len(run) - 1)]])
+            yield text, np.stack([at[0, shift + k * 4 // 3], at[1, np.minimum(shift + (k * 4 + 3) // 3, len(run) - 1)]])
         for m in COMPRESSED.finditer(raw):
             for text in _texts_in(_unpacked(raw[k : k + PIECE_BYTES] for k in range(m.start(), len(raw), PIECE_BYTES))):
-                yield text, np.stack([np.full(len(text), at[0, 0]), np.full(len(text), at[1, -1])])
+                yield text, _one_place(at[0, 0], at[1, -1], len(text))
 
 
 def _bytes_from(layer: str, start: int, unit: re.Pattern, plus: str) -> Iterator[tuple[int, int]]:
@@ -244,14 +264,14 @@ def _packed_layers(layer: str, base: np.ndarray, heads: re.Pattern, unit: re.Pat
         for plus in "+ " if unit is URL_BYTE else "+":
             data, end = _packed_run(_bytes_from(layer, head.start(), unit, plus))
             for text in _texts_in(_unpacked(data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES))) if data else ():
-                yield text, np.stack([np.full(len(text), base[0, head.start()]), np.full(len(text), base[1, end - 1])])
+                yield text, _one_place(base[0, head.start()], base[1, end - 1], len(text))
 
 
 def _key(layer: str, at: np.ndarray) -> bytes:
     """A layer's content and place. A cycle comes back to the same place: only compressed layers grow, and their characters all
     stand for the run that held them."""
     digest = hashlib.sha1(layer.encode("utf-8", "surrogatepass"))
-    digest.update(np.ascontiguousarray(at, np.int64).tobytes())
+    digest.update(np.ascontiguousarray(at[:, :1] if (at == at[:, :1]).all() else at, np.int64).tobytes())
     return digest.digest()
 
 
@@ -264,19 +284,20 @@ def _layers(layer: str, base: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         yield _replaced(layer, base, _unicode_escapes(layer))
         yield from _packed_layers(layer, base, UNICODE_PACKED, UNICODE_BYTE)
 
-    def places(at: np.ndarray) -> np.ndarray:
-        """Of characters of a run; the last goes on over the padding."""
-        last = int(at[-1]) + 1
-        out = base[:, at]
-        out[1, -1] = base[1, PADDING.match(layer, last).end() - 1]
+    def places(parts: list[tuple[int, int]]) -> np.ndarray:
+        """Of the characters of a run; the last goes on over the padding."""
+        if _is_one(base):
+            return base[:, : sum(b - a for a, b in parts)]
+        out = base[:, np.concatenate([np.arange(a, b) for a, b in parts])]
+        out[1, -1] = base[1, PADDING.match(layer, parts[-1][1]).end() - 1]
         return out
 
     for m in BASE64_RUN.finditer(layer):
-        yield from _base64_layers(m.group(), places(np.arange(m.start(), m.end())))
+        yield from _base64_layers(m.group(), places([m.span()]))
     if "\n" in layer or "\\n" in layer:
         for m in WRAPPED_RUN.finditer(layer):
             run = [(x.start(), x.end()) for x in WRAPPED_PART.finditer(layer, m.start(), m.end()) if layer[x.start()] not in "\\ \t\r\n"]
-            yield from _base64_layers("".join(layer[a:b] for a, b in run), places(np.concatenate([np.arange(a, b) for a, b in run])))
+            yield from _base64_layers("".join(layer[a:b] for a, b in run), places(run))
 
 
 def unwrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:

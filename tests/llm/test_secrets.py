@@ -3,6 +3,7 @@ import gzip
 import random
 import re
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -42,6 +43,94 @@ def test_every_layer_is_reached(text):
         assert all(len(around) <= a < b <= len(around + text) for a, _, b in more)
 
 
+def escaped(raw, form):
+    return "".join(form.format(b) for b in raw)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        urllib.parse.quote(gzip.compress(S.encode()), safe=""), urllib.parse.quote_plus(gzip.compress(S.encode())), urllib.parse.quote(urllib.parse.quote(zlib.compress(S.encode()))), escaped(gzip.compress(S.encode()), "%{:02x}"),
+        escaped(gzip.compress(S.encode()), "\\x{:02x}"), escaped(zlib.compress(S.encode()), "\\u{:04x}"), escaped(gzip.compress(B.encode()), "&#{};"), escaped(gzip.compress(gzip.compress(S.encode())), "&#x{:x};"),
+        repr(gzip.compress(S.encode()))[2:-1], b64(urllib.parse.quote(gzip.compress(S.encode()))), escaped(gzip.compress(b"nothing") + gzip.compress(S.encode()), "\\x{:02X}"),
+    ],
+)
+def test_compressed_bytes_behind_escapes(text):
+    for around in ("", "é, "):
+        base, spans = spans_of(around + text + around)
+        more = [x for x in spans if x not in base and x[1] == "assign"]
+        assert more and all(len(around) <= a < b <= len(around + text) for a, _, b in more), text
+
+
+def test_escaped_bytes_that_only_begin_as_compressed():
+    for text in ("%1f%8b%08" * 2000, "\\x1f\\x8b\\x08" * 2000, "x^ %41" * 3000, "%78%01%00%ff%ff%00%00" * 500, "%1f%8b%08"):
+        assert spans_of(text)[1] == []
+
+
+def plain_layers(cells):
+    """One step below a list of (character, start, stop), stepping through it: URL and Unicode escapes, then base64 at four alignments."""
+    text, out, letters = "".join(c for c, _, _ in cells), [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for lead, digits, least in (("%", 2, 3), ("\\x", 2, 4), ("\\u", 4, 6)):
+        fresh, i = [], 0
+        while i < len(cells):
+            code = text[i + len(lead) : i + len(lead) + digits]
+            if text.startswith(lead, i) and len(code) == digits and all(c in "0123456789abcdefABCDEF" for c in code):
+                fresh.append((chr(int(code, 16)), cells[i][1], cells[i + least - 1][2]))
+                i += least
+            else:
+                fresh.append(cells[i])
+                i += 1
+        out.append(fresh)
+    i = 0
+    while i < len(cells):
+        j = i
+        while j < len(cells) and text[j] in letters:
+            j += 1
+        for shift in range(4) if j - i >= 16 else ():
+            bits = "".join(f"{letters.index(c):06b}" for c in text[i + shift : j])
+            row = []
+            for k in range(0, len(bits) - 7, 8):
+                c, first, last = int(bits[k : k + 8], 2), i + shift + k // 6, i + shift + (k + 7) // 6
+                if c in b"\t\n\r" or 32 <= c < 127:
+                    row.append((chr(c), cells[first][1], cells[last][2]))
+                    continue
+                out.append(row)
+                row = []
+            out.append(row)
+        i = max(j, i + 1)
+    return [x for x in out if len(x) >= 12 and x != cells]
+
+
+def test_added_spans_equal_brute_force():
+    rng = random.Random(8)
+    forms = [lambda t: urllib.parse.quote(t, safe=""), lambda t: escaped(t.encode(), "\\x{:02x}"), lambda t: escaped(t.encode(), "\\u{:04x}"), lambda t: base64.b64encode(t.encode()).decode().rstrip("=")]
+    some = 0
+    for _ in range(300):
+        inner = rng.choice([S, "token: " + "k" * rng.randint(7, 12), "AKIA" + "Z9" * rng.randint(5, 8), "0123456789abcdef" * 2]) + rng.choice(["", " and more", ", x"])
+        for _ in range(rng.randint(1, 3)):
+            inner = rng.choice(["", "see ", "a/"]) + rng.choice(forms)(inner) + rng.choice(["", ", end", "!"])
+        found, work, seen = set(), [[(c, i, i + 1) for i, c in enumerate(inner)]], []
+        while work:
+            for cells in plain_layers(work.pop()):
+                if cells not in seen:
+                    seen.append(cells)
+                    work.append(cells)
+                    found |= {(cells[a][1], kind, cells[b - 1][2]) for a, kind, b in brute("".join(c for c, _, _ in cells))}
+        base, spans = spans_of(inner)
+        assert set(spans) == found | set(base), inner
+        some += len(found - set(base)) > 0
+    assert some > 200
+
+
+def test_one_place_for_a_whole_unpacked_layer():
+    bomb = b64(gzip.compress(b"a" * 8_000_000 + b" " + S.encode()))
+    tracemalloc.start()
+    _, spans = spans_of(bomb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, "assign", len(bomb)) in spans and peak < 100_000_000
+
+
 def test_secret_across_pieces_of_an_unpacked_layer(monkeypatch):
     monkeypatch.setattr(secret_scan, "PIECE_BYTES", 64)
     rng = random.Random(3)
