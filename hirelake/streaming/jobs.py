@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hirelake.operators import ingest, saved_searches, stats
 from hirelake.operators.filters import active_user_events
@@ -65,7 +64,7 @@ def maintain_history(changes: DataFrame, folder: str, checkpoint: str):
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: State of streams on local disk instead of memory; timers need it.
+#: State of streams on local disk instead of memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -116,46 +115,16 @@ def sliding_active(df: DataFrame, delay: str = "2 hours") -> DataFrame:
     return tiles.groupBy(F.window("hour", "24 hours", "1 hour")).agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
 
 
-class Ghosts(StatefulProcessor):
-    """Tells each application once when two weeks have passed since it was last touched; a later touch sets its time anew.
-
-    State is one time stamp for each open application; it goes when the application is told, or closed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.touched = handle.getValueState("touched", "at long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        last = max(((int(r.at), r.open) for frame in rows for r in frame.itertuples()), key=lambda x: x[0])
-        known = self.touched.get()[0] if self.touched.exists() else None
-        if known is None or last[0] >= known:
-            if known is not None:
-                self.handle.deleteTimer(known + GHOST_MS)
-                self.touched.clear()
-            if last[1]:
-                self.touched.update((last[0],))
-                self.handle.registerTimer(last[0] + GHOST_MS)
-        yield pd.DataFrame({"app_id": [], "last_touched_at": []}).astype({"app_id": "str", "last_touched_at": "datetime64[us]"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        at = self.touched.get()[0]
-        self.touched.clear()
-        yield pd.DataFrame({"app_id": [key[0]], "last_touched_at": [pd.Timestamp(at, unit="ms")]})
-
-    def close(self) -> None:
-        pass
-
-
-#: Milliseconds after which an untouched application is a ghost: it has to be untouched for more than the days.
-GHOST_MS = stats.GHOST_DAYS * 86_400_000 + 1
-
-
 def ghost_applications(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """app_id, last_touched_at of applications (app_id, status, last_touched_at) that are open and have been untouched for two weeks, told once when
-    that time has passed by the stream's clock, the latest touch of any application less ``delay``."""
-    rows = df.select("app_id", F.col("status").isin("applied", "interviewing").alias("open"), F.col("last_touched_at").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    rows = rows.withColumn("at", F.unix_millis("ts"))
-    return rows.groupBy("app_id").transformWithStateInPandas(Ghosts(), "app_id string, last_touched_at timestamp_ntz", "Append", "EventTime")
+    """app_id, last_touched_at of applications (app_id, status, last_touched_at) that are open and have been untouched for more than two weeks, told
+    when that time has passed by the stream's clock, the latest touch of any application less ``delay``. Of touches at one time a closing one stands.
+
+    Touches of an application at most two weeks apart are one session, and a session that ends with an open status is a ghost. State is a row for each
+    session that still can go on. A session ends at its bound, an application a millisecond, the clock's unit, behind it."""
+    rows = df.select("app_id", F.coalesce(~F.col("status").isin("applied", "interviewing"), F.lit(True)).alias("closed"), F.col("last_touched_at").cast("timestamp").alias("ts"))
+    rows = rows.withWatermark("ts", f"{delay} 1 millisecond")
+    ended = rows.groupBy("app_id", F.session_window("ts", f"{stats.GHOST_DAYS} days")).agg(F.max(F.struct("ts", "closed")).alias("last"))
+    return ended.filter("not last.closed").select("app_id", F.col("last.ts").cast("timestamp_ntz").alias("last_touched_at"))
 
 
 def tumbling_counts(df: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:

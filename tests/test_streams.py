@@ -48,6 +48,21 @@ def test_ghosts_are_told_once_and_touches_reset_them(spark):
     assert last <= set(got) <= set(want) and len(got) == len(set(got))  # a touch in the same batch may come before the clock moves
 
 
+def test_ghosts_need_no_python_and_heed_the_bound(spark):
+    """Every end of a session is told, one within a batch too; two weeks to the microsecond are not yet too long."""
+    end, days = d.datetime(2024, 3, 1), d.timedelta(days=14)
+    rows = [("a", "applied", end - days), ("b", "applied", end - days - d.timedelta(milliseconds=1)), ("c", "applied", end - 3 * days), ("c", "interviewing", end - days - d.timedelta(days=1))]
+    rows += [("d", "applied", end - 3 * days), ("d", "applied", end - 2 * days), ("d", "rejected", end - days), ("e", "applied", end - 3 * days), ("e", "rejected", end - 3 * days), ("f", None, end - 3 * days), ("clock", "rejected", end)]
+    rows += [("g", "applied", end - 3 * days), ("g", "applied", end - 2 * days + d.timedelta(microseconds=1)), ("g", "rejected", end - days)]
+    df = spark.createDataFrame(rows, "app_id string, status string, last_touched_at timestamp_ntz")
+    want = {rows[1][::2], rows[2][::2], rows[3][::2], ("g", end - 3 * days)}
+    for batches in (1, 3):
+        got = jobs.replay(df, jobs.ghost_applications, "last_touched_at", batches).collect()
+        assert {(r.app_id, r.last_touched_at) for r in got} == want and len(got) == 4
+    plan = jobs.ghost_applications(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan
+
+
 def test_hours_are_counted_once_and_merged(spark):
     rng, start = random.Random(2), d.datetime(2024, 1, 1)
     rows = [(rng.choice(["login", "view", "register"]), rng.choice([None, *[f"u{i}" for i in range(60)]]), start + d.timedelta(minutes=rng.randrange(60 * 24 * 4))) for _ in range(500)]
