@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import ingest, saved_searches, stats
 from hirelake.operators.filters import active_user_events
-from hirelake.operators.tables import shared_path
+from hirelake.operators.tables import kept, shared_path
 
 
 def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str, files: int = 16):
@@ -73,6 +73,7 @@ def replay(df: DataFrame, job: Callable[[DataFrame], DataFrame], order: str, bat
     landing the stream, which goes on from its checkpoint, reads what has come. Results are appended to a table in the shared folder."""
     spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     landing, out, checkpoint = (shared_path(spark, f"replay-{x}") for x in ("landing", "out", "checkpoint"))
+    df = kept(df, "replay-rows")  # each landing reads them again
     seconds = F.col(order).cast("timestamp").cast("double")
     low, high = df.agg(F.min(seconds), F.max(seconds)).first()
     part = F.coalesce(F.least(F.floor((seconds - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1.0)) * batches), F.lit(batches - 1)), F.lit(0))

@@ -109,3 +109,15 @@ def test_rollups_take_back_what_changes(spark, tmp_path):
     table = spark.createDataFrame([(i, *v) for i, v in now.items()], schema)
     want = {(r.series, r.day): r.n for r in stats.cumulative_history(table, "2024-02-05 00:00:00", ["US", "FR"], 30).collect()}
     assert got == want and len(got) == 90 and max(got.values()) > 10
+
+
+def test_a_replay_tells_its_rows_once(spark, tmp_path):
+    """Rows that come out differently each time are told: every landing sees the same ones."""
+    df = spark.range(200).select(F.expr("uuid()").alias("external_id"), F.timestamp_seconds((F.rand() * 100).cast("long") * 86_400).alias("scraped_at"))
+    told = []
+
+    def job(stream):
+        told.append(stream)
+        return stream
+
+    assert jobs.replay(df, job, "scraped_at").count() == 200 and len(told) == 4
