@@ -13,3 +13,10 @@ def test_industries_are_told_for_different_texts(spark):
     assert "Aggregate" in plan(ingest.backfill_industry(df))
     got = sorted((str(r.title), str(r.industry), str(r.job_family)) for r in ingest.backfill_industry(df).collect())
     assert got == [("None", "", "x"), ("Nurse", "legal", "None"), *[("Software Engineer", "tech", "software_engineering")] * 2]
+
+
+def test_documents_carry_columns(spark):
+    row = {"external_id": "a", "posting_key": 1, "title": "T", "description": "d", "company": "C", "location": "Bonn", "country": "DE", "salary_currency": "EUR", "salary_period": "annual"}
+    df = spark.createDataFrame([row]).selectExpr("*", "1d as salary_min", "2d as salary_max", "timestamp_ntz'2024-01-01' as posted_at", "timestamp_ntz'2024-01-01' as scraped_at")
+    got = ingest.to_jobposting_jsonld(df, ("posting_key", "scraped_at"))
+    assert got.columns == ["external_id", "jsonld", "posting_key", "scraped_at"] and "Join" not in plan(got) and got.first().posting_key == 1
