@@ -15,6 +15,21 @@ def test_industries_are_told_for_different_texts(spark):
     assert got == [("None", "", "x"), ("Nurse", "legal", "None"), *[("Software Engineer", "tech", "software_engineering")] * 2]
 
 
+def test_countries_are_told_for_different_places_and_tallied_in_place(spark):
+    from pyspark.sql import functions as F
+
+    from hirelake.operators import stats
+
+    rows = [("a", "Berlin, DE", "ZZ"), ("b", "Berlin, DE", ""), ("c", "", "FR"), ("d", "", None), ("e", "Austin, TX", "US")]
+    before = spark.createDataFrame(rows, "external_id string, location string, country string")
+    after = ingest.backfill_country(before.withColumn("old", F.col("country")))
+    assert "Aggregate" in plan(after)
+    both = after.select("old", F.col("country").alias("new"))
+    tell = lambda df: sorted(map(str, df.collect()))
+    assert tell(stats.transitions(both)) == tell(stats.transition_tally(before, ingest.backfill_country(before), "country"))
+    assert tuple(stats.totals(both).first()) == tuple(stats.backfill_totals(before, ingest.backfill_country(before), "country").first()) == (2, 2, 1)
+
+
 def test_documents_carry_columns(spark):
     row = {"external_id": "a", "posting_key": 1, "title": "T", "description": "d", "company": "C", "location": "Bonn", "country": "DE", "salary_currency": "EUR", "salary_period": "annual"}
     df = spark.createDataFrame([row]).selectExpr("*", "1d as salary_min", "2d as salary_max", "timestamp_ntz'2024-01-01' as posted_at", "timestamp_ntz'2024-01-01' as scraped_at")
