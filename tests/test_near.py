@@ -60,3 +60,21 @@ def test_links_of_one_hot_bucket_need_no_pairs(spark):
     df = spark.range(n).select(F.concat(F.lit("lever:x:"), "id").alias("external_id"), F.lit("Acme").alias("company"), F.lit("Cook").alias("title"), F.lit("").alias("location"), F.lit("").alias("description"), F.lit(True).alias("is_active"), vector.alias("vector"))
     got = dedupe.duplicate_links(df).collect()
     assert len(got) == n and {r.links for r in got} == {n - 1} and len({r.class_id for r in got}) == n // 10
+
+
+def test_copies_are_members_and_no_link_is_lost(spark):
+    """Pairs of classes and membership tell all pairs, in a row for each copy and each pair of different vectors."""
+    vector = F.array(F.lit(1.0), F.element_at(F.array(F.lit(0.0), F.lit(-0.0), F.lit(0.1), F.lit(5.0)), (F.col("id") % 4 + 1).cast("int")))
+    df = spark.range(120).select(F.concat(F.lit("lever:x:"), "id").alias("external_id"), F.lit("Acme").alias("company"), F.element_at(F.array(F.lit("Cook"), F.lit("Nurse")), (F.col("id") % 3 % 2 + 1).cast("int")).alias("title"), F.lit("").alias("location"), F.lit("").alias("description"), F.lit(True).alias("is_active"), vector.alias("vector"))
+    df = df.unionByName(df.limit(2).withColumn("external_id", F.concat(F.lit("zero:"), "external_id")).withColumn("vector", F.array(F.lit(0.0), F.lit(0.0))))
+    rows = dedupe.duplicate_classes(df).collect()
+    assert len(rows) < 130
+    of = {r.b: r.a for r in rows if r.copy}
+    links = {frozenset((r.a, r.b)) for r in rows if not r.copy}
+    sound = [r.point_id for r in dedupe.bucketed(df).filter("vector[0] > 0").select("point_id").collect()]
+    got = set()
+    for a, b in itertools.combinations(sorted(sound), 2):
+        x, y = of.get(a, a), of.get(b, b)
+        if x == y or frozenset((x, y)) in links:
+            got.add((a, b))
+    assert got == {(r.a, r.b) for r in dedupe.duplicate_pairs(df).collect()} and len(got) > 1_000
