@@ -87,7 +87,7 @@ def skill_gaps(profiles: DataFrame, postings: DataFrame, lexicon: DataFrame, as_
 
     ``profiles``: uid, resume_text, industry, skill_vector; a stated set."""
     live = SearchFilter(max_age_days=45).apply(postings, as_of)
-    top = ranking.batch_topk(profiles, live, k, "uid", "skill_vector", "external_id")
+    top = kept(ranking.batch_topk(profiles, live, k, "uid", "skill_vector", "external_id"), "top")
     own = ingest.extract_skills(profiles, "uid", "resume_text", F.col("industry"), lexicon).select("uid", "name")
     wanted = live.join(top.select("external_id").distinct(), "external_id", "left_semi").withColumn("_all", F.concat_ws("\n", "title", "description"))
     asked = ingest.extract_skills(wanted, "external_id", "_all", F.col("industry"), lexicon).select("external_id", "name")
