@@ -78,3 +78,20 @@ def test_copies_are_members_and_no_link_is_lost(spark):
         if x == y or frozenset((x, y)) in links:
             got.add((a, b))
     assert got == {(r.a, r.b) for r in dedupe.duplicate_pairs(df).collect()} and len(got) > 1_000
+
+
+def test_names_are_told_once_and_vectors_of_first_postings_alone_are_kept(spark, monkeypatch):
+    """400 postings of two companies, two titles and three remote statuses (one of them null, one the text "null"): four pairs of names, 12 classes."""
+    made = {}
+    keep = dedupe.kept
+    monkeypatch.setattr(dedupe, "kept", lambda df, tag: made.setdefault(tag, keep(df, tag)))
+    pick = lambda step, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("id") / step) % len(values) + 1).cast("int"))
+    df = spark.range(400).select(
+        F.concat(F.lit("lever:x:"), "id").alias("external_id"), pick(1, "Acme", "Zed").alias("company"), pick(2, "Cook", "Nurse").alias("title"), F.lit("").alias("location"), F.lit("text").alias("description"), F.lit("lever").alias("source"),
+        F.lit(1.0).alias("salary_max"), F.lit("").alias("country"), pick(4, None, "null", "remote").alias("remote_status"), F.lit(True).alias("is_active"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"),
+    )
+    got = dedupe.dedupe_postings(df).collect()
+    assert made["names"].count() == 4 and made["alike"].count() == 12 and "vector" not in made["classed"].columns
+    assert made["alike"].agg(F.sum("many")).first()[0] == 400
+    known = [r for r in df.collect() if r.remote_status is not None]
+    assert len(got) == len(known) - 8 and len({r.canonical_id for r in got}) == 8  # without a remote status a posting has no bucket
