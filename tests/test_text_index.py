@@ -55,6 +55,19 @@ def test_a_large_lexicon_is_joined_not_looped_over(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and found.count() == 2_000 * 2 - 1
 
 
+def test_a_text_that_many_rows_share_is_looked_through_once(spark, monkeypatch):
+    """1,000 rows of two texts and two industries: three pairs of them are cut into runs of words; an id with two texts has the skills of both once."""
+    seen = []
+    grams = text_index.phrase_grams
+    monkeypatch.setattr(text_index, "phrase_grams", lambda df, *rest: (seen.append(df.count()), grams(df, *rest))[1])
+    lexicon = spark.createDataFrame([("tech", 0, "SQL", "language", "sql"), ("tech", 1, "C++", "language", "c++"), ("legal", 0, "Law", "field", "law")], "industry string, place int, name string, category string, term string")
+    df = spark.range(1_000).select((F.col("id") % 999).alias("id"), F.when(F.col("id") % 2 == 0, "SQL and C++").otherwise("law or sql").alias("body"), F.when(F.col("id") % 4 == 1, "legal").otherwise("tech").alias("industry"))
+    df = df.unionByName(spark.createDataFrame([(5_000, None, "tech")], "id long, body string, industry string"))
+    got = {(r.id, r.name) for r in ingest.extract_skills(df, "id", "body", F.col("industry"), lexicon).collect()}
+    want = {(i % 999, n) for i in range(1_000) for n in (("SQL", "C++") if i % 2 == 0 else ("Law",) if i % 4 == 1 else ("SQL",))}
+    assert seen == [3] and got == want
+
+
 def test_longest_key_of_a_query(spark):
     banks = spark.createDataFrame([("tech", "data", "e1", ["a"]), ("tech", "data engineer", "e2", ["b"]), ("common", "big data engineer", "e3", ["c"]), ("legal", "big", "e4", [])], "bank string, key string, embed_text string, keywords array<string>")
     asked = spark.createDataFrame([("Big Data Engineer", "tech"), ("big  data", None), ("database engineer", "tech"), ("", None), (None, None)], "query string, industry string")
