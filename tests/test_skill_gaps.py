@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hirelake.operators import filters, nearest, ranking
+from hirelake.operators.tables import kept
 
 
 def test_equal_vectors_are_scored_once(spark, monkeypatch):
@@ -31,7 +32,7 @@ def test_stored_classes_are_not_told_anew(spark, monkeypatch):
 def test_rows_stay_where_they_are_while_labels_of_few_values_are_joined(spark):
     """Two million rows of 50 values are not shuffled or sorted for the join with the 50 that were told; nulls are told as well."""
     df = spark.range(2_000_000).select("id", F.when(F.col("id") % 50 > 0, F.concat(F.lit("a long title "), F.col("id") % 50)).alias("title"), F.lit("x" * 40).alias("more"))
-    got = filters.per_distinct(df, ["title"], {"size": F.coalesce(F.length("title"), F.lit(-1))})
+    got = filters.per_distinct(df, ["title"], {"size": F.coalesce(F.length("title"), F.lit(-1))}, kept(df.select("title").distinct(), "titles"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert {(r["size"], r["count"]) for r in got.groupBy("size").count().collect()} == {(-1, 40_000), (14, 360_000), (15, 1_600_000)}
