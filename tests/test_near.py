@@ -95,3 +95,32 @@ def test_names_are_told_once_and_vectors_of_first_postings_alone_are_kept(spark,
     assert made["alike"].agg(F.sum("many")).first()[0] == 400
     known = [r for r in df.collect() if r.remote_status is not None]
     assert len(got) == len(known) - 8 and len({r.canonical_id for r in got}) == 8  # without a remote status a posting has no bucket
+
+
+@pytest.mark.parametrize("members", [256, 3])
+def test_all_pairs_of_postings_are_told_copies_as_well(spark, monkeypatch, members):
+    """Copies, near copies on either side of the threshold, vectors without direction, negative zeros, postings of one id and without a bucket: as by brute force."""
+    monkeypatch.setattr(near, "MEMBERS", members)
+    rng = np.random.default_rng(11)
+    kinds = [[1.0, 0.0], [1.0, -0.0], [2.0, 0.0], [1.0, 0.2], [1.0, 0.21], [0.0, 1.0], [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [1.0], None]
+    rows = [(f"lever:x:{i if i < 80 else i - 20}", "Acme", "Cook" if i % 5 else "Nurse", "", None if i % 19 == 7 else "remote", True, kinds[rng.integers(len(kinds))]) for i in range(100)]
+    df = spark.createDataFrame(rows, "external_id string, company string, title string, country string, remote_status string, is_active boolean, vector array<double>")
+    found = dedupe.bucketed(df).filter("vector is not null and _remote is not null").select("_title", "point_id", "vector").collect()
+    want = []
+    for x, y in itertools.combinations(found, 2):
+        v, w = x.vector, y.vector
+        if x._title == y._title and x.point_id != y.point_id and len(v) == len(w) and None not in v and None not in w:
+            p, q = np.array(v), np.array(w)
+            size = np.sqrt(p @ p) * np.sqrt(q @ q)
+            if size > 0 and p @ q / size >= T:
+                want.append((*sorted((x.point_id, y.point_id)), round(float(p @ q / size), 12)))
+    got = [(r.a, r.b, round(r.cosine, 12)) for r in dedupe.duplicate_pairs(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 300
+
+
+def test_registered_pairs_are_those_that_links_count(spark):
+    from hirelake.plans import registry
+
+    pairs = registry.j06_duplicate_pairs(spark, "/root/testdata/sf0.001")
+    links = registry.j06_duplicate_links(spark, "/root/testdata/sf0.001").agg(F.sum("links")).first()[0]
+    assert pairs.columns == ["a", "b"] and 2 * pairs.distinct().count() == 2 * pairs.count() == links > 0
