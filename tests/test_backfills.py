@@ -15,6 +15,15 @@ def test_industries_are_told_for_different_texts(spark):
     assert got == [("None", "", "x"), ("Nurse", "legal", "None"), *[("Software Engineer", "tech", "software_engineering")] * 2]
 
 
+def test_postings_of_few_texts_stay_where_they_are(spark):
+    rows = [(i, ("Nurse", "Software Engineer", "", None)[i % 4], "", "legal" if i % 3 == 0 else None) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, industry string")
+    after = ingest.backfill_industry(df)
+    assert "SortMergeJoin" not in after._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, r.industry) for r in after.select("id", "industry").collect()]
+    assert got == [(i, "legal" if i % 3 == 0 else ("healthcare", "tech", None, None)[i % 4]) for i in range(2_000)]
+
+
 def test_countries_are_told_for_different_places_and_tallied_in_place(spark):
     from pyspark.sql import functions as F
 
